@@ -174,7 +174,8 @@ def rolling_mean_rows(
             k = preceding - r + 1
             add = (F.when(F.col("__rn") == r, F.col(f"{prefix_tail}{k}_{o}")) if add is None
                    else add.when(F.col("__rn") == r, F.col(f"{prefix_tail}{k}_{o}")))
-        return F.col(f"{prefix_local}{o}") + F.coalesce(add, F.lit(0))
+        # a frame whose values are all NULL sums to NULL: treat partial sums as 0
+        return F.coalesce(F.col(f"{prefix_local}{o}"), F.lit(0)) + F.coalesce(add, F.lit(0))
 
     sums = {o: stitched("__s_", "__ts", o) for o in vals}
     counts = {o: stitched("__c_", "__tc", o) for o in vals}
