@@ -55,9 +55,11 @@ def skip_leading_rows(df: DataFrame, keys, order_by, n: int = 1, skew_guard: boo
     return ranked.filter(F.col("__pos") > n).drop("__pos")
 
 
-def first_by_order(df: DataFrame, keys, order_col: str, value_cols, prefix: str = "first_") -> DataFrame:
+def first_by_order(df: DataFrame, keys, order_col: str, value_cols, prefix: str = "first_",
+                   extra_aggs=()) -> DataFrame:
     """Value(s) of the first row per key by ``order_col`` -- ``min_by``, an
-    aggregate with map-side partial merge (skew-safe), never a bare ``first()``."""
+    aggregate with map-side partial merge (skew-safe), never a bare ``first()``.
+    ``extra_aggs`` are computed in the same aggregate (one shuffle)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     return df.groupBy(*keys).agg(*[F.min_by(F.col(c), F.col(order_col)).alias(f"{prefix}{c}")
-                                   for c in value_cols])
+                                   for c in value_cols], *extra_aggs)

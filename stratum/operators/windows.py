@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_HOT_KEY_ROWS = 4_000_000
+# Row limit for broadcasting the per-bucket helper tables; above it they are
+# joined with a shuffle instead (their size is known on the driver up front).
+MAX_BROADCAST_ROWS = 2_000_000
 _BKT = "__bkt"
 _HOT = "__hot"
 
@@ -56,8 +59,13 @@ def _numeric_order(df: DataFrame, col: str) -> Column:
     raise TypeError(f"skew split needs a numeric/date/timestamp leading order column, got {dtype}")
 
 
-def _key_match(left: DataFrame, right: DataFrame, keys) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _bounded_broadcast(df: DataFrame, rows_bound: int) -> DataFrame:
+    """Broadcast ``df`` only when its known row bound is under the limit."""
+    return F.broadcast(df) if rows_bound <= MAX_BROADCAST_ROWS else df
+
+
+def _bucket_count(hot_rows, hot_key_rows: int) -> int:
+    return sum(int(math.ceil(r["__n"] / hot_key_rows)) for r in hot_rows)
 
 
 def find_hot_keys(df: DataFrame, keys, order_col: str, hot_key_rows: int):
@@ -85,7 +93,7 @@ def _with_buckets(df: DataFrame, keys, order_col: str, hot_rows, hot_key_rows: i
     o = _numeric_order(df, order_col)
     width = (F.col("__hi") - F.col("__lo") + F.lit(1.0)) / F.col("__nb")
     bucket = F.least(F.floor((o - F.col("__lo")) / width), F.col("__nb") - 1)
-    return (df.join(F.broadcast(hot), cond, "left")
+    return (df.join(_bounded_broadcast(hot, len(hot_rows)), cond, "left")
               .withColumns({_BKT: F.coalesce(bucket.cast("long"), F.lit(0).cast("long")),
                             _HOT: F.col("__nb").isNotNull()})
               .drop(*[f"__h_{k}" for k in keys], "__nb", "__lo", "__hi"))
@@ -165,7 +173,8 @@ def rolling_mean_rows(
                        *agg_cols.keys()))
     cond = reduce(lambda x, y: x & y,
                   [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]) & (F.col(_BKT) == F.col("__kb"))
-    joined = local.join(F.broadcast(corr), cond, "left")
+    # at most one row per hot bucket
+    joined = local.join(_bounded_broadcast(corr, _bucket_count(hot_rows, hk)), cond, "left")
 
     def stitched(prefix_local, prefix_tail, o):
         # row r (1-based) in a bucket needs the last (preceding - r + 1) rows before the bucket
@@ -238,6 +247,6 @@ def row_ordinal(
         .select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(_BKT).alias("__kb"), "__off"))
     cond = reduce(lambda x, y: x & y,
                   [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]) & (F.col(_BKT) == F.col("__kb"))
-    joined = local.join(F.broadcast(offs), cond, "left")
+    joined = local.join(_bounded_broadcast(offs, _bucket_count(hot_rows, hk)), cond, "left")
     return (joined.withColumn(out, (F.col("__rn") + F.coalesce(F.col("__off"), F.lit(0))).cast("long"))
                   .drop("__rn", "__off", "__kb", _BKT, _HOT, *[f"__k_{k}" for k in keys]))

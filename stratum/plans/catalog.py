@@ -231,10 +231,8 @@ FROM conversations GROUP BY conv_id
 """)
 def first_value_by_order(spark, sf_dir):
     conv = load(spark, sf_dir, "conversations")
-    first = J.first_by_order(conv, "conv_id", "turn", ["role", "text"])
-    counts = conv.groupBy("conv_id").agg(F.count(F.lit(1)).cast("long").alias("n_turns"))
-    # both sides come out of an aggregate on conv_id; one more key-aligned join
-    return first.join(counts, "conv_id")
+    return J.first_by_order(conv, "conv_id", "turn", ["role", "text"],
+                            extra_aggs=[F.count(F.lit(1)).cast("long").alias("n_turns")])
 
 
 # ---------------------------------------------------------------------------
