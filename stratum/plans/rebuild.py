@@ -38,56 +38,108 @@ def stage_cells(spark: SparkSession, cells: DataFrame, files: DataFrame, staging
     return spark.read.parquet(staging)
 
 
+TARGET_WRITE_BYTES = 128 << 20
+
+
+def staged_bytes(spark: SparkSession, staging: str) -> dict:
+    """Bytes of staging data per dataset, from a content-pruned file listing."""
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+               .option("pathGlobFilter", "*.parquet").load(staging).select("path", "length"))
+    per = (listing.withColumn("dataset", F.regexp_extract("path", r"/dataset=([^/]+)/", 1))
+           .groupBy("dataset").agg(F.sum("length").alias("bytes")))
+    return {r["dataset"]: int(r["bytes"]) for r in per.collect()}  # at most one row per dataset
+
+
+def write_partitions(spark: SparkSession, nbytes: int) -> int:
+    """Write tasks for a dataset: its bytes / 128 MB, never fewer than the cluster's cores.
+
+    Clustering by extraction keys with an explicit count keeps every core busy
+    on small layers (AQE would coalesce them into a handful of tasks that each
+    create hundreds of partition files) and grows with the data on large ones.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-int(nbytes) // TARGET_WRITE_BYTES))
+
+
+def _concurrently(fn, items, parallelism: int):
+    """Submit independent write jobs together (the scheduler interleaves their tasks)."""
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(fn, items))
+
+
 def load_datasets(spark: SparkSession, staged: DataFrame, clean_root: str, fmt: str = "parquet",
                   dialect: str = "quoted", datasets=None, null_policy: str = "keep", frame: str = "rows",
-                  parallelism: int = 4, mode: str = "overwrite") -> dict:
-    """Transform and write each dataset; returns {dataset: path}."""
+                  parallelism: int = 8, mode: str = "overwrite", dynamic: bool = True,
+                  sizes: dict | None = None) -> dict:
+    """Transform and write each dataset; returns {dataset: path}.
+
+    Rows are clustered by extraction before the write so each extraction
+    partition is written by one task as one file (an extraction is bounded by
+    its workbook), and AQE sizes the number of write tasks.
+    ``dynamic=True`` replaces only the partitions present (append);
+    a full rebuild into a fresh location uses a static overwrite.
+    """
     names = list(datasets or SPECS)
+    sizes = sizes or {}
 
     def one(name):
         out = transform_dataset(staged, name, null_policy=null_policy, frame=frame)
         path = dataset_path(clean_root, name)
-        write_table(out, path, fmt=fmt, dialect=dialect, partition_by=PARTITION_COLS, mode=mode)
+        n = write_partitions(spark, sizes.get(name, 0))
+        write_table(out.repartition(n, *PARTITION_COLS), path, fmt=fmt, dialect=dialect,
+                    partition_by=PARTITION_COLS, mode=mode, dynamic_overwrite=dynamic)
         return name, path
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return dict(pool.map(one, names))
+    return dict(_concurrently(one, names, parallelism))
 
 
 def export_levels(spark: SparkSession, clean_root: str, fmt: str = "parquet", dialect: str = "quoted",
-                  levels=("month", "all"), datasets=None) -> dict:
-    """Month-level and whole-history copies of every dataset."""
+                  levels=("month", "all"), datasets=None, parallelism: int = 8, sizes: dict | None = None) -> dict:
+    """Month-level and whole-history copies of every dataset.
+
+    Both are the clean table read back (lineage cut at the written layer);
+    readers can equally use the partitioned table with a year/month filter.
+    """
     timings = {}
     names = list(datasets or SPECS)
+    sizes = sizes or {}
     if "month" in levels:
         t0 = time.perf_counter()
-        for n in names:
+
+        def month(n):
             df = read_dataset(spark, clean_root, n, fmt, dialect)
-            write_table(df, dataset_path(clean_root, n, "monthly"), fmt=fmt, dialect=dialect,
-                        partition_by=["year", "month"])
+            parts = write_partitions(spark, sizes.get(n, 0))
+            write_table(df.repartition(parts, "year", "month"), dataset_path(clean_root, n, "monthly"), fmt=fmt,
+                        dialect=dialect, partition_by=["year", "month"], dynamic_overwrite=False)
+
+        _concurrently(month, names, parallelism)
         timings["export_monthly_data"] = time.perf_counter() - t0
     if "all" in levels:
         t0 = time.perf_counter()
-        for n in names:
+
+        def whole(n):
             df = read_dataset(spark, clean_root, n, fmt, dialect)
             write_table(df, dataset_path(clean_root, n, "all_extractions"), fmt=fmt, dialect=dialect)
+
+        _concurrently(whole, names, parallelism)
         timings["export_category_data"] = time.perf_counter() - t0
     return timings
 
 
 def rebuild(spark: SparkSession, raw_root: str, clean_root: str, fmt: str = "parquet", dialect: str = "quoted",
-            levels=(), null_policy: str = "keep", frame: str = "rows", parallelism: int = 4) -> dict:
+            levels=(), null_policy: str = "keep", frame: str = "rows", parallelism: int = 8) -> dict:
     """Rebuild ``clean_root`` from ``raw_root``; returns stage timings and reject counts."""
     t_all = time.perf_counter()
     timings = {}
     files = discover_extractions(spark, raw_root)
     t0 = time.perf_counter()
-    staged = stage_cells(spark, scan_cells(spark, raw_root), files, os.path.join(clean_root, "_staging", "cells"))
+    staging = os.path.join(clean_root, "_staging", "cells")
+    staged = stage_cells(spark, scan_cells(spark, raw_root), files, staging)
     timings["extract_data"] = time.perf_counter() - t0
 
     t0 = time.perf_counter()
+    sizes = staged_bytes(spark, staging)
     load_datasets(spark, staged, clean_root, fmt, dialect, null_policy=null_policy, frame=frame,
-                  parallelism=parallelism)
+                  parallelism=parallelism, dynamic=False, sizes=sizes)
     timings["load_to_clean"] = time.perf_counter() - t0
 
     rejects = (rejected_files(files).select("path", F.lit("unclassified file").alias("reason"))
@@ -97,6 +149,6 @@ def rebuild(spark: SparkSession, raw_root: str, clean_root: str, fmt: str = "par
                    F.col("source_file").alias("path"),
                    F.format_string("%s: %d columns, expected %d", "dataset", "width", "expected").alias("reason"))))
     write_table(rejects, os.path.join(clean_root, "_rejects"))
-    timings.update(export_levels(spark, clean_root, fmt, dialect, levels))
+    timings.update(export_levels(spark, clean_root, fmt, dialect, levels, parallelism=parallelism, sizes=sizes))
     timings["total_etl_time"] = time.perf_counter() - t_all
     return timings

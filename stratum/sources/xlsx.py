@@ -18,10 +18,10 @@ decoded more than once.
 
 from __future__ import annotations
 
+import functools
 import io
 import math
 import posixpath
-import re
 import zipfile
 from xml.etree import ElementTree as ET
 
@@ -37,12 +37,15 @@ CELLS_SCHEMA = ("source_file string, dataset string, sheet_pos int, sheet_row lo
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
        "rel": "http://schemas.openxmlformats.org/package/2006/relationships"}
-_REF = re.compile(r"([A-Z]+)(\d+)")
 
 
-def _col_index(letters: str) -> int:
+@functools.lru_cache(maxsize=4096)
+def _ref_col(ref: str) -> int:
+    """0-based column of a cell reference such as ``AB12``."""
     n = 0
-    for ch in letters:
+    for ch in ref:
+        if ch <= "9":
+            break
         n = n * 26 + (ord(ch) - 64)
     return n - 1
 
@@ -52,6 +55,8 @@ def _text(el) -> str:
 
 
 def _number_text(v: str) -> str:
+    if v.isdigit() or (v[:1] == "-" and v[1:].isdigit()):
+        return v.lstrip("0") or "0" if v[:1] != "-" else "-" + (v[1:].lstrip("0") or "0")
     try:
         x = float(v)
     except ValueError:
@@ -73,36 +78,66 @@ def sheet_paths(zf: zipfile.ZipFile) -> list[str]:
     return out
 
 
+_M = _NS["m"]
+_ROW, _C, _V, _IS, _T = (f"{{{_M}}}{t}" for t in ("row", "c", "v", "is", "t"))
+
+
+# Sheets up to this uncompressed size are parsed in one C-level pass; larger
+# ones are streamed row by row so memory stays bounded.
+WHOLE_PARSE_BYTES = 64 << 20
+
+
+def _row_cells(el, shared):
+    values: dict[int, str | None] = {}
+    pos = -1
+    for c in el:
+        if c.tag != _C:
+            continue
+        pos += 1
+        ref = c.get("r")
+        idx = _ref_col(ref.rstrip("0123456789")) if ref else pos
+        pos = idx
+        kind = c.get("t", "n")
+        v = None
+        inline = None
+        for ch in c:
+            if ch.tag == _V:
+                v = ch.text
+            elif ch.tag == _IS:
+                inline = ch
+        if kind == "s":
+            val = shared[int(v)] if v is not None else None
+        elif kind == "inlineStr":
+            val = "".join(t.text or "" for t in inline.iter(_T)) if inline is not None else None
+        elif kind == "b":
+            val = None if v is None else ("TRUE" if v == "1" else "FALSE")
+        elif kind == "e":
+            val = None
+        elif kind == "str":
+            val = v
+        else:
+            val = _number_text(v) if v is not None else None
+        values[idx] = val
+    width = max(values) + 1 if values else 0
+    return [values.get(i) for i in range(width)]
+
+
 def read_sheet_rows(zf: zipfile.ZipFile, part: str, shared: list[str]):
-    """Yield (0-based sheet row, list of cell strings) for one worksheet, streaming."""
+    """Yield (0-based sheet row or None, list of cell strings) for one worksheet."""
+    if zf.getinfo(part).file_size <= WHOLE_PARSE_BYTES:
+        root = ET.fromstring(zf.read(part))
+        for el in root.iter(_ROW):
+            r = el.get("r")
+            yield (int(r) - 1 if r else None), _row_cells(el, shared)
+        return
     with zf.open(part) as fh:
         for _, el in ET.iterparse(fh, events=("end",)):
-            if el.tag != f"{{{_NS['m']}}}row":
+            if el.tag != _ROW:
                 continue
-            values: dict[int, str | None] = {}
-            row_no = int(el.get("r")) - 1 if el.get("r") else None
-            for pos, c in enumerate(el.findall("m:c", _NS)):
-                ref = c.get("r")
-                idx = _col_index(_REF.match(ref).group(1)) if ref else pos
-                kind = c.get("t", "n")
-                v = c.find("m:v", _NS)
-                if kind == "s":
-                    val = shared[int(v.text)] if v is not None else None
-                elif kind == "inlineStr":
-                    isel = c.find("m:is", _NS)
-                    val = _text(isel) if isel is not None else None
-                elif kind == "b":
-                    val = None if v is None else ("TRUE" if v.text == "1" else "FALSE")
-                elif kind == "e":
-                    val = None
-                elif kind == "str":
-                    val = v.text if v is not None else None
-                else:
-                    val = _number_text(v.text) if v is not None and v.text is not None else None
-                values[idx] = val
+            r = el.get("r")
+            cells = _row_cells(el, shared)
             el.clear()
-            width = max(values) + 1 if values else 0
-            yield row_no, [values.get(i) for i in range(width)]
+            yield (int(r) - 1 if r else None), cells
 
 
 def decode_workbook(data: bytes, positions: list[int]):

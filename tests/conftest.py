@@ -15,7 +15,8 @@ def spark():
 
     from stratum.session import DEFAULT_CONF, checkpoint_dir
 
-    b = SparkSession.builder.master("local[4]").appName("stratum-tests").config("spark.sql.shuffle.partitions", "8")
+    b = (SparkSession.builder.master("local[4]").appName("stratum-tests")
+         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g"))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()

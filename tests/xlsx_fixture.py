@@ -10,87 +10,14 @@ import calendar
 import datetime as dt
 import os
 import random
-import zipfile
-from xml.sax.saxutils import escape
 
 from stratum.registry import MONTH_NAMES_PT, SPECS, sheets_for
+from tools.xlsx_writer import write_xlsx  # noqa: F401
 
 CATEGORY_DIRS = {"competitor": "Concorrentes", "content": "Conteudo", "followers": "Seguidores",
                  "visitors": "Visitantes"}
 
 
-def _col_letters(i: int) -> str:
-    s = ""
-    i += 1
-    while i:
-        i, r = divmod(i - 1, 26)
-        s = chr(65 + r) + s
-    return s
-
-
-def _cell(ref: str, v) -> str:
-    if v is None:
-        return ""
-    if isinstance(v, bool):
-        return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
-    if isinstance(v, (int, float)):
-        return f'<c r="{ref}"><v>{v}</v></c>'
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-
-
-def _sheet_xml(rows) -> str:
-    out = []
-    for r, row in enumerate(rows):
-        cells = "".join(_cell(f"{_col_letters(c)}{r + 1}", v) for c, v in enumerate(row))
-        out.append(f'<row r="{r + 1}">{cells}</row>')
-    return ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-            '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
-            f'<sheetData>{"".join(out)}</sheetData></worksheet>')
-
-
-def write_xlsx(path: str, sheets: list[tuple[str, list[list]]]) -> None:
-    """Write ``[(sheet name, rows)]`` as an XLSX workbook."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    ct_sheets = "".join(
-        f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" '
-        'ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
-        for i in range(len(sheets)))
-    content_types = (
-        '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-        '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
-        '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-        '<Default Extension="xml" ContentType="application/xml"/>'
-        '<Override PartName="/xl/workbook.xml" '
-        'ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
-        f'{ct_sheets}</Types>')
-    root_rels = (
-        '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-        '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-        '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/'
-        'officeDocument" Target="xl/workbook.xml"/></Relationships>')
-    wb_sheets = "".join(f'<sheet name="{escape(n)}" sheetId="{i + 1}" r:id="rId{i + 1}"/>'
-                        for i, (n, _) in enumerate(sheets))
-    workbook = (
-        '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-        '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
-        'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
-        f'<sheets>{wb_sheets}</sheets></workbook>')
-    wb_rels = (
-        '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-        '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-        + "".join(f'<Relationship Id="rId{i + 1}" '
-                  'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" '
-                  f'Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets)))
-        + '</Relationships>')
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", content_types)
-        z.writestr("_rels/.rels", root_rels)
-        z.writestr("xl/workbook.xml", workbook)
-        z.writestr("xl/_rels/workbook.xml.rels", wb_rels)
-        for i, (_, rows) in enumerate(sheets):
-            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", _sheet_xml(rows))
-
-
 def _fmt_date(d: dt.date) -> str:
     return f"{d.month}/{d.day}/{d.year}"
 
