@@ -100,7 +100,7 @@ def month_name(num_col) -> Column:
     return F.try_element_at(_num_to_month(), _c(num_col).cast("int"))
 
 
-DATE_FORMATS = ("M/d/yyyy", "yyyy-MM-dd")
+DATE_FORMATS = ("M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
 
 
 def blank_to_null(col) -> Column:

@@ -50,7 +50,8 @@ def size_profile(files: DataFrame, environment: str, lines: DataFrame | None = N
     return agg.select(F.lit(environment).alias("environment"), *agg.columns)
 
 
-def group_members(df: DataFrame, key: str, member: str, sep: str = ",", out: str = "members") -> DataFrame:
+def group_members(df: DataFrame, key: str, member: str, sep: str = ",", out: str = "members",
+                  extra_aggs=()) -> DataFrame:
     """Sorted member list per key as one string.
 
     Collects every member of a group into one row: use only where the group
@@ -59,7 +60,7 @@ def group_members(df: DataFrame, key: str, member: str, sep: str = ",", out: str
     """
     return df.groupBy(key).agg(
         F.array_join(F.sort_array(F.collect_list(F.col(member))), sep).alias(out),
-        F.count(F.lit(1)).cast("long").alias(f"n_{out}"))
+        F.count(F.lit(1)).cast("long").alias(f"n_{out}"), *extra_aggs)
 
 
 def unpivot_metrics(df: DataFrame, ids, values, var: str = "attribute", val: str = "value",

@@ -140,3 +140,22 @@ def test_bad_workbook_is_rejected_not_fatal(spark, scratch):
         fh.write(b"not a zip")
     rows = scan_cells(spark, folder, recursive=False).collect()
     assert len(rows) == 1 and rows[0].error.startswith("BadZipFile")
+
+
+def test_import_flat_layer_then_append(spark, scratch):
+    from stratum.plans.migrate import import_flat_layer
+
+    folder = os.path.join(scratch, "flat_layer")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "all_extractions_followers_new.csv"), "w") as fh:
+        fh.write('"Date","Followers Sponsored","Followers Organic","Total Followers","Extraction Range"\n')
+        fh.write('"2024-01-01","1","2","3","2024-01-15"\n"2024-01-20","0","5","5","2024-01-31"\n')
+    clean = os.path.join(scratch, "clean_from_flat")
+    got = import_flat_layer(spark, folder, clean)
+    assert got == {"followers_new": 2}
+    df = read_dataset(spark, clean, "followers_new")
+    assert sorted((r.year, r.month, r.period) for r in df.collect()) == [(2024, 1, 1), (2024, 1, 2)]
+    incoming = os.path.join(scratch, "incoming_after_flat")
+    build_single_extraction(incoming, 2024, 2, 1)
+    append_extraction(spark, incoming, clean, 2024, 2, 1)
+    assert read_dataset(spark, clean, "followers_new").count() == 2 + 15
