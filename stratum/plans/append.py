@@ -15,7 +15,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from stratum.plans.rebuild import load_datasets, stage_cells, staged_bytes
+from stratum.plans.rebuild import load_datasets, stage_cells
 from stratum.sources.clean import read_dataset
 from stratum.sources.files import discover_single_extraction
 from stratum.sources.xlsx import scan_cells
@@ -23,7 +23,7 @@ from stratum.sources.xlsx import scan_cells
 
 def append_extraction(spark: SparkSession, incoming: str, clean_root: str, year: int, month: int, period: int,
                       fmt: str = "parquet", dialect: str = "quoted", null_policy: str = "keep",
-                      frame: str = "rows", parallelism: int = 8) -> dict:
+                      frame: str = "rows", parallelism: int = 15) -> dict:
     """Add the workbooks in flat folder ``incoming`` as extraction (year, month, period)."""
     t_all = time.perf_counter()
     timings = {}
@@ -34,7 +34,7 @@ def append_extraction(spark: SparkSession, incoming: str, clean_root: str, year:
     timings["get_raw_unique_extraction_data"] = time.perf_counter() - t0
     t0 = time.perf_counter()
     load_datasets(spark, staged, clean_root, fmt, dialect, null_policy=null_policy, frame=frame,
-                  parallelism=parallelism, mode="overwrite", dynamic=True, sizes=staged_bytes(spark, staging))
+                  parallelism=parallelism, mode="overwrite", dynamic=True, cluster=False)
     timings["export_dataframes"] = time.perf_counter() - t0
     timings["total_etl_time"] = time.perf_counter() - t_all
     return timings

@@ -775,3 +775,71 @@ def _profile_tables_oracle():
 
 
 ORACLE["profile_tables"] = _profile_tables_oracle()
+
+
+# ---------------------------------------------------------------------------
+# End to end through workbooks: tables -> derived XLSX tree -> clean layer
+# ---------------------------------------------------------------------------
+
+_CM_ORACLE = """
+WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderstatus AS st, o_orderpriority AS pr FROM orders),
+daily AS (
+  SELECT d, year(d) AS y, month(d) AS m, CASE WHEN day(d) <= 15 THEN 1 ELSE 2 END AS p, COUNT(*) AS n,
+    SUM(CASE WHEN st = 'F' THEN 1 ELSE 0 END) AS nf, SUM(CASE WHEN st = 'O' THEN 1 ELSE 0 END) AS no_,
+    SUM(CASE WHEN st = 'P' THEN 1 ELSE 0 END) AS np,
+    SUM(CASE WHEN pr LIKE '1%' THEN 1 ELSE 0 END) AS n1, SUM(CASE WHEN pr LIKE '2%' THEN 1 ELSE 0 END) AS n2,
+    SUM(CASE WHEN pr LIKE '4%' THEN 1 ELSE 0 END) AS n4, SUM(CASE WHEN pr LIKE '5%' THEN 1 ELSE 0 END) AS n5
+  FROM o GROUP BY d),
+r AS (SELECT d, y, m, p, n * 10 AS imp, nf - np AS clicks, no_ - np AS reactions, n1 - n5 AS comments,
+        n2 - n4 AS shares FROM daily),
+w AS (
+  SELECT *,
+    CASE WHEN COUNT(*) OVER win = 3 THEN AVG(CASE WHEN clicks >= 0 THEN clicks ELSE 0 END) OVER win END AS k_ma,
+    CASE WHEN COUNT(*) OVER win = 3 THEN AVG(CASE WHEN reactions >= 0 THEN reactions ELSE 0 END) OVER win END AS r_ma,
+    CASE WHEN COUNT(*) OVER win = 3 THEN AVG(CASE WHEN comments >= 0 THEN comments ELSE 0 END) OVER win END AS c_ma,
+    CASE WHEN COUNT(*) OVER win = 3 THEN AVG(CASE WHEN shares >= 0 THEN shares ELSE 0 END) OVER win END AS s_ma
+  FROM r WINDOW win AS (PARTITION BY y, m, p ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+f AS (
+  SELECT d, y, m, p, imp,
+    CASE WHEN clicks < 0 THEN k_ma ELSE CAST(clicks AS DOUBLE) END AS clicks,
+    CASE WHEN reactions < 0 THEN r_ma ELSE CAST(reactions AS DOUBLE) END AS reactions,
+    CASE WHEN comments < 0 THEN c_ma ELSE CAST(comments AS DOUBLE) END AS comments,
+    CASE WHEN shares < 0 THEN s_ma ELSE CAST(shares AS DOUBLE) END AS shares
+  FROM w)
+SELECT d AS "Date", CAST(imp AS BIGINT) AS "Impressions (total)",
+  ROUND(clicks, 4) AS "Clicks (total)", ROUND(reactions, 4) AS "Reactions (total)",
+  ROUND(comments, 4) AS "Comments (total)", ROUND(shares, 4) AS "Shares (total)",
+  ROUND((reactions + comments + clicks + shares) / CAST(NULLIF(imp, 0) AS DOUBLE), 6) AS "Engagement Rate (total)",
+  CASE WHEN p = 2 THEN last_day(d) ELSE make_date(y, m, 15) END AS "Extraction Range"
+FROM f
+"""
+
+
+@query("workbook_content_metrics", _CM_ORACLE)
+def workbook_content_metrics(spark, sf_dir):
+    """The reference's own dataflow on workbooks Spark derives from ``orders``.
+
+    One content workbook per half month of order dates is written under the
+    session's checkpoint folder (shared storage on a cluster); the returned
+    plan then discovers the tree, decodes the workbooks, skips the lead rows,
+    names and types the columns by position, stamps the extraction and
+    repairs the metrics -- the same path ``plans.rebuild`` writes to the
+    clean layer.
+    """
+    import os
+    import uuid
+
+    from stratum.plans.transform import attach_extraction, transform_dataset
+    from stratum.session import checkpoint_dir
+    from stratum.sources.files import accepted_files, discover_extractions
+    from stratum.sources.xlsx import scan_cells
+    from tools.derive_raw_tree import derive_raw_tree
+
+    base = os.path.join(checkpoint_dir(spark), f"workbooks-{uuid.uuid4().hex}")
+    raw = os.path.join(base, "raw")
+    derive_raw_tree(spark, sf_dir, raw, os.path.join(base, "incoming"), holdout_last=0, categories=["content"])
+    files = accepted_files(discover_extractions(spark, raw))
+    cm = transform_dataset(attach_extraction(scan_cells(spark, raw), files), "content_metrics")
+    metrics = ["Clicks (total)", "Reactions (total)", "Comments (total)", "Shares (total)"]
+    return cm.select("Date", "Impressions (total)", *[F.round(F.col(f"`{m}`"), 4).alias(m) for m in metrics],
+                     F.round("`Engagement Rate (total)`", 6).alias("Engagement Rate (total)"), "Extraction Range")

@@ -69,7 +69,7 @@ def _concurrently(fn, items, parallelism: int):
 def load_datasets(spark: SparkSession, staged: DataFrame, clean_root: str, fmt: str = "parquet",
                   dialect: str = "quoted", datasets=None, null_policy: str = "keep", frame: str = "rows",
                   parallelism: int = 8, mode: str = "overwrite", dynamic: bool = True,
-                  sizes: dict | None = None) -> dict:
+                  sizes: dict | None = None, cluster: bool = True) -> dict:
     """Transform and write each dataset; returns {dataset: path}.
 
     Rows are clustered by extraction before the write so each extraction
@@ -77,6 +77,8 @@ def load_datasets(spark: SparkSession, staged: DataFrame, clean_root: str, fmt:
     its workbook), and AQE sizes the number of write tasks.
     ``dynamic=True`` replaces only the partitions present (append);
     a full rebuild into a fresh location uses a static overwrite.
+    ``cluster=False`` skips the clustering shuffle (one extraction: it is
+    already a single partition).
     """
     names = list(datasets or SPECS)
     sizes = sizes or {}
@@ -84,8 +86,9 @@ def load_datasets(spark: SparkSession, staged: DataFrame, clean_root: str, fmt:
     def one(name):
         out = transform_dataset(staged, name, null_policy=null_policy, frame=frame)
         path = dataset_path(clean_root, name)
-        n = write_partitions(spark, sizes.get(name, 0))
-        write_table(out.repartition(n, *PARTITION_COLS), path, fmt=fmt, dialect=dialect,
+        if cluster:
+            out = out.repartition(write_partitions(spark, sizes.get(name, 0)), *PARTITION_COLS)
+        write_table(out, path, fmt=fmt, dialect=dialect,
                     partition_by=PARTITION_COLS, mode=mode, dynamic_overwrite=dynamic)
         return name, path
 

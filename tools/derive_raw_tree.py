@@ -150,9 +150,12 @@ def _writer(root: str, incoming: str, holdout: set):
     return write
 
 
-def derive_raw_tree(spark: SparkSession, sf_dir: str, root: str, incoming: str, holdout_last: int = 1) -> dict:
+def derive_raw_tree(spark: SparkSession, sf_dir: str, root: str, incoming: str, holdout_last: int = 1,
+                    categories=None) -> dict:
     """Write the tree; the last ``holdout_last`` extractions go to ``incoming`` instead."""
     rows = sheet_rows(spark, sf_dir)
+    if categories:
+        rows = rows.filter(F.col("category").isin(list(categories)))
     keys = sorted(tuple(r) for r in rows.select(*_KEYS).distinct().collect())  # one row per half month
     holdout = set(keys[-holdout_last:]) if holdout_last else set()
     written = (rows.groupBy("category", *_KEYS)
