@@ -11,8 +11,10 @@ orders) pins that share on a single executor. ``rolling_mean_rows`` and
    keys with more than ``hot_key_rows`` rows. Their number is bounded by
    ``total_rows / hot_key_rows``, which is what makes broadcasting them safe.
 2. Rows of a hot key are spread over ``ceil(n / hot_key_rows)`` buckets by
-   ranges of the leading order column, so each bucket is a contiguous slice
-   of the key's order and the window runs per (key, bucket).
+   equal-width ranges of the leading order column, so each bucket is a
+   contiguous slice of the key's order and the window runs per (key, bucket).
+   (Rows sharing one leading order value stay in one bucket: a hot key whose
+   rows mostly share a single leading value is not split further.)
 3. The frame edge of each bucket is stitched from a correction table built
    from the last ``preceding`` rows of every hot bucket (top-k per group, which
    Spark evaluates map-side with a partial WindowGroupLimit). That table has at
