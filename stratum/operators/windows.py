@@ -10,11 +10,12 @@ orders) pins that share on a single executor. ``rolling_mean_rows`` and
 1. A cheap aggregate (partial aggregation, only key + order columns) finds
    keys with more than ``hot_key_rows`` rows. Their number is bounded by
    ``total_rows / hot_key_rows``, which is what makes broadcasting them safe.
-2. Rows of a hot key are spread over ``ceil(n / hot_key_rows)`` buckets by
-   equal-width ranges of the leading order column, so each bucket is a
-   contiguous slice of the key's order and the window runs per (key, bucket).
-   (Rows sharing one leading order value stay in one bucket: a hot key whose
-   rows mostly share a single leading value is not split further.)
+2. Rows of hot keys are range-partitioned on (key, order...) into
+   ``sum(ceil(n / hot_key_rows))`` partitions (Spark's sampled range
+   boundaries over the full order tuple); the partition index is the bucket,
+   so each bucket is a contiguous slice of one key's order, balanced even when
+   the leading order column has few distinct values. The window then runs per
+   (key, bucket); cold keys keep a single bucket 0 and are not range-shuffled.
 3. The frame edge of each bucket is stitched from a correction table built
    from the last ``preceding`` rows of every hot bucket (top-k per group, which
    Spark evaluates map-side with a partial WindowGroupLimit). That table has at
@@ -47,20 +48,6 @@ def _hot_key_rows(spark, hot_key_rows):
     return int(spark.conf.get("stratum.window.hotKeyRows", str(DEFAULT_HOT_KEY_ROWS)))
 
 
-def _numeric_order(df: DataFrame, col: str) -> Column:
-    """A numeric image of the leading order column, monotone in its order."""
-    dtype = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
-                          T.DoubleType, T.DecimalType)):
-        return c.cast("double")
-    raise TypeError(f"skew split needs a numeric/date/timestamp leading order column, got {dtype}")
-
-
 def _bounded_broadcast(df: DataFrame, rows_bound: int) -> DataFrame:
     """Broadcast ``df`` only when its known row bound is under the limit."""
     return F.broadcast(df) if rows_bound <= MAX_BROADCAST_ROWS else df
@@ -70,35 +57,32 @@ def _bucket_count(hot_rows, hot_key_rows: int) -> int:
     return sum(int(math.ceil(r["__n"] / hot_key_rows)) for r in hot_rows)
 
 
-def find_hot_keys(df: DataFrame, keys, order_col: str, hot_key_rows: int):
+def find_hot_keys(df: DataFrame, keys, hot_key_rows: int):
     """Collect keys with more than ``hot_key_rows`` rows (at most N / hot_key_rows of them)."""
-    o = _numeric_order(df, order_col)
-    stats = (df.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("__n"), F.min(o).alias("__lo"), F.max(o).alias("__hi"))
+    stats = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
              .filter(F.col("__n") > F.lit(hot_key_rows)))
     return stats.collect()
 
 
-def _with_buckets(df: DataFrame, keys, order_col: str, hot_rows, hot_key_rows: int) -> DataFrame:
-    """Attach the bucket column: 0 for cold keys, range bucket for hot keys."""
+def _with_buckets(df: DataFrame, keys, order, hot_rows, hot_key_rows: int) -> DataFrame:
+    """Attach the bucket column: 0 for cold keys; for hot keys, the index of a
+    range partition over (keys, order...), so buckets are contiguous slices of
+    each hot key's order however its order values are distributed."""
     spark = df.sparkSession
-    key_fields = [df.schema[k] for k in keys]
-    hot_schema = T.StructType(key_fields + [
-        T.StructField("__nb", T.LongType()), T.StructField("__lo", T.DoubleType()),
-        T.StructField("__hi", T.DoubleType())])
-    hot = spark.createDataFrame(
-        [tuple(r[k] for k in keys) + (int(math.ceil(r["__n"] / hot_key_rows)), float(r["__lo"]),
-                                       float(r["__hi"])) for r in hot_rows],
-        hot_schema)
-    hot = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__nb", "__lo", "__hi")
+    hot = spark.createDataFrame([tuple(r[k] for k in keys) + (True,) for r in hot_rows],
+                                T.StructType([df.schema[k] for k in keys] + [T.StructField(_HOT, T.BooleanType())]))
+    hot = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], _HOT)
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys])
-    o = _numeric_order(df, order_col)
-    width = (F.col("__hi") - F.col("__lo") + F.lit(1.0)) / F.col("__nb")
-    bucket = F.least(F.floor((o - F.col("__lo")) / width), F.col("__nb") - 1)
-    return (df.join(_bounded_broadcast(hot, len(hot_rows)), cond, "left")
-              .withColumns({_BKT: F.coalesce(bucket.cast("long"), F.lit(0).cast("long")),
-                            _HOT: F.col("__nb").isNotNull()})
-              .drop(*[f"__h_{k}" for k in keys], "__nb", "__lo", "__hi"))
+    marked = (df.join(_bounded_broadcast(hot, len(hot_rows)), cond, "left")
+                .withColumn(_HOT, F.coalesce(F.col(_HOT), F.lit(False)))
+                .drop(*[f"__h_{k}" for k in keys]))
+    n_buckets = _bucket_count(hot_rows, hot_key_rows)
+    # Range boundaries come from Spark's deterministic per-partition sample, so a
+    # recomputed branch assigns the same buckets.
+    hot_part = (marked.filter(F.col(_HOT)).repartitionByRange(n_buckets, *keys, *order)
+                .withColumn(_BKT, F.spark_partition_id().cast("long") + 1))
+    cold_part = marked.filter(~F.col(_HOT)).withColumn(_BKT, F.lit(0).cast("long"))
+    return hot_part.unionByName(cold_part)
 
 
 def _order_cols(order_by) -> list[str]:
@@ -131,7 +115,7 @@ def rolling_mean_rows(
 
     hot_rows = []
     if skew_guard and keys:
-        hot_rows = find_hot_keys(base, keys, order[0], _hot_key_rows(df.sparkSession, hot_key_rows))
+        hot_rows = find_hot_keys(base, keys, _hot_key_rows(df.sparkSession, hot_key_rows))
 
     def finish(frame: DataFrame, sums: dict, counts: dict) -> DataFrame:
         out = frame.withColumns({
@@ -146,7 +130,7 @@ def rolling_mean_rows(
         return finish(base, sums, counts).drop(*tmp.values())
 
     hk = _hot_key_rows(df.sparkSession, hot_key_rows)
-    b = _with_buckets(base, keys, order[0], hot_rows, hk)
+    b = _with_buckets(base, keys, order, hot_rows, hk)
     part = keys + [_BKT]
     w_local = Window.partitionBy(*part).orderBy(*order)
     w_frame = w_local.rowsBetween(-preceding, 0)
@@ -233,11 +217,11 @@ def row_ordinal(
     order = _order_cols(order_by)
     hot_rows = []
     if skew_guard and keys:
-        hot_rows = find_hot_keys(df, keys, order[0], _hot_key_rows(df.sparkSession, hot_key_rows))
+        hot_rows = find_hot_keys(df, keys, _hot_key_rows(df.sparkSession, hot_key_rows))
     if not hot_rows:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     hk = _hot_key_rows(df.sparkSession, hot_key_rows)
-    b = _with_buckets(df, keys, order[0], hot_rows, hk)
+    b = _with_buckets(df, keys, order, hot_rows, hk)
     part = keys + [_BKT]
     local = b.withColumn("__rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
     # One row per bucket of a hot key (bounded by N / hot_key_rows + #hot keys); cold keys

@@ -24,7 +24,7 @@ def test_rolling_split_matches_plain(spark, preceding):
     df = _data(spark)
     plain = rolling_mean_rows(df, "k", "o", {"ma": "v"}, preceding=preceding, skew_guard=False)
     split = rolling_mean_rows(df, "k", "o", {"ma": "v"}, preceding=preceding, hot_key_rows=97)
-    assert len(find_hot_keys(df, ["k"], "o", 97)) >= 2
+    assert len(find_hot_keys(df, ["k"], 97)) >= 2
     a = {(r.k, r.o): r.ma for r in plain.collect()}
     b = {(r.k, r.o): r.ma for r in split.collect()}
     assert a.keys() == b.keys()
@@ -53,6 +53,26 @@ def test_row_ordinal_split_matches_plain(spark):
     assert max(a.values()) > 1000
 
 
+def test_split_with_few_leading_values(spark):
+    """A hot key whose leading order column has one value still splits (range buckets
+    over the whole order tuple)."""
+    rows = [(1, 0, i, float(i % 7)) for i in range(600)] + [(2, 0, i, 1.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, day int, o long, v double")
+    plain = rolling_mean_rows(df, "k", ["day", "o"], {"m": "v"}, skew_guard=False)
+    split = rolling_mean_rows(df, "k", ["day", "o"], {"m": "v"}, hot_key_rows=100)
+    a = {(r.k, r.o): r.m for r in plain.collect()}
+    b = {(r.k, r.o): r.m for r in split.collect()}
+    assert a.keys() == b.keys() and all(
+        (a[x] is None and b[x] is None) or abs(a[x] - b[x]) < 1e-9 for x in a)
+    o_plain = {(r.k, r.o): r.ordinal for r in row_ordinal(df, "k", ["day", "o"], skew_guard=False).collect()}
+    o_split = {(r.k, r.o): r.ordinal for r in row_ordinal(df, "k", ["day", "o"], hot_key_rows=100).collect()}
+    assert o_plain == o_split
+    from stratum.operators.windows import _with_buckets, find_hot_keys as fh
+    hot = fh(df, ["k"], 100)
+    buckets = _with_buckets(df, ["k"], ["day", "o"], hot, 100).filter("k = 1").select("__bkt").distinct().count()
+    assert buckets >= 4  # 600 rows / 100 per bucket, despite a single `day` value
+
+
 def test_split_plan_windows_per_bucket(spark, capsys):
     df = _data(spark)
     split = rolling_mean_rows(df, "k", "o", {"ma": "v"}, hot_key_rows=97)
