@@ -156,16 +156,23 @@ def derive_raw_tree(spark: SparkSession, sf_dir: str, root: str, incoming: str,
     rows = sheet_rows(spark, sf_dir)
     if categories:
         rows = rows.filter(F.col("category").isin(list(categories)))
-    keys = sorted(tuple(r) for r in rows.select(*_KEYS).distinct().collect())  # one row per half month
-    holdout = set(keys[-holdout_last:]) if holdout_last else set()
+    # the held-out extractions are the last half months (a handful of rows collected)
+    last = (rows.select(*_KEYS).distinct().orderBy(*[F.col(k).desc() for k in _KEYS]).limit(holdout_last).collect()
+            if holdout_last else [])
+    holdout = {tuple(r) for r in last}
     written = (rows.groupBy("category", *_KEYS)
-               .applyInPandas(_writer(root, incoming, holdout), "path string, n_rows long, hold boolean")
-               .collect())
-    tree = [w for w in written if not w.hold]
-    return {"files": len(tree), "rows": int(sum(w.n_rows for w in tree)),
-            "holdout": [dict(year=k[0], month=k[1], period=k[2], folder=os.path.join(incoming, f"{k[0]}_{k[1]:02d}_{k[2]}"))
-                        for k in sorted(holdout)],
-            "extractions": len(keys) - len(holdout)}
+               .applyInPandas(_writer(root, incoming, holdout), "path string, n_rows long, hold boolean"))
+    # one summary row back to the driver, not one row per workbook
+    summary = (written.filter(~F.col("hold"))
+               .agg(F.count(F.lit(1)).alias("files"), F.sum("n_rows").alias("rows"),
+                    F.countDistinct("path").alias("distinct_files"))
+               .collect()[0])
+    n_ext = rows.filter(~F.struct(*_KEYS).isin([F.struct(*[F.lit(v) for v in k]) for k in holdout])
+                        if holdout else F.lit(True)).select(*_KEYS).distinct().count()
+    return {"files": int(summary["files"]), "rows": int(summary["rows"] or 0),
+            "holdout": [dict(year=k[0], month=k[1], period=k[2],
+                             folder=os.path.join(incoming, f"{k[0]}_{k[1]:02d}_{k[2]}")) for k in sorted(holdout)],
+            "extractions": int(n_ext)}
 
 
 if __name__ == "__main__":  # pragma: no cover
