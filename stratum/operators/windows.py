@@ -186,18 +186,49 @@ def rolling_mean_days(
     date_col: str,
     values: dict,
     preceding_days: int = 2,
+    hot_key_rows: int | None = None,
+    skew_guard: bool = True,
 ) -> DataFrame:
     """Mean over rows whose date lies in [date - preceding_days, date] (range frame).
 
-    Partial frames are allowed (no minimum). Feed it one row per key and day
-    (e.g. after a daily aggregate): a partition then holds at most one row per
-    calendar day, which bounds the size of every window partition.
+    Partial frames are allowed (no minimum). Rows sharing a date are peers.
+    Hot keys are range-bucketed on (key, date); every bucket also receives, as
+    context rows, the earlier rows of its key dated within ``preceding_days``
+    of the bucket's first date. Those are found by an equi-join after a fixed
+    ``preceding_days`` fan-out of candidate dates (no range join), and are
+    dropped again after the window.
     """
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(
-        F.unix_date(F.col(date_col))).rangeBetween(-preceding_days, 0)
-    return df.withColumns({out: F.avg((F.col(src) if isinstance(src, str) else src).cast("double")).over(w)
-                           for out, src in values.items()})
+    vals = {out: (F.col(src) if isinstance(src, str) else src).cast("double") for out, src in values.items()}
+    tmp = {out: f"__v_{i}" for i, out in enumerate(vals)}
+    base = df.withColumns({tmp[o]: v for o, v in vals.items()})
+    order = F.unix_date(F.col(date_col))
+
+    hot_rows = []
+    if skew_guard and keys:
+        hot_rows = find_hot_keys(base, keys, _hot_key_rows(df.sparkSession, hot_key_rows))
+    if not hot_rows:
+        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(order).rangeBetween(
+            -preceding_days, 0)
+        return base.withColumns({o: F.avg(F.col(tmp[o])).over(w) for o in vals}).drop(*tmp.values())
+
+    hk = _hot_key_rows(df.sparkSession, hot_key_rows)
+    b = _with_buckets(base, keys, [date_col], hot_rows, hk).withColumn("__ctx", F.lit(False))
+    hot = b.filter(F.col(_HOT))
+    # first date of every hot bucket: one row per bucket (bounded, broadcast)
+    starts = (hot.groupBy(*keys, _BKT).agg(F.min(date_col).alias("__start"))
+              .select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col(_BKT).alias("__sb"), "__start"))
+    # a row is context for the bucket starting 1..preceding_days days after it
+    cand = hot.withColumn("__ahead", F.explode(F.sequence(F.lit(1), F.lit(preceding_days))))
+    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__s_{k}")) for k in keys]) & (
+        F.date_add(F.col(date_col), F.col("__ahead")) == F.col("__start"))
+    ctx = (cand.join(_bounded_broadcast(starts, _bucket_count(hot_rows, hk)), cond, "inner")
+           .withColumn(_BKT, F.col("__sb")).withColumn("__ctx", F.lit(True))
+           .drop("__ahead", "__sb", "__start", *[f"__s_{k}" for k in keys]))
+    both = b.unionByName(ctx)
+    w = Window.partitionBy(*keys, _BKT).orderBy(order).rangeBetween(-preceding_days, 0)
+    out = both.withColumns({o: F.avg(F.col(tmp[o])).over(w) for o in vals}).filter(~F.col("__ctx"))
+    return out.drop("__ctx", _BKT, _HOT, *tmp.values())
 
 
 def row_ordinal(

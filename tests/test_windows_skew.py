@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.operators.windows import find_hot_keys, rolling_mean_rows, row_ordinal
+from stratum.operators.windows import find_hot_keys, rolling_mean_days, rolling_mean_rows, row_ordinal
 
 
 def _data(spark, n=3000, seed=3):
@@ -80,3 +80,24 @@ def test_split_plan_windows_per_bucket(spark, capsys):
     plan = capsys.readouterr().out
     assert "__bkt" in plan and "BroadcastHashJoin" in plan
     assert split.filter(F.col("ma").isNotNull()).count() > 0
+
+
+@pytest.mark.parametrize("preceding", [1, 2, 5])
+def test_days_split_matches_plain(spark, preceding):
+    import datetime as dt
+
+    rng = random.Random(preceding)
+    rows = []
+    for i in range(1500):
+        k = 0 if rng.random() < 0.6 else rng.randint(1, 4)
+        day = dt.date(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 90))
+        rows.append((k, day, i, None if rng.random() < 0.05 else rng.randint(-5, 40)))
+    df = spark.createDataFrame(rows, "k int, d date, i long, v long")
+    plain = rolling_mean_days(df, "k", "d", {"m": "v"}, preceding_days=preceding, skew_guard=False)
+    split = rolling_mean_days(df, "k", "d", {"m": "v"}, preceding_days=preceding, hot_key_rows=60)
+    a = {r.i: r.m for r in plain.collect()}
+    b = {r.i: r.m for r in split.collect()}
+    assert a.keys() == b.keys()
+    for i, x in a.items():
+        y = b[i]
+        assert (x is None and y is None) or abs(x - y) < 1e-9, i
