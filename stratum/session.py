@@ -71,3 +71,38 @@ def cut_lineage(df, eager: bool = True):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make ``stratum`` (and the repo's ``tools``) importable in executor Python workers.
+
+    Functions run by ``mapInPandas`` / ``applyInPandas`` are pickled by
+    reference to their modules, so executors must be able to import them. The
+    packages are zipped once per SparkContext and distributed with
+    ``addPyFile`` (Spark copies the archive to every executor). A no-op when
+    already shipped.
+    """
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- Spark Connect has no SparkContext
+        sc = None
+    holder = sc if sc is not None else spark
+    if getattr(holder, "_stratum_code_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="stratum-code-"), "stratum_code.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for pkg in ("stratum", "tools"):
+            base = os.path.join(root, pkg)
+            for dirpath, _, names in os.walk(base):
+                for n in names:
+                    if n.endswith(".py"):
+                        full = os.path.join(dirpath, n)
+                        z.write(full, os.path.relpath(full, root))
+    if sc is not None:
+        sc.addPyFile(archive)
+    else:
+        spark.addArtifacts(archive, pyfile=True)
+    holder._stratum_code_shipped = True

@@ -196,7 +196,9 @@ def scan_cells(spark, location: str, recursive: bool = True, glob: str | None =
     (they are reported by ``files.rejected_files``).
     """
     from stratum.functions.columns import classify_category, file_name
+    from stratum.session import ship_code
 
+    ship_code(spark)  # the decoder runs in executor Python workers
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.columns import classify_category, file_name, month_number
 from stratum.plans.rebuild import load_datasets
+from stratum.session import ship_code
 from stratum.sinks.writers import write_table
 from stratum.sources.xlsx import CELLS_SCHEMA, _decode_batches
 
@@ -53,6 +54,7 @@ def _with_extraction_keys(df: DataFrame) -> DataFrame:
 def process_batch(batch: DataFrame, batch_id: int, clean_root: str, fmt: str = "parquet",
                   dialect: str = "quoted", parallelism: int = 4) -> None:
     spark = batch.sparkSession
+    ship_code(spark)
     keyed = _with_extraction_keys(batch.select("path", "content"))
     good = keyed.filter(F.col("category").isNotNull() & F.col("year").isNotNull()
                         & F.col("month").isNotNull() & F.col("period").isNotNull())

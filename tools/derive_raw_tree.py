@@ -153,6 +153,9 @@ def _writer(root: str, incoming: str, holdout: set):
 def derive_raw_tree(spark: SparkSession, sf_dir: str, root: str, incoming: str, holdout_last: int = 1,
                     categories=None) -> dict:
     """Write the tree; the last ``holdout_last`` extractions go to ``incoming`` instead."""
+    from stratum.session import ship_code
+
+    ship_code(spark)  # the workbook writer runs in executor Python workers
     rows = sheet_rows(spark, sf_dir)
     if categories:
         rows = rows.filter(F.col("category").isin(list(categories)))
