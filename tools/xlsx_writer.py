@@ -5,6 +5,7 @@ Cells are written as inline strings, numbers or booleans.
 
 from __future__ import annotations
 
+import io
 import os
 import zipfile
 from xml.sax.saxutils import escape
@@ -39,9 +40,21 @@ def _sheet_xml(rows) -> str:
             f'<sheetData>{"".join(out)}</sheetData></worksheet>')
 
 
+def _open_target(path: str):
+    """Local paths are written directly; other URIs (hdfs://, s3://, ...) through pyarrow.fs."""
+    if "://" not in path or path.startswith("file://"):
+        local = path[len("file://"):] if path.startswith("file://") else path
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, "wb")
+    from pyarrow import fs as pafs
+
+    filesystem, inner = pafs.FileSystem.from_uri(path)
+    filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    return filesystem.open_output_stream(inner)
+
+
 def write_xlsx(path: str, sheets: list[tuple[str, list[list]]]) -> None:
-    """Write ``[(sheet name, rows)]`` as an XLSX workbook."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    """Write ``[(sheet name, rows)]`` as an XLSX workbook (built in memory, written once)."""
     ct_sheets = "".join(
         f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" '
         'ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
@@ -73,10 +86,13 @@ def write_xlsx(path: str, sheets: list[tuple[str, list[list]]]) -> None:
                   'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" '
                   f'Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets)))
         + '</Relationships>')
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", content_types)
         z.writestr("_rels/.rels", root_rels)
         z.writestr("xl/workbook.xml", workbook)
         z.writestr("xl/_rels/workbook.xml.rels", wb_rels)
         for i, (_, rows) in enumerate(sheets):
             z.writestr(f"xl/worksheets/sheet{i + 1}.xml", _sheet_xml(rows))
+    with _open_target(path) as fh:
+        fh.write(buf.getvalue())
