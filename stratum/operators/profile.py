@@ -13,14 +13,19 @@ from stratum.functions.columns import bytes_to_mb
 def table_profile(tables: dict) -> DataFrame:
     """One row per named table: num_rows, num_columns (A3).
 
-    Each count is a separate scan with an empty read schema; the union of
-    one-row aggregates is tiny.
+    All scans (empty read schema: only row counts are needed) feed one
+    aggregate keyed by table name -- one shuffle of partial counts for any
+    number of tables. The table list is the left side, so an empty table
+    still reports 0 rows.
     """
-    parts = [df.agg(F.count(F.lit(1)).cast("long").alias("num_rows"))
-               .select(F.lit(name).alias("table_name"), "num_rows",
-                       F.lit(len(df.columns)).cast("long").alias("num_columns"))
-             for name, df in tables.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    spark = next(iter(tables.values())).sparkSession
+    tagged = reduce(lambda a, b: a.unionByName(b),
+                    [df.select(F.lit(name).alias("table_name")) for name, df in tables.items()])
+    counts = tagged.groupBy("table_name").agg(F.count(F.lit(1)).cast("long").alias("num_rows"))
+    names = spark.createDataFrame([(n, len(df.columns)) for n, df in tables.items()],
+                                  "table_name string, num_columns long")
+    return (names.join(counts, "table_name", "left")
+            .select("table_name", F.coalesce("num_rows", F.lit(0).cast("long")).alias("num_rows"), "num_columns"))
 
 
 def environment_profile(datasets: DataFrame, files: DataFrame, environment: str) -> DataFrame:

@@ -159,3 +159,49 @@ def test_import_flat_layer_then_append(spark, scratch):
     build_single_extraction(incoming, 2024, 2, 1)
     append_extraction(spark, incoming, clean, 2024, 2, 1)
     assert read_dataset(spark, clean, "followers_new").count() == 2 + 15
+
+
+def test_step_facade(spark, scratch):
+    from stratum.plans.etl import CleanLayerETL
+    from xlsx_fixture import build_raw_tree
+
+    raw, clean = os.path.join(scratch, "raw"), os.path.join(scratch, "clean")
+    build_raw_tree(raw, months=((2024, 1),), extra_files=False)
+    etl = CleanLayerETL(spark, raw, clean)
+    staged = etl.extract_data()
+    transformed = etl.transform_data(staged)
+    assert set(transformed) == set(SPECS)
+    etl.load_to_clean(staged)
+    month = etl.concatenate_monthly_data(2024, 1)
+    assert month["content_metrics"].count() == 31
+    etl.export_data(levels=("all",))
+    assert read_dataset(spark, clean, "competitor", level="all_extractions").count() == \
+        etl.clean_table("competitor").count()
+    incoming = os.path.join(scratch, "incoming")
+    build_single_extraction(incoming, 2024, 2, 1)
+    new_staged = etl.get_raw_unique_extraction_data(incoming, 2024, 2, 1)
+    merged = etl.concatenate_unique_extraction_data(etl.get_clean_concatenated_data(),
+                                                    etl.transform_data(new_staged))
+    assert merged["content_metrics"].count() == 31 + 15
+    etl.export_dataframes(new_staged)
+    assert etl.clean_table("content_metrics").count() == 31 + 15
+
+
+def test_rebuild_independent_of_scan_partitioning(spark, scratch):
+    from xlsx_fixture import build_raw_tree
+
+    raw = os.path.join(scratch, "raw_p")
+    build_raw_tree(raw, months=((2024, 3),), extra_files=False)
+    outs = []
+    for max_bytes in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", max_bytes)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k" if max_bytes == "1k" else "4m")
+        try:
+            clean = os.path.join(scratch, f"clean_{max_bytes}")
+            rebuild(spark, raw, clean)
+            outs.append(sorted(tuple(r) for r in read_dataset(spark, clean, "content_metrics")
+                               .drop("source_file").collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert outs[0] == outs[1] and len(outs[0]) == 31
