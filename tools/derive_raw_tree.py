@@ -19,9 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.functions.columns import half_month_period, month_name
+from stratum.functions.columns import half_month_period
 from stratum.plans.tables import load
-from stratum.registry import SPECS
+from stratum.registry import MONTH_NAMES_PT, SPECS
 
 CATEGORY_DIRS = {"competitor": "Concorrentes", "content": "Conteudo", "followers": "Seguidores",
                  "visitors": "Visitantes"}
@@ -142,7 +142,6 @@ def _writer(root: str, incoming: str, holdout: set):
         if (y, m, p) in holdout:
             path = os.path.join(incoming, f"{y}_{m:02d}_{p}", fname)
         else:
-            from stratum.registry import MONTH_NAMES_PT
             path = os.path.join(root, CATEGORY_DIRS[cat], str(y), MONTH_NAMES_PT[m - 1], fname)
         write_xlsx(path, sheets)
         return pd.DataFrame({"path": [path], "n_rows": [n], "hold": [(y, m, p) in holdout]})
@@ -189,4 +188,3 @@ if __name__ == "__main__":  # pragma: no cover
     print(derive_raw_tree(spark, sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01",
                           os.path.join(base, "raw"), os.path.join(base, "incoming")))
     print(base)
-    _ = month_name  # re-exported helper for callers deriving folder names
