@@ -15,7 +15,8 @@ import time
 
 from pyspark.sql import SparkSession
 
-from stratum.plans.rebuild import load_datasets, stage_cells
+from stratum.plans.rebuild import load_datasets, rejects, stage_cells
+from stratum.sinks.writers import write_table
 from stratum.sources.clean import read_dataset
 from stratum.sources.files import discover_single_extraction
 from stratum.sources.xlsx import scan_cells
@@ -36,6 +37,8 @@ def append_extraction(spark: SparkSession, incoming: str, clean_root: str, year:
     load_datasets(spark, staged, clean_root, fmt, dialect, null_policy=null_policy, frame=frame,
                   parallelism=parallelism, mode="overwrite", dynamic=True, cluster=False)
     timings["export_dataframes"] = time.perf_counter() - t0
+    write_table(rejects(files, staged),
+                os.path.join(clean_root, "_rejects_append", f"{int(year)}_{int(month)}_{int(period)}"))
     timings["total_etl_time"] = time.perf_counter() - t_all
     return timings
 

@@ -60,6 +60,17 @@ def write_partitions(spark: SparkSession, nbytes: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-int(nbytes) // TARGET_WRITE_BYTES))
 
 
+def rejects(files: DataFrame, staged: DataFrame) -> DataFrame:
+    """Files that were not loaded, with the reason: unclassified name or unknown
+    folder, undecodable workbook, or a sheet whose width differs from the registry."""
+    return (rejected_files(files).select("path", F.lit("unclassified file").alias("reason"))
+            .unionByName(staged.filter(F.col("error").isNotNull())
+                         .select(F.col("source_file").alias("path"), F.col("error").alias("reason")))
+            .unionByName(arity_rejects(staged).select(
+                F.col("source_file").alias("path"),
+                F.format_string("%s: %d columns, expected %d", "dataset", "width", "expected").alias("reason"))))
+
+
 def _concurrently(fn, items, parallelism: int):
     """Submit independent write jobs together (the scheduler interleaves their tasks)."""
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -145,13 +156,7 @@ def rebuild(spark: SparkSession, raw_root: str, clean_root: str, fmt: str = "par
                   parallelism=parallelism, dynamic=False, sizes=sizes)
     timings["load_to_clean"] = time.perf_counter() - t0
 
-    rejects = (rejected_files(files).select("path", F.lit("unclassified file").alias("reason"))
-               .unionByName(staged.filter(F.col("error").isNotNull())
-                            .select(F.col("source_file").alias("path"), F.col("error").alias("reason")))
-               .unionByName(arity_rejects(staged).select(
-                   F.col("source_file").alias("path"),
-                   F.format_string("%s: %d columns, expected %d", "dataset", "width", "expected").alias("reason"))))
-    write_table(rejects, os.path.join(clean_root, "_rejects"))
+    write_table(rejects(files, staged), os.path.join(clean_root, "_rejects"))
     timings.update(export_levels(spark, clean_root, fmt, dialect, levels, parallelism=parallelism, sizes=sizes))
     timings["total_etl_time"] = time.perf_counter() - t_all
     return timings

@@ -205,3 +205,18 @@ def test_rebuild_independent_of_scan_partitioning(spark, scratch):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
             spark.conf.unset("spark.sql.files.openCostInBytes")
     assert outs[0] == outs[1] and len(outs[0]) == 31
+
+
+def test_append_reports_rejects(spark, scratch):
+    incoming = os.path.join(scratch, "incoming_bad")
+    build_single_extraction(incoming, 2024, 4, 2)
+    with open(os.path.join(incoming, "page_visitors_broken.xlsx"), "wb") as fh:
+        fh.write(b"PK not really a zip")
+    write_xlsx(os.path.join(incoming, "summary_sheet.xlsx"), [("x", [["a"], ["1"]])])
+    clean = os.path.join(scratch, "clean_rej")
+    append_extraction(spark, incoming, clean, 2024, 4, 2)
+    rej = spark.read.parquet(os.path.join(clean, "_rejects_append", "2024_4_2")).collect()
+    reasons = {os.path.basename(r.path): r.reason for r in rej}
+    assert reasons["summary_sheet.xlsx"] == "unclassified file"
+    assert reasons["page_visitors_broken.xlsx"].startswith("BadZipFile")
+    assert read_dataset(spark, clean, "content_metrics").count() == 15  # April 16..30
