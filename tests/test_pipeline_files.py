@@ -220,3 +220,19 @@ def test_append_reports_rejects(spark, scratch):
     assert reasons["summary_sheet.xlsx"] == "unclassified file"
     assert reasons["page_visitors_broken.xlsx"].startswith("BadZipFile")
     assert read_dataset(spark, clean, "content_metrics").count() == 15  # April 16..30
+
+
+def test_csv_layer_equals_parquet_layer(spark, built, scratch):
+    clean_csv = os.path.join(scratch, "clean_csv")
+    rebuild(spark, built["raw"], clean_csv, fmt="csv", dialect="semicolon")
+    for name in ["content_metrics", "content_posts", "visitors_metrics", "competitor"]:
+        pq = read_dataset(spark, built["clean"], name)
+        csv = read_dataset(spark, clean_csv, name, fmt="csv", dialect="semicolon")
+        cols = sorted(pq.columns)
+        assert sorted(csv.columns) == cols
+        def key(t):
+            return tuple((x is None, str(x)) for x in t)
+
+        a = sorted((tuple(r) for r in pq.select(*cols).filter(F.col("year") == 2024).collect()), key=key)
+        b = sorted((tuple(r) for r in csv.select(*cols).filter(F.col("year") == 2024).collect()), key=key)
+        assert a == b, name
