@@ -223,6 +223,7 @@ def test_append_reports_rejects(spark, scratch):
 
 
 def test_csv_layer_equals_parquet_layer(spark, built, scratch):
+    # other tests append later months to the shared layer: compare the fixture months only
     clean_csv = os.path.join(scratch, "clean_csv")
     rebuild(spark, built["raw"], clean_csv, fmt="csv", dialect="semicolon")
     for name in ["content_metrics", "content_posts", "visitors_metrics", "competitor"]:
@@ -233,6 +234,6 @@ def test_csv_layer_equals_parquet_layer(spark, built, scratch):
         def key(t):
             return tuple((x is None, str(x)) for x in t)
 
-        a = sorted((tuple(r) for r in pq.select(*cols).filter(F.col("year") == 2024).collect()), key=key)
-        b = sorted((tuple(r) for r in csv.select(*cols).filter(F.col("year") == 2024).collect()), key=key)
+        a = sorted((tuple(r) for r in pq.select(*cols).filter((F.col("year") == 2024) & (F.col("month") <= 2)).collect()), key=key)
+        b = sorted((tuple(r) for r in csv.select(*cols).filter((F.col("year") == 2024) & (F.col("month") <= 2)).collect()), key=key)
         assert a == b, name
