@@ -52,14 +52,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must already be set to a shared location (HDFS, object
-    store, NFS). Only when it is unset -- local runs and tests -- do we pick a
-    fresh scratch directory under /tmp and register it.
+    store, NFS); it is read from the session (or the SparkContext, when set
+    programmatically). Only when it is unset -- local runs and tests -- do we
+    pick a fresh scratch directory under /tmp and register it.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
+    try:
+        sc = spark.sparkContext
+        current = current or sc.getCheckpointDir()
+    except Exception:  # noqa: BLE001 -- Spark Connect: no SparkContext
+        pass
     if not current:
         current = tempfile.mkdtemp(prefix="stratum-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # noqa: BLE001 -- some deployments refuse runtime core-conf changes
+            pass
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 
