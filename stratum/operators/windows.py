@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratum.session import cut_lineage
+
 DEFAULT_HOT_KEY_ROWS = 4_000_000
 # Row limit for broadcasting the per-bucket helper tables; above it they are
 # joined with a shuffle instead (their size is known on the driver up front).
@@ -77,10 +79,13 @@ def _with_buckets(df: DataFrame, keys, order, hot_rows, hot_key_rows: int) -> Da
                 .withColumn(_HOT, F.coalesce(F.col(_HOT), F.lit(False)))
                 .drop(*[f"__h_{k}" for k in keys]))
     n_buckets = _bucket_count(hot_rows, hot_key_rows)
-    # Range boundaries come from Spark's deterministic per-partition sample, so a
-    # recomputed branch assigns the same buckets.
     hot_part = (marked.filter(F.col(_HOT)).repartitionByRange(n_buckets, *keys, *order)
                 .withColumn(_BKT, F.spark_partition_id().cast("long") + 1))
+    # Range boundaries are sampled: if the input's row order is not deterministic,
+    # two evaluations could bucket differently, and the window and the stitching
+    # tables are two consumers. A reliable checkpoint (shared checkpoint folder,
+    # survives executor loss) fixes the assignment once for both.
+    hot_part = cut_lineage(hot_part)
     cold_part = marked.filter(~F.col(_HOT)).withColumn(_BKT, F.lit(0).cast("long"))
     return hot_part.unionByName(cold_part)
 
