@@ -117,13 +117,14 @@ def parse_date_strict(col, fmt: str = "M/d/yyyy") -> Column:
 def parse_date(col, formats=DATE_FORMATS, excel_serial: bool = True) -> Column:
     """Lenient multi-format parse (C8/C9): first format that parses wins, else NULL.
 
-    With ``excel_serial`` an all-digit cell is read as a spreadsheet day serial
-    (days since 1899-12-30), which is how workbooks store typed dates.
+    With ``excel_serial`` a numeric cell is read as a spreadsheet day serial
+    (days since 1899-12-30), which is how workbooks store typed dates; a
+    fractional part (time of day) is dropped.
     """
     c = blank_to_null(F.trim(_c(col).cast("string")))
     parsed = [F.try_to_date(c, f) for f in formats]
     if excel_serial:
-        serial = F.when(c.rlike(r"^\d{1,6}(\.0+)?$"),
+        serial = F.when(c.rlike(r"^\d{1,6}(\.\d+)?$"),
                         F.date_add(F.lit("1899-12-30").cast("date"),
                                    F.split(c, r"\.").getItem(0).cast("int")))
         parsed.append(serial)

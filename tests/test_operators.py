@@ -28,11 +28,11 @@ def test_classify_order(spark):
 
 
 def test_parse_date_variants(spark):
-    df = spark.createDataFrame([("1/5/2024",), ("2024-01-05",), ("",), (None,), ("45296",), ("02/30/2024",)],
-                               "s string")
+    df = spark.createDataFrame([("1/5/2024",), ("2024-01-05",), ("",), (None,), ("45296",), ("02/30/2024",),
+                                ("45296.75",), ("2024-01-05 13:00:00",)], "s string")
     got = [r[0] for r in df.select(C.parse_date("s")).collect()]
     d = dt.date(2024, 1, 5)
-    assert got == [d, d, None, None, d, None]
+    assert got == [d, d, None, None, d, None, d, d]
 
 
 def test_parse_date_strict_raises(spark):
