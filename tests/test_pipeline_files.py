@@ -237,3 +237,21 @@ def test_csv_layer_equals_parquet_layer(spark, built, scratch):
         a = sorted((tuple(r) for r in pq.select(*cols).filter((F.col("year") == 2024) & (F.col("month") <= 2)).collect()), key=key)
         b = sorted((tuple(r) for r in csv.select(*cols).filter((F.col("year") == 2024) & (F.col("month") <= 2)).collect()), key=key)
         assert a == b, name
+
+
+def test_cli_and_profiles(spark, scratch):
+    from stratum.__main__ import main
+    from xlsx_fixture import build_raw_tree
+
+    raw, clean = os.path.join(scratch, "raw_cli"), os.path.join(scratch, "clean_cli")
+    info = build_raw_tree(raw, months=((2024, 5),), extra_files=False)
+    t = main(["rebuild", raw, clean, "--fmt", "csv", "--levels", "all"], spark=spark)
+    assert t["total_etl_time"] > 0
+    prof = main(["profile", "raw", raw, "1m"], spark=spark)
+    assert prof["num_files"] == info["files"] == 8
+    assert prof["num_tables"] == 2 * 15
+    assert prof["total_columns"] == 2 * sum(len(s.columns) for s in SPECS.values())
+    total = sum(read_dataset(spark, clean, n, fmt="csv").count() for n in SPECS)
+    assert prof["total_rows"] == total
+    size = main(["profile", "clean", os.path.join(clean, "extractions"), "1m"], spark=spark)
+    assert size["num_files"] > 0 and size["num_lines"] > total  # headers + multi-line titles
