@@ -93,3 +93,38 @@ def test_xlsx_decode_roundtrip(tmp_path_factory, rows):
         while want and want[-1] == "":
             want.pop()
         assert [("" if c is None else c) for c in cells] == want
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(batch=st.lists(st.tuples(st.integers(1900, 2100), st.integers(1, 12), st.integers(1, 3)),
+                      min_size=1, max_size=40))
+def test_period_end_matches_calendar(spark, batch):
+    import calendar
+
+    from stratum.functions.columns import period_end_date
+
+    df = spark.createDataFrame(batch, "y int, m int, p int")
+    got = [r[0] for r in df.select(period_end_date("y", "m", "p")).collect()]
+    want = [dt.date(y, m, calendar.monthrange(y, m)[1] if p == 2 else 15) for y, m, p in batch]
+    assert got == want
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(xs=st.lists(st.integers(-10**6, 10**6), min_size=1, max_size=40))
+def test_half_even_matches_python_round(spark, xs):
+    from stratum.functions.columns import round_half_even_long
+
+    vals = [x / 2 for x in xs]  # exact halves and integers
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    assert [r[0] for r in df.select(round_half_even_long("v")).collect()] == [round(v) for v in vals]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(words=st.lists(st.text(alphabet="abcXYZ 19-", min_size=0, max_size=12), min_size=1, max_size=20))
+def test_month_roundtrip_and_capitalize(spark, words):
+    from stratum.functions.columns import capitalize, month_name, month_number
+
+    months = spark.range(1, 13).select(F.col("id").cast("int").alias("m"))
+    assert [r[0] for r in months.select(month_number(month_name("m"))).collect()] == list(range(1, 13))
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(capitalize("w")).collect()] == [w.capitalize() for w in words]
