@@ -141,7 +141,7 @@ def export_levels(spark: SparkSession, clean_root: str, fmt: str = "parquet", di
 
 def rebuild(spark: SparkSession, raw_root: str, clean_root: str, fmt: str = "parquet", dialect: str = "quoted",
             levels=(), null_policy: str = "keep", frame: str = "rows", parallelism: int = 8) -> dict:
-    """Rebuild ``clean_root`` from ``raw_root``; returns stage timings and reject counts."""
+    """Rebuild ``clean_root`` from ``raw_root``; returns stage timings (rejects go to ``<clean>/_rejects``)."""
     t_all = time.perf_counter()
     timings = {}
     files = discover_extractions(spark, raw_root)
