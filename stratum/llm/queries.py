@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, langid, licenses
 from .bpe import encode_digests
-from .common import table
+from .common import held_out, table
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +16,70 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs, vocab = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    model = langid.learn(docs.filter(~held_out(F.col("doc_id"))), vocab)
+    return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
-ORACLE: dict[str, str] = {}
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op4_byte_bpe": op4_byte_bpe,
+    "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
+    "op8_decontaminate": op8_decontaminate,
+}
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _license_sql() -> str:
+    keys = list(dict.fromkeys([*licenses.BASE.values(), *(k for _, _, k in licenses.TEMPLATES)]))
+    at = {p: f"at_{i}" for i, p in enumerate(keys)}
+    places = ", ".join("list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(p.split(), 1)) + f") AS {at[p]}" for p in keys)
+    base = "flatten([" + ", ".join(at[p] for p in licenses.BASE.values()) + "])"
+
+    def labels(pairs):
+        return "array_to_string(list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN len({c}) > 0 THEN ['{x}'] ELSE [] END" for x, c in pairs) + "]))), ',')"
+
+    own = [(x, at[p]) for x, p in licenses.BASE.items()]
+    scores = []
+    for _, notice, key in licenses.TEMPLATES:
+        n, k = notice.split(), key.split()
+        off = next(i for i in range(len(n)) if n[i : i + len(k)] == k)
+        hits = " + ".join(f"CASE WHEN s + {i - off} >= 0 AND w[s + {i - off + 1}] = '{x}' THEN 1 ELSE 0 END" for i, x in enumerate(n))
+        scores.append(f"coalesce(list_max(list_transform({at[key]}, lambda s: ({hits}) / {len(n)}.0::DOUBLE)), 0)")
+    return f"""
+    WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    e AS (SELECT doc_id, w, {places} FROM d)
+    SELECT doc_id, len(w) AS n_words, len({base}) AS n_base, list_min({base}) AS first_word, list_max({base}) AS last_word,
+      {labels(own)} AS base_labels, {labels([*own, *((x, at[k]) for x, _, k in licenses.TEMPLATES)])} AS labels,
+      greatest({", ".join(scores)})::DOUBLE AS score FROM e"""
+
+
+ORACLE: dict[str, str] = {
+    "op7_license_scan": _license_sql(),
+    "op8_decontaminate": f"""
+    WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS w FROM benchmark),
+    c AS (SELECT item, w, least({decontaminate.WINDOW}, len(w)) AS k FROM b WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM c)),
+    d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    g AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win))),
+    m AS (SELECT doc_id, i, k, item FROM g JOIN win USING (k, g)),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
+    its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+}
