@@ -8,7 +8,7 @@ word. Exact: a key phrase can't stand where its rare tokens don't. The score is
 share of a found template's words that stand at their relative positions.
 
 Per row only: no shuffle but that of the IDF counts, which are pre-aggregated and at most one
-row for each template word. Memory is bounded by the longest text.
+row for each phrase word. Memory is bounded by the longest text.
 
 Defined cases: null and wordless texts have no words, no label and score 0; repeated rows are
 scanned alike; extra columns are ignored; an empty table gives an empty result.
@@ -55,85 +55,70 @@ def words_of(low: Column) -> Column:
 
 
 def idf_order(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """Document frequency of every template word: the rarer, the higher its IDF."""
-    vocab = sorted({w for _, notice, _ in TEMPLATES for w in notice.split()})
-    own = F.array_intersect(words_of(lowered(F.col(text_col))), F.array(*map(F.lit, vocab)))
+    """Document frequency of every word of a phrase: the rarer, the higher its IDF."""
+    vocab = sorted({w for p in [*BASE.values(), *(key for _, _, key in TEMPLATES)] for w in p.split()})
+    own = F.array_distinct(F.filter(words_of(lowered(F.col(text_col))), lambda w: w.isin(vocab)))
     counts = docs.select(F.explode(own).alias("word")).groupBy("word").count().collect()
     return dict.fromkeys(vocab, 0) | {r["word"]: r["count"] for r in counts}
 
 
-def _slice_is(words: Column, start: Column, phrase: list[str]) -> Column:
-    """The phrase stands at ``start`` (0-based, not negative)."""
-    return F.slice(words, start + 1, len(phrase)) == F.array(*map(F.lit, phrase))
+def _array(phrase: list[str]) -> str:
+    return "array(" + ", ".join(f"'{w}'" for w in phrase) + ")"
 
 
-def _less(offset: int):
-    return lambda p: p - offset
+def _rare(phrase: str, df: dict[str, int]) -> list[str]:
+    """The phrase's two words of highest IDF."""
+    return sorted(set(phrase.split()), key=lambda w: (df.get(w, 0), w))[:2]
 
 
-def _stands(w: str):
-    return lambda x: x["words"] == w
+def _places(phrase: str, rare: list[str], index: dict[str, str]) -> str:
+    """Starts of a phrase: its rare words' positions, less their offsets, intersected and
+    verified word by word."""
+    words = phrase.split()
+    starts = [f"transform({index[w]}, p -> p - {words.index(w)})" for w in rare]
+    agreed = starts[0] if len(starts) == 1 else f"array_intersect({starts[0]}, {starts[1]})"
+    verified = f"filter({agreed}, s -> s >= 0 AND slice(words, s + 1, {len(words)}) = {_array(words)})"
+    return f"coalesce({verified}, cast(array() AS array<int>))"
 
 
-def _share(words: Column, notice: list[str], off: int):
-    """Share of the notice's words that stand at their places around a key phrase's start."""
+def _share(notice: list[str], off: int, at: str) -> str:
+    """Largest share of the notice's words that stand at their places around a key phrase."""
+    there = " + ".join(f"int(coalesce(get(words, s + ({i - off})) = '{w}', false))" for i, w in enumerate(notice))
+    return f"array_max(transform({at}, s -> ({there}) / {len(notice)}.0D))"
 
-    def share(s):
-        there = [F.coalesce((s + (i - off) >= 0) & (F.get(words, s + (i - off)) == w), F.lit(False)).cast("int") for i, w in enumerate(notice)]
-        return sum(there[1:], there[0]) / F.lit(float(len(notice)))
 
-    return share
-
-
-def _places(words: Column, index: Column, phrase: list[str], df: dict[str, int]) -> Column:
-    """Starts of a phrase: its two rarest words' positions, less their offsets, intersected
-    and verified."""
-    offsets = {}
-    for i, w in enumerate(phrase):
-        offsets.setdefault(w, i)
-    rare = sorted(offsets, key=lambda w: (df.get(w, 0), w))[:2]
-    starts = [F.transform(index[w], _less(offsets[w])) for w in rare]
-    agreed = starts[0] if len(starts) == 1 else F.array_intersect(*starts)
-    return F.filter(agreed, lambda s: (s >= 0) & _slice_is(words, s, phrase))
+def _labels(pairs) -> str:
+    own = ", ".join(f"CASE WHEN size({c}) > 0 THEN '{x}' END" for x, c in pairs)
+    return f"array_join(array_sort(array_distinct(array_compact(array({own})))), ',')"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: words, base places, labels and score."""
     df = idf_order(docs, text_col)
-    phrases = {p: None for p in [*BASE.values(), *(key for _, _, key in TEMPLATES)]}
-    rare_of = {p: sorted(set(p.split()), key=lambda w: (df.get(w, 0), w))[:2] for p in phrases}
-    rare = sorted({w for ws in rare_of.values() for w in ws})
-    some = [F.contains("low", F.lit(ws[0])) for ws in rare_of.values()]
-    maybe = some[0]
-    for x in some[1:]:
-        maybe = maybe | x
+    phrases = list(dict.fromkeys([*BASE.values(), *(key for _, _, key in TEMPLATES)]))
+    rare = {p: _rare(p, df) for p in phrases}
+    tokens = sorted({w for ws in rare.values() for w in ws})
+    index = {w: f"ix_{i}" for i, w in enumerate(tokens)}
+    at = {p: f"at_{i}" for i, p in enumerate(phrases)}
+    maybe = " OR ".join(f"contains(low, '{w}')" for w in sorted({ws[0] for ws in rare.values()}))
     d = docs.select(F.col(id_col).alias("id"), lowered(F.col(text_col)).alias("low"))
-    d = d.select("id", words_of(F.col("low")).alias("words"), maybe.alias("maybe"))
-    d = d.withColumn("n_words", F.size("words").cast("long"))
+    d = d.select("id", words_of(F.col("low")).alias("words"), F.expr(maybe).alias("maybe"))
     # most files have no rare token: their words go no further
-    d = d.withColumn("words", F.when(F.col("maybe"), F.col("words")))
-    words = F.col("words")
-    # the file's own postings: positions of its rare tokens
-    own = F.filter(F.arrays_zip(words, F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))), lambda x: x["words"].isin(*rare))
-    d = d.withColumn("own", F.when(F.size(words) > 0, own))
-    index = {w: F.transform(F.filter(F.col("own"), _stands(w)), lambda x: x["1"]) for w in rare}
-    at = {p: f"at_{i}" for i, p in enumerate(phrases)}
-    d = d.select("id", "n_words", "words", *[F.coalesce(_places(words, index, p.split(), df), F.array().cast("array<int>")).alias(at[p]) for p in phrases])
-    base = {label: F.col(at[p]) for label, p in BASE.items()}
-    found = F.flatten(F.array(*base.values()))
-
-    def labels(pairs) -> Column:
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(x)) for x, c in pairs])))), ",")
-
+    d = d.selectExpr("id", "cast(size(words) AS long) AS n_words", "CASE WHEN maybe THEN words END AS words")
+    # the file's postings: positions of its rare tokens
+    own = f"filter(arrays_zip(words, sequence(0, size(words) - 1)), x -> x.words IN ({', '.join(repr(w) for w in tokens)}))"
+    d = d.selectExpr("id", "n_words", "words", f"CASE WHEN size(words) > 0 THEN {own} END AS own")
+    d = d.selectExpr("id", "n_words", "words", *[f"transform(filter(own, x -> x.words = '{w}'), x -> x.`1`) AS {c}" for w, c in index.items()])
+    d = d.selectExpr("id", "n_words", "words", *[f"{_places(p, rare[p], index)} AS {c}" for p, c in at.items()])
+    base = [(label, at[p]) for label, p in BASE.items()]
+    found = "flatten(array(" + ", ".join(c for _, c in base) + "))"
     scores = []
     for _, notice, key in TEMPLATES:
         n, k = notice.split(), key.split()
-        off = next(i for i in range(len(n)) if n[i : i + len(k)] == k)
-        scores.append(F.array_max(F.transform(F.col(at[key]), _share(words, n, off))))
-    return d.select(
-        F.col("id").alias(id_col), "n_words", F.size(found).cast("long").alias("n_base"),
-        F.array_min(found).cast("long").alias("first_word"), F.array_max(found).cast("long").alias("last_word"),
-        labels(base.items()).alias("base_labels"),
-        labels([*base.items(), *((x, F.col(at[key])) for x, _, key in TEMPLATES)]).alias("labels"),
-        F.coalesce(F.greatest(*scores), F.lit(0.0)).alias("score"),
+        scores.append(_share(n, next(i for i in range(len(n)) if n[i : i + len(k)] == k), at[key]))
+    return d.selectExpr(
+        f"id AS `{id_col}`", "n_words", f"cast(size({found}) AS long) AS n_base",
+        f"cast(array_min({found}) AS long) AS first_word", f"cast(array_max({found}) AS long) AS last_word",
+        f"{_labels(base)} AS base_labels", f"{_labels([*base, *((x, at[key]) for x, _, key in TEMPLATES)])} AS labels",
+        f"coalesce(greatest({', '.join(scores)}), 0.0D) AS score",
     )
