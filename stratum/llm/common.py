@@ -69,3 +69,10 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """Bytes of text of the whole table: one pre-aggregated row."""
     return df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path in it) of a URI, on the driver or an executor."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)

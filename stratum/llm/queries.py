@@ -6,11 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses
+from . import decontaminate, langid, licenses, rans, warc
 from .bpe import encode_digests
 from .common import held_out, table
 
 
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as rANS files in id order and read back."""
+    manifest = rans.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rans.read_tokens(spark, manifest, with_ids=False)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and their decoding, as digests."""
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -33,11 +39,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op3_token_ids": op3_token_ids,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_decontaminate": op8_decontaminate,
+    "op10_warc": op10_warc,
 }
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -68,6 +81,12 @@ def _license_sql() -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op10_warc": f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+    q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+      CASE WHEN n >= {warc.LEAST_REVISIT} AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN n >= {warc.LEAST_REVISIT} AND page_id < first THEN first END AS refers_to FROM q""",
     "op7_license_scan": _license_sql(),
     "op8_decontaminate": f"""
     WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS w FROM benchmark),
