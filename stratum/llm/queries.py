@@ -6,9 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, rans, warc
+from . import ann, decontaminate, langid, licenses, quality, rans, warc
 from .bpe import encode_digests
-from .common import held_out, table
+from .common import held_out, scratch, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labelled rows that are not held out."""
+    root = scratch(spark, "quality")
+    quality.with_features(table(spark, sf_dir, "documents")).write.parquet(root)  # the texts are read once
+    stats, held = spark.read.parquet(root), held_out(F.col("doc_id"))
+    model = quality.learn(stats.filter(~held), table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= quality.KEEP_SCORE).cast("int").alias("predicted")
+    return quality.score(stats, model).select("doc_id", held.alias("held_out"), "score", predicted)
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +32,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     docs, vocab = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
@@ -45,8 +61,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_token_ids": op3_token_ids,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_nearest": op5_nearest,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_decontaminate": op8_decontaminate,
