@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licenses, quality, rans, warc
+from . import ann, decontaminate, langid, licenses, quality, rans, suffixes, warc
 from .bpe import encode_digests
 from .common import held_out, scratch, table
 
@@ -21,6 +21,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select("doc_id", held.alias("held_out"), "score", predicted)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 400 bytes take from every document."""
+    result, packed = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    root = scratch(spark, "repeats")
+    result.write.parquet(root)
+    packed.unpersist()
+    return spark.read.parquet(root)
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as rANS files in id order and read back."""
     manifest = rans.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -62,6 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_ids": op3_token_ids,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_nearest": op5_nearest,
