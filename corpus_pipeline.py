@@ -5,10 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
-from stratum.llm import bpe
-from stratum.llm.common import scratch, table
+from stratum.llm import bagminhash, bpe, decontaminate, quality, suffixes
+from stratum.llm.common import held_out, scratch, table
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of this input, doesn't reject."""
+    root = scratch(spark, "quality")
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").filter(~held_out(F.col("doc_id")))
+    quality.with_features(labelled).write.parquet(root)
+    return quality.keep_good(docs, quality.learn(spark.read.parquet(root), table(spark, sf_dir, "labels")))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return bagminhash.keep_one(docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 400 bytes that start anywhere else."""
+    result, _ = suffixes.remove_repeats(docs, keep_rest=True)
+    return result.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark doesn't contaminate."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +42,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good),
+    ("near-duplicates", distinct),
+    ("suffix-array dedup", unrepeated),
+    ("decontamination", uncontaminated),
     ("byte BPE", encode),
 ]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licenses, quality, rans, suffixes, warc
+from . import ann, bagminhash, decontaminate, langid, licenses, quality, rans, suffixes, warc
 from .bpe import encode_digests
 from .common import held_out, scratch, table
 
@@ -64,6 +64,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return bagminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     return warc.archive(table(spark, sf_dir, "pages"))
@@ -78,6 +83,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_decontaminate": op8_decontaminate,
+    "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
 }
 
