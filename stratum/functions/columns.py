@@ -100,7 +100,8 @@ def month_name(num_col) -> Column:
     return F.try_element_at(_num_to_month(), _c(num_col).cast("int"))
 
 
-DATE_FORMATS = ("M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
+DATE_FORMATS = ("M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd",
+                "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
 
 
 def blank_to_null(col) -> Column:

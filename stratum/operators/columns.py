@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratum.functions.columns import parse_date
+from stratum.functions.columns import blank_to_null, parse_date
 
 
 def positional_rename(df: DataFrame, names) -> DataFrame:
@@ -40,7 +40,11 @@ def add_column(df: DataFrame, name: str, dtype, value=None, if_not_exists: bool
 def convert(col: Column, dtype: T.DataType, strict: bool) -> Column:
     """String/any -> declared type. Dates accept M/d/yyyy, ISO and day serials."""
     if isinstance(dtype, T.DateType):
-        return parse_date(col)
+        if not strict:
+            return parse_date(col)
+        text = blank_to_null(F.trim(col.cast("string")))
+        failed = F.raise_error(F.concat(F.lit("not a date: "), text)).cast("date")
+        return F.coalesce(parse_date(col), F.when(text.isNotNull(), failed))
     return col.cast(dtype) if strict else col.try_cast(dtype)
 
 
@@ -62,14 +66,14 @@ def typed_select(df: DataFrame, schema: T.StructType, strict: bool = False, by_p
 def update_from(df: DataFrame, updates: DataFrame, keys, columns, broadcast_updates: bool = False) -> DataFrame:
     """Overwrite ``columns`` of ``df`` with the matching row of ``updates``.
 
-    ``updates`` must hold at most one row per key (aggregate it first); rows
-    without a match keep their value, as do NULL update values
-    (``COALESCE(new, old)``). Planned as a left outer equi-join; AQE picks
+    ``updates`` must hold at most one row per key (aggregate it first); a matched row
+    takes the new value, NULL included, and rows without a match keep theirs. Planned as a left outer equi-join; AQE picks
     broadcast vs sort-merge from the runtime size of ``updates``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     cols = [columns] if isinstance(columns, str) else list(columns)
-    u = updates.select(*[F.col(k).alias(f"__u_{k}") for k in keys], *[F.col(c).alias(f"__n_{c}") for c in cols])
+    u = updates.select(*[F.col(k).alias(f"__u_{k}") for k in keys], *[F.col(c).alias(f"__n_{c}") for c in cols],
+                       F.lit(True).alias("__matched"))
     if broadcast_updates:
         u = F.broadcast(u)
     cond = None
@@ -77,5 +81,5 @@ def update_from(df: DataFrame, updates: DataFrame, keys, columns, broadcast_upda
         c = df[k] == u[f"__u_{k}"]
         cond = c if cond is None else cond & c
     joined = df.join(u, cond, "left")
-    out = joined.withColumns({c: F.coalesce(F.col(f"__n_{c}"), df[c]) for c in cols})
-    return out.drop(*[f"__u_{k}" for k in keys], *[f"__n_{c}" for c in cols])
+    out = joined.withColumns({c: F.when(F.col("__matched"), F.col(f"__n_{c}")).otherwise(df[c]) for c in cols})
+    return out.drop("__matched", *[f"__u_{k}" for k in keys], *[f"__n_{c}" for c in cols])

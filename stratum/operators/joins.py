@@ -37,15 +37,14 @@ def band_self_join_mean(
     cond = (F.col(date_col) == F.col("__target"))
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    joined = df.join(right, cond, "inner")
+    joined = df.join(right, cond, "left")  # a row without a date has no peers and an empty mean
     group_cols = list(df.columns)
     return joined.groupBy(*group_cols).agg(F.avg(F.col("__rv").cast("double")).alias(out))
 
 
-def lookup(df: DataFrame, dim: DataFrame, on, how: str = "inner", fixed_size: bool = True) -> DataFrame:
-    """Join a dimension. ``fixed_size`` dims (month names, sheet registry) have a
-    size that does not grow with the data and are broadcast; others are left to
-    AQE, which broadcasts only after measuring the materialized side."""
+def lookup(df: DataFrame, dim: DataFrame, on, how: str = "inner", fixed_size: bool = False) -> DataFrame:
+    """Join a dimension. AQE broadcasts it if its measured size allows; ``fixed_size`` asks for
+    that beforehand, for dims that never grow with the data (month names, sheet registry)."""
     return df.join(F.broadcast(dim) if fixed_size else dim, on, how)
 
 

@@ -13,15 +13,59 @@ from __future__ import annotations
 import os
 import time
 
+from itertools import chain
+
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from stratum.plans.rebuild import load_datasets, rejects, stage_cells
+from stratum.plans.rebuild import _concurrently, accept, load_datasets, stage_cells
+from stratum.plans.transform import conversion_failures
+from stratum.registry import SPECS
 from stratum.sinks.writers import write_table
-from stratum.sources.clean import read_dataset
+from stratum.sources.clean import dataset_path, read_dataset
 from stratum.sources.files import discover_single_extraction
 from stratum.sources.xlsx import scan_cells
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def clear_empty(spark: SparkSession, staged, clean_root: str, year: int, month: int, period: int) -> None:
+    """Drop the extraction's partition of every dataset for which it now has no rows (a
+    dynamic overwrite replaces only partitions that it writes)."""
+    lead = F.create_map(*chain.from_iterable((F.lit(s.name), F.lit(s.skip_rows)) for s in SPECS.values()))
+    body = staged.filter(F.col("sheet_row") > F.try_element_at(lead, F.col("dataset")))
+    present = {r["dataset"] for r in body.select("dataset").distinct().collect()}  # at most 15
+    for name in SPECS:
+        if name not in present:
+            fs, p = _hadoop(spark, os.path.join(dataset_path(clean_root, name), f"year={int(year)}", f"month={int(month)}", f"period={int(period)}"))
+            fs.delete(p, True)
+
+
+def refresh_levels(spark: SparkSession, clean_root: str, year: int, month: int, fmt: str, dialect: str, parallelism: int) -> None:
+    """Bring the copies that exist up to date: the touched month of the month level, and the
+    whole-history level (one file set per dataset, so it is rewritten)."""
+
+    def one(name):
+        layer = read_dataset(spark, clean_root, name, fmt, dialect)
+        monthly, whole = (dataset_path(clean_root, name, level) for level in ("monthly", "all_extractions"))
+        if exists(spark, monthly):
+            own = layer.filter((F.col("year") == int(year)) & (F.col("month") == int(month)))
+            write_table(own, monthly, fmt=fmt, dialect=dialect, partition_by=["year", "month"])
+        if exists(spark, whole):
+            write_table(layer, whole, fmt=fmt, dialect=dialect)
+
+    if any(exists(spark, os.path.join(clean_root, level)) for level in ("monthly", "all_extractions")):
+        _concurrently(one, list(SPECS), parallelism)
+
+
 def append_extraction(spark: SparkSession, incoming: str, clean_root: str, year: int, month: int, period: int,
                       fmt: str = "parquet", dialect: str = "quoted", null_policy: str = "keep",
                       frame: str = "rows", parallelism: int = 15) -> dict:
@@ -32,13 +76,16 @@ def append_extraction(spark: SparkSession, incoming: str, clean_root: str, year:
     t0 = time.perf_counter()
     staging = os.path.join(clean_root, "_staging", f"cells_{int(year)}_{int(month)}_{int(period)}")
     staged = stage_cells(spark, scan_cells(spark, incoming, recursive=False), files, staging)
+    key = f"{int(year)}_{int(month)}_{int(period)}"
+    good = accept(spark, files, staged, os.path.join(clean_root, "_rejects_append", key))
+    write_table(conversion_failures(good), os.path.join(clean_root, "_rejects_cells_append", key))
     timings["get_raw_unique_extraction_data"] = time.perf_counter() - t0
     t0 = time.perf_counter()
-    load_datasets(spark, staged, clean_root, fmt, dialect, null_policy=null_policy, frame=frame,
+    load_datasets(spark, good, clean_root, fmt, dialect, null_policy=null_policy, frame=frame,
                   parallelism=parallelism, mode="overwrite", dynamic=True, cluster=False)
+    clear_empty(spark, good, clean_root, year, month, period)
+    refresh_levels(spark, clean_root, year, month, fmt, dialect, parallelism)
     timings["export_dataframes"] = time.perf_counter() - t0
-    write_table(rejects(files, staged),
-                os.path.join(clean_root, "_rejects_append", f"{int(year)}_{int(month)}_{int(period)}"))
     timings["total_etl_time"] = time.perf_counter() - t_all
     return timings
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.operators.setops import union_by_name
-from stratum.plans.rebuild import export_levels, load_datasets, stage_cells, staged_bytes
+from stratum.plans.rebuild import accept, export_levels, load_datasets, stage_cells, staged_bytes
 from stratum.plans.transform import transform_dataset
 from stratum.registry import SPECS
 from stratum.sources.clean import read_dataset
@@ -31,10 +31,12 @@ class CleanLayerETL:
 
     # --- strategy 1: full rebuild -------------------------------------------
     def extract_data(self) -> DataFrame:
-        """Decode every workbook once into the staging table; returns it."""
+        """Decode every workbook once into the staging table; returns the rows of the files
+        that can be loaded (the others are reported in ``<clean>/_rejects``)."""
         files = discover_extractions(self.spark, self.raw_root)
         self._staging = os.path.join(self.clean_root, "_staging", "cells")
-        return stage_cells(self.spark, scan_cells(self.spark, self.raw_root), files, self._staging)
+        staged = stage_cells(self.spark, scan_cells(self.spark, self.raw_root), files, self._staging)
+        return accept(self.spark, files, staged, os.path.join(self.clean_root, "_rejects"))
 
     def transform_data(self, staged: DataFrame) -> dict:
         """{dataset: typed, stamped (and for content_metrics repaired) DataFrame}."""
@@ -70,7 +72,8 @@ class CleanLayerETL:
     def get_raw_unique_extraction_data(self, folder: str, year: int, month: int, period: int) -> DataFrame:
         files = discover_single_extraction(self.spark, folder, year, month, period)
         self._staging = os.path.join(self.clean_root, "_staging", f"cells_{int(year)}_{int(month)}_{int(period)}")
-        return stage_cells(self.spark, scan_cells(self.spark, folder, recursive=False), files, self._staging)
+        staged = stage_cells(self.spark, scan_cells(self.spark, folder, recursive=False), files, self._staging)
+        return accept(self.spark, files, staged, os.path.join(self.clean_root, "_rejects_append", f"{int(year)}_{int(month)}_{int(period)}"))
 
     def concatenate_unique_extraction_data(self, clean: dict, new: dict) -> dict:
         """{dataset: existing rows + new rows} as a lazy by-name union (a view, nothing copied)."""

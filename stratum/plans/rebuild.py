@@ -24,7 +24,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.plans.transform import arity_rejects, attach_extraction, transform_dataset
+from stratum.plans.transform import attach_extraction, conversion_failures, loadable, transform_dataset, unloadable
 from stratum.registry import PARTITION_COLS, SPECS
 from stratum.sinks.writers import write_table
 from stratum.sources.clean import dataset_path, read_dataset
@@ -63,12 +63,14 @@ def write_partitions(spark: SparkSession, nbytes: int) -> int:
 def rejects(files: DataFrame, staged: DataFrame) -> DataFrame:
     """Files that were not loaded, with the reason: unclassified name or unknown
     folder, undecodable workbook, or a sheet whose width differs from the registry."""
-    return (rejected_files(files).select("path", F.lit("unclassified file").alias("reason"))
-            .unionByName(staged.filter(F.col("error").isNotNull())
-                         .select(F.col("source_file").alias("path"), F.col("error").alias("reason")))
-            .unionByName(arity_rejects(staged).select(
-                F.col("source_file").alias("path"),
-                F.format_string("%s: %d columns, expected %d", "dataset", "width", "expected").alias("reason"))))
+    return rejected_files(files).select("path", F.lit("unclassified file").alias("reason")).unionByName(unloadable(staged))
+
+
+def accept(spark: SparkSession, files: DataFrame, staged: DataFrame, path: str) -> DataFrame:
+    """Write the rejects and return the staged rows of all other files."""
+    write_table(rejects(files, staged), path)
+    bad = spark.read.schema("path string, reason string").parquet(path)
+    return staged if bad.isEmpty() else loadable(staged, bad)
 
 
 def _concurrently(fn, items, parallelism: int):
@@ -122,7 +124,8 @@ def export_levels(spark: SparkSession, clean_root: str, fmt: str = "parquet", di
         def month(n):
             df = read_dataset(spark, clean_root, n, fmt, dialect)
             parts = write_partitions(spark, sizes.get(n, 0))
-            write_table(df.repartition(parts, "year", "month"), dataset_path(clean_root, n, "monthly"), fmt=fmt,
+            # one file per extraction and month folder: no task gathers a whole month
+            write_table(df.repartition(parts, *PARTITION_COLS, "source_file"), dataset_path(clean_root, n, "monthly"), fmt=fmt,
                         dialect=dialect, partition_by=["year", "month"], dynamic_overwrite=False)
 
         _concurrently(month, names, parallelism)
@@ -148,15 +151,16 @@ def rebuild(spark: SparkSession, raw_root: str, clean_root: str, fmt: str = "par
     t0 = time.perf_counter()
     staging = os.path.join(clean_root, "_staging", "cells")
     staged = stage_cells(spark, scan_cells(spark, raw_root), files, staging)
+    good = accept(spark, files, staged, os.path.join(clean_root, "_rejects"))
     timings["extract_data"] = time.perf_counter() - t0
 
     t0 = time.perf_counter()
     sizes = staged_bytes(spark, staging)
-    load_datasets(spark, staged, clean_root, fmt, dialect, null_policy=null_policy, frame=frame,
+    write_table(conversion_failures(good), os.path.join(clean_root, "_rejects_cells"))
+    load_datasets(spark, good, clean_root, fmt, dialect, null_policy=null_policy, frame=frame,
                   parallelism=parallelism, dynamic=False, sizes=sizes)
     timings["load_to_clean"] = time.perf_counter() - t0
 
-    write_table(rejects(files, staged), os.path.join(clean_root, "_rejects"))
     timings.update(export_levels(spark, clean_root, fmt, dialect, levels, parallelism=parallelism, sizes=sizes))
     timings["total_etl_time"] = time.perf_counter() - t_all
     return timings

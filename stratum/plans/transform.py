@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import chain
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.functions.columns import period_end_date
+from stratum.functions.columns import blank_to_null, period_end_date
 from stratum.operators.columns import convert
 from stratum.operators.repair import clean_content_metrics
 from stratum.registry import EXTRACTION_RANGE, LINEAGE_COLS, PARTITION_COLS, SPECS
@@ -40,17 +43,43 @@ def typed_dataset(staged: DataFrame, name: str, strict: bool = False) -> DataFra
 
 def arity_rejects(staged: DataFrame) -> DataFrame:
     """Header rows whose width differs from the registry (positional naming would
-    shift columns); one row per offending (file, dataset)."""
+    shift columns); one row per offending (file, dataset), from one scan."""
+    lead = F.create_map(*chain.from_iterable((F.lit(s.name), F.lit(s.skip_rows)) for s in SPECS.values()))
+    width = F.create_map(*chain.from_iterable((F.lit(s.name), F.lit(len(s.columns))) for s in SPECS.values()))
+    heads = staged.filter(F.col("error").isNull() & (F.col("sheet_row") == F.try_element_at(lead, F.col("dataset"))))
+    heads = heads.select("source_file", "dataset", F.size("cells").alias("width"),
+                         F.try_element_at(width, F.col("dataset")).alias("expected"))
+    return heads.filter(F.col("width") != F.col("expected"))
+
+
+def unloadable(staged: DataFrame) -> DataFrame:
+    """(path, reason) of decoded files that must not be loaded: a workbook is loaded
+    whole or not at all."""
+    broken = staged.filter(F.col("error").isNotNull()).select(F.col("source_file").alias("path"), F.col("error").alias("reason"))
+    return broken.unionByName(arity_rejects(staged).select(
+        F.col("source_file").alias("path"),
+        F.format_string("%s: %d columns, expected %d", "dataset", "width", "expected").alias("reason")))
+
+
+def loadable(staged: DataFrame, bad: DataFrame) -> DataFrame:
+    """Staged rows of the files that are not in ``bad`` (column ``path``)."""
+    return staged.join(bad.select(F.col("path").alias("source_file")).distinct(), "source_file", "left_anti")
+
+
+def conversion_failures(staged: DataFrame) -> DataFrame:
+    """(source_file, dataset, sheet_row, column, text) of every cell that its declared type
+    can't hold and that is therefore loaded as NULL."""
     parts = []
     for s in SPECS.values():
-        parts.append(staged.filter((F.col("dataset") == s.name) & (F.col("sheet_row") == s.skip_rows))
-                     .filter(F.size("cells") != len(s.columns))
-                     .select("source_file", "dataset", F.size("cells").alias("width"),
-                             F.lit(len(s.columns)).alias("expected")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rows = staged.filter((F.col("dataset") == s.name) & (F.col("sheet_row") > s.skip_rows))
+        checks = []
+        for i, (col, _) in enumerate(s.columns):
+            cell = blank_to_null(F.get("cells", F.lit(i)))
+            bad = cell.isNotNull() & convert(cell, s.spark_type(col), False).isNull()
+            checks.append(F.when(bad, F.struct(F.lit(col).alias("column"), cell.alias("text"))))
+        parts.append(rows.select("source_file", "dataset", "sheet_row", F.explode(F.array_compact(F.array(*checks))).alias("c"))
+                     .select("source_file", "dataset", "sheet_row", "c.column", "c.text"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def transform_dataset(staged: DataFrame, name: str, null_policy: str = "keep", frame: str = "rows",

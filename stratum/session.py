@@ -53,8 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this must already be set to a shared location (HDFS, object
     store, NFS); it is read from the session (or the SparkContext, when set
-    programmatically). Only when it is unset -- local runs and tests -- do we
-    pick a fresh scratch directory under /tmp and register it.
+    programmatically). Only when it is unset in a local session -- tests -- do we
+    pick a fresh scratch directory under /tmp and register it; on a cluster that raises.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -64,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 -- Spark Connect: no SparkContext
         pass
     if not current:
+        if sc is None or not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="stratum-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", current)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratum.functions.columns import dataset_name_from_file
-from stratum.registry import LINEAGE_COLS, SPECS, clean_schema
+from stratum.registry import LINEAGE_COLS, PARTITION_COLS, SPECS, clean_schema
 from stratum.sinks.writers import csv_options
 
 _LINEAGE_FIELDS = [T.StructField("source_file", T.StringType()), T.StructField("row_idx", T.LongType())]
@@ -41,9 +41,10 @@ def read_dataset(spark: SparkSession, root: str, name: str, fmt: str = "parquet"
     """A clean dataset as one DataFrame over all its extractions (U6 view);
     filtering on year/month/period prunes partitions (U5 view)."""
     path = dataset_path(root, name, level)
-    if fmt == "parquet":
-        return spark.read.parquet(path)
     fields = list(clean_schema(name).fields) + (_LINEAGE_FIELDS if lineage else [])
+    if fmt == "parquet":  # declared, so that a dataset without rows reads as an empty table
+        keys = [T.StructField(c, T.IntegerType()) for c in PARTITION_COLS]
+        return spark.read.schema(T.StructType(fields + keys)).parquet(path)
     return read_csv(spark, path, T.StructType(fields), dialect)
 
 
@@ -58,15 +59,19 @@ def read_flat_clean(spark: SparkSession, folder: str, prefix: str = "all_extract
                     dialect: str = "quoted") -> dict:
     """``{dataset: DataFrame}`` for a flat folder of per-dataset CSV files.
 
-    The listing yields at most one name per registered dataset (15), so it is
-    collected; each file is then read lazily with its declared schema.
+    One name per file of the folder is collected; each file is then read lazily, a
+    registered dataset with its declared schema, any other with all its columns as text.
     """
     names = [r["dataset"] for r in list_flat_datasets(spark, folder, prefix).select("dataset").collect()]
     out = {}
     for n in sorted(set(names)):
-        if n not in SPECS:
-            continue
-        out[n] = read_csv(spark, os.path.join(folder, f"{prefix}{n}.csv"), clean_schema(n), dialect)
+        path = os.path.join(folder, f"{prefix}{n}.csv")
+        if n in SPECS:
+            out[n] = read_csv(spark, path, clean_schema(n), dialect)
+        else:
+            opts = csv_options(dialect)
+            opts.pop("quoteAll", None)
+            out[n] = spark.read.options(**opts).option("multiLine", "true").csv(path)
     return out
 
 
@@ -81,9 +86,8 @@ PROFILE_M2 = "environment string, initial_clean_dataframe_size_MB double, num_fi
 
 
 def read_metrics_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Run-metric / environment tables (S11); an appending harness may repeat
-    rows, so exact duplicates are dropped."""
-    return spark.read.schema(schema).option("header", "true").csv(path).dropDuplicates()
+    """Run-metric / environment tables (S11), every row of them."""
+    return spark.read.schema(schema).option("header", "true").csv(path)
 
 
 def lineage_columns() -> list[str]:

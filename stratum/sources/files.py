@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.columns import classify_category, file_name, month_number
 
-WORKBOOK_GLOB = "*.xls*"
+WORKBOOK_GLOB = None  # every file is listed; what can't be loaded is reported as a reject
 
 
 def _listing(spark: SparkSession, root: str, recursive: bool, glob: str | None) -> DataFrame:
@@ -47,8 +47,9 @@ def discover_extractions(spark: SparkSession, root: str, glob: str | None = WORK
         "month": month_number("month_name"),
         "category": classify_category("file_name"),
     })
-    # A month folder holds a handful of files: this window partition is tiny.
-    w = Window.partitionBy("category_dir", "year", "month_name").orderBy("file_name")
+    # A month folder holds a handful of files: this window partition is tiny. Files of no known
+    # category are counted apart, so that a stray file shifts no period.
+    w = Window.partitionBy("category_dir", "year", "month_name", F.col("category").isNull()).orderBy("file_name")
     return files.withColumn("period", F.row_number().over(w))
 
 

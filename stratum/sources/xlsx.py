@@ -79,12 +79,7 @@ def sheet_paths(zf: zipfile.ZipFile) -> list[str]:
 
 
 _M = _NS["m"]
-_ROW, _C, _V, _IS, _T = (f"{{{_M}}}{t}" for t in ("row", "c", "v", "is", "t"))
-
-
-# Sheets up to this uncompressed size are parsed in one C-level pass; larger
-# ones are streamed row by row so memory stays bounded.
-WHOLE_PARSE_BYTES = 64 << 20
+_ROW, _C, _V, _IS, _T, _DATA = (f"{{{_M}}}{t}" for t in ("row", "c", "v", "is", "t", "sheetData"))
 
 
 def _row_cells(el, shared):
@@ -124,20 +119,19 @@ def _row_cells(el, shared):
 
 def read_sheet_rows(zf: zipfile.ZipFile, part: str, shared: list[str]):
     """Yield (0-based sheet row or None, list of cell strings) for one worksheet."""
-    if zf.getinfo(part).file_size <= WHOLE_PARSE_BYTES:
-        root = ET.fromstring(zf.read(part))
-        for el in root.iter(_ROW):
-            r = el.get("r")
-            yield (int(r) - 1 if r else None), _row_cells(el, shared)
-        return
     with zf.open(part) as fh:
-        for _, el in ET.iterparse(fh, events=("end",)):
+        rows = None  # the element that gathers the rows: emptied after each, so memory stays bounded
+        for event, el in ET.iterparse(fh, events=("start", "end")):
+            if event == "start":
+                if el.tag == _DATA:
+                    rows = el
+                continue
             if el.tag != _ROW:
                 continue
             r = el.get("r")
-            cells = _row_cells(el, shared)
-            el.clear()
-            yield (int(r) - 1 if r else None), cells
+            yield (int(r) - 1 if r else None), _row_cells(el, shared)
+            if rows is not None:
+                rows.clear()
 
 
 def decode_workbook(data: bytes, positions: list[int]):
@@ -182,12 +176,12 @@ def _decode_batches(batches):
                         yield pd.DataFrame(rows, columns=_COLS)
                         rows = []
             except Exception as exc:  # noqa: BLE001 -- a bad file becomes a reject row
-                rows.append((path, None, None, None, None, f"{type(exc).__name__}: {exc}"[:500]))
+                rows.append((path, None, None, None, None, f"{type(exc).__name__}: {exc}"))
             if rows:
                 yield pd.DataFrame(rows, columns=_COLS)
 
 
-def scan_cells(spark, location: str, recursive: bool = True, glob: str | None = "*.xls*") -> DataFrame:
+def scan_cells(spark, location: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
     """Decode every workbook under ``location``; one output row per sheet row.
 
     The category needed to pick sheets is derived from the file name inside

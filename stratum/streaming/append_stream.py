@@ -6,13 +6,15 @@ is 1..12 or the Portuguese folder name. Each micro-batch:
 
 1. decodes the batch's workbooks (the same ``mapInPandas`` decoder as the
    batch path -- file bytes are never shuffled),
-2. stages the decoded rows under ``<clean>/_staging/stream/batch=<id>``,
-3. overwrites exactly the (year, month, period) partitions it carries, per
-   dataset (dynamic partition overwrite).
-
-The file source records processed files in the checkpoint (kept in the
-shared clean root), and step 3 is idempotent, so a replayed batch after a
-failure rewrites the same partitions with the same rows.
+2. stages the decoded rows under ``<clean>/_staging/stream``, one partition per extraction
+   and file,
+3. reloads the extractions it touches from *all* their staged files, whichever batch brought
+   them, and overwrites their (year, month, period) partitions, per dataset.
+
+So the table doesn't depend on how files fall into batches. The file source records
+processed files in the checkpoint (kept in the shared clean root), and steps 2 and 3 are
+idempotent: a replayed batch rewrites the same partitions with the same rows. Files that
+can't be loaded, by name or content, are recorded in ``<clean>/_rejects_stream``.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratum.functions.columns import classify_category, file_name, month_number
 from stratum.plans.rebuild import load_datasets
+from stratum.plans.transform import loadable, unloadable
+from stratum.registry import PARTITION_COLS
 from stratum.session import ship_code
 from stratum.sinks.writers import write_table
 from stratum.sources.xlsx import CELLS_SCHEMA, _decode_batches
@@ -32,9 +37,11 @@ from stratum.sources.xlsx import CELLS_SCHEMA, _decode_batches
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def landing_stream(spark: SparkSession, landing: str, glob: str = "*.xls*", max_files_per_trigger: int | None = None):
+def landing_stream(spark: SparkSession, landing: str, glob: str | None = None, max_files_per_trigger: int | None = None):
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("recursiveFileLookup", "true").option("pathGlobFilter", glob))
+              .option("recursiveFileLookup", "true"))
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     return reader.load(landing)
@@ -60,16 +67,20 @@ def process_batch(batch: DataFrame, batch_id: int, clean_root: str, fmt: str = "
                         & F.col("month").isNotNull() & F.col("period").isNotNull())
     meta = good.select(F.col("path").alias("source_file"), "year", "month", "period")
     cells = good.select("path", "category", "content").mapInPandas(_decode_batches, CELLS_SCHEMA)
-    staged_path = os.path.join(clean_root, "_staging", "stream", f"batch={int(batch_id)}")
+    root = os.path.join(clean_root, "_staging", "stream")
     # file-level metadata comes from the path: attach it by a join on the (small) per-file table
-    staged = cells.join(meta, "source_file", "inner")
-    write_table(staged, staged_path, partition_by=["dataset"], dynamic_overwrite=False)
-    staged = spark.read.parquet(staged_path)
-    load_datasets(spark, staged, clean_root, fmt, dialect, parallelism=parallelism, mode="overwrite")
+    staged = cells.join(meta, "source_file", "inner").withColumns({"file": F.md5("source_file"), "part": F.coalesce("dataset", F.lit("none"))})
+    write_table(staged, root, partition_by=[*PARTITION_COLS, "file", "part"])
+    schema = T.StructType([*staged.schema.fields])
+    touched = meta.select(*PARTITION_COLS).distinct()
+    own = spark.read.schema(schema).parquet(root).join(touched, PARTITION_COLS, "left_semi").drop("file", "part")
     rejects = keyed.filter(~(F.col("category").isNotNull() & F.col("year").isNotNull()
                              & F.col("month").isNotNull() & F.col("period").isNotNull()))
-    write_table(rejects.select("path", F.lit(int(batch_id)).alias("batch_id")),
-                os.path.join(clean_root, "_rejects_stream"), mode="append")
+    bad = unloadable(own)
+    reported = rejects.select("path", F.lit("unclassified file").alias("reason")).unionByName(bad)
+    write_table(reported.withColumn("batch_id", F.lit(int(batch_id))), os.path.join(clean_root, "_rejects_stream"),
+                partition_by=["batch_id"])
+    load_datasets(spark, loadable(own, bad), clean_root, fmt, dialect, parallelism=parallelism, mode="overwrite")
 
 
 def start_append_stream(spark: SparkSession, landing: str, clean_root: str, checkpoint: str | None = None,

@@ -23,15 +23,15 @@ def test_metrics_tables(spark, scratch):
     assert steps.count() == 3 * 7
     assert group_mean(m, ["environment"], "extract_data").count() == 2
 
-    # an appending harness repeats identical environment rows; reading dedupes them
+    # equal rows of an appending harness are all kept
     csv = os.path.join(scratch, "environments.csv")
     with open(csv, "w") as fh:
         fh.write("environment,initial_clean_dataframe_size_MB,num_files,num_lines\n")
         fh.write("1y,0.5,15,1000\n1y,0.5,15,1000\n2y,1.0,15,2000\n")
     env = read_metrics_csv(spark, csv, PROFILE_M2)
-    assert env.count() == 2
+    assert env.count() == 3
     long_df = unpivot_metrics(env, "environment", ["num_files", "num_lines"], "Atributos", "qtd")
-    assert long_df.count() == 4
+    assert long_df.count() == 6
 
 
 def test_text_line_profile(spark, scratch):

@@ -92,7 +92,7 @@ def test_update_from_keeps_unmatched(spark):
     t = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 30.0)], "k long, v double")
     u = spark.createDataFrame([(1, 11.0), (3, None)], "k long, v double")
     got = sorted(tuple(r) for r in COL.update_from(t, u, "k", "v").collect())
-    assert got == [(1, 11.0), (2, 20.0), (3, 30.0)]
+    assert got == [(1, 11.0), (2, 20.0), (3, None)]  # a matched NULL is set, as UPDATE .. FROM does
 
 
 def test_band_join_has_no_pairwise_blowup(spark, capsys):

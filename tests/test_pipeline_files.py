@@ -128,7 +128,8 @@ def test_flat_clean_folder(spark, scratch):
     with open(os.path.join(folder, "all_extractions_unknown.csv"), "w") as fh:
         fh.write('"a"\n"1"\n')
     got = read_flat_clean(spark, folder)
-    assert list(got) == ["followers_location"]
+    assert list(got) == ["followers_location", "unknown"]
+    assert [tuple(r) for r in got["unknown"].collect()] == [("1",)]
     row = got["followers_location"].collect()[0]
     assert row["Location"] == "Lisbon, PT" and row["Total Followers"] == 12
 
@@ -154,7 +155,7 @@ def test_import_flat_layer_then_append(spark, scratch):
     got = import_flat_layer(spark, folder, clean)
     assert got == {"followers_new": 2}
     df = read_dataset(spark, clean, "followers_new")
-    assert sorted((r.year, r.month, r.period) for r in df.collect()) == [(2024, 1, 1), (2024, 1, 2)]
+    assert sorted((r.year, r.month, r.period) for r in df.collect()) == [(2024, 1, 0), (2024, 1, 2)]
     incoming = os.path.join(scratch, "incoming_after_flat")
     build_single_extraction(incoming, 2024, 2, 1)
     append_extraction(spark, incoming, clean, 2024, 2, 1)

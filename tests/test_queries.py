@@ -12,8 +12,9 @@ from check_oracle import duck, rows_of  # noqa: E402
 import __spark_entry__ as entry_mod  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
 
-QUERIES = entry_mod.queries()
-ORACLE = entry_mod.oracle_sql()
+# the library's own queries; those of optional subpackages have their own tests
+QUERIES = entry_mod.catalog.QUERIES
+ORACLE = entry_mod.catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
