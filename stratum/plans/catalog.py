@@ -846,3 +846,109 @@ def workbook_content_metrics(spark, sf_dir):
     metrics = ["Clicks (total)", "Reactions (total)", "Comments (total)", "Shares (total)"]
     return cm.select("Date", "Impressions (total)", *[F.round(F.col(f"`{m}`"), 4).alias(m) for m in metrics],
                      F.round("`Engagement Rate (total)`", 6).alias("Engagement Rate (total)"), "Extraction Range")
+
+
+# ---------------------------------------------------------------------------
+# Storage: rebuild, append and copies of the whole layer; flat files; line counts
+# ---------------------------------------------------------------------------
+
+_LAYER_ORACLE = """
+WITH o AS (
+  SELECT o_orderstatus AS st, o_orderpriority AS pr, o_totalprice AS price, o_custkey,
+    CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS y, month(o_orderdate) AS m,
+    CASE WHEN day(o_orderdate) <= 15 THEN 1 ELSE 2 END AS p FROM orders),
+j AS (SELECT o.*, coalesce(n_name, 'unknown') AS nation, coalesce(c_mktsegment, 'unknown') AS segment,
+    coalesce(CAST(floor(log10(price)) AS VARCHAR), 'unknown') AS size
+  FROM o LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
+days AS (SELECT count(DISTINCT d) AS n FROM o),
+labels AS (
+  SELECT 'location' AS k, count(DISTINCT (y, m, p, nation)) AS n FROM j
+  UNION ALL SELECT 'function', count(DISTINCT (y, m, p, segment)) FROM j
+  UNION ALL SELECT 'experience', count(DISTINCT (y, m, p, pr)) FROM j
+  UNION ALL SELECT 'industry', count(DISTINCT (y, m, p, st)) FROM j
+  UNION ALL SELECT 'company_size', count(DISTINCT (y, m, p, size)) FROM j),
+c AS (
+  SELECT 'content_metrics' AS dataset, n FROM days UNION ALL SELECT 'followers_new', n FROM days
+  UNION ALL SELECT 'visitors_metrics', n FROM days
+  UNION ALL SELECT 'content_posts', count(*) FROM o WHERE pr LIKE '1%'
+  UNION ALL SELECT 'followers_' || k, n FROM labels UNION ALL SELECT 'visitors_' || k, n FROM labels
+  UNION ALL SELECT 'competitor', n FROM labels WHERE k = 'location')
+SELECT dataset, n AS n_layer, n AS n_monthly, n AS n_all, CAST(0 AS BIGINT) AS n_rejected FROM c
+"""
+
+
+@query("rebuild_and_append", _LAYER_ORACLE)
+def rebuild_and_append(spark, sf_dir):
+    """All 15 datasets through files: a workbook tree derived from ``orders`` is rebuilt with
+    month and whole-history copies, its last extraction, held out, is appended, and the rows of
+    every level are counted."""
+    import os
+    import uuid
+
+    from stratum.plans.append import append_extraction
+    from stratum.plans.rebuild import rebuild
+    from stratum.session import checkpoint_dir
+    from stratum.sources.clean import read_dataset
+    from tools.derive_raw_tree import derive_raw_tree
+
+    base = os.path.join(checkpoint_dir(spark), f"layer-{uuid.uuid4().hex}")
+    raw, clean = os.path.join(base, "raw"), os.path.join(base, "clean")
+    info = derive_raw_tree(spark, sf_dir, raw, os.path.join(base, "incoming"), holdout_last=1)
+    rebuild(spark, raw, clean, levels=("month", "all"))
+    for x in info["holdout"]:
+        append_extraction(spark, x["folder"], clean, x["year"], x["month"], x["period"])
+    rejected = spark.read.schema("path string, reason string").parquet(os.path.join(clean, "_rejects")).count()
+    parts = []
+    for name in SPECS:
+        counts = [read_dataset(spark, clean, name, level=level).agg(F.count("*").alias(out))
+                  for level, out in (("extractions", "n_layer"), ("monthly", "n_monthly"), ("all_extractions", "n_all"))]
+        parts.append(counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
+                     .select(F.lit(name).alias("dataset"), "n_layer", "n_monthly", "n_all", F.lit(rejected).cast("long").alias("n_rejected")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("flat_layer_roundtrip", """
+SELECT c.c_name || chr(10) || '"' || coalesce(n_name, '') || '"; x' AS "Location", CAST(count(o_orderkey) AS BIGINT) AS "Total Followers",
+  CAST(max(o_orderdate) AS DATE) AS "Extraction Range"
+FROM customer c LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name, n_name
+""")
+def flat_layer_roundtrip(spark, sf_dir):
+    """One CSV per dataset, separator ``;``, texts with quotes, separators and line breaks."""
+    import os
+    import uuid
+
+    from stratum.session import checkpoint_dir
+    from stratum.sinks.writers import write_flat
+    from stratum.sources.clean import read_flat_clean
+
+    cust = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    orders = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("last"))
+    nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = (cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+            .select(F.concat("c_name", F.lit('\n"'), F.coalesce("n_name", F.lit("")), F.lit('"; x')).alias("Location"),
+                    F.coalesce("n", F.lit(0)).cast("long").alias("Total Followers"), F.to_date("last").alias("Extraction Range")))
+    folder = os.path.join(checkpoint_dir(spark), f"flat-{uuid.uuid4().hex}")
+    write_flat({"followers_location": rows}, folder, dialect="semicolon")
+    return read_flat_clean(spark, folder, dialect="semicolon")["followers_location"]
+
+
+@query("text_lines", """
+SELECT event_type, CAST(count(*) AS BIGINT) AS num_lines FROM events GROUP BY event_type
+""")
+def text_lines(spark, sf_dir):
+    """Lines of every file of a partitioned text export, by partition."""
+    import os
+    import uuid
+
+    from stratum.session import checkpoint_dir
+    from stratum.sources.files import text_line_profile
+
+    folder = os.path.join(checkpoint_dir(spark), f"lines-{uuid.uuid4().hex}")
+    load(spark, sf_dir, "events").select("event_id", "event_type").write.partitionBy("event_type").csv(folder)
+    lines = text_line_profile(spark, folder)
+    return (lines.withColumn("event_type", F.regexp_extract("path", "event_type=([^/]+)/", 1))
+            .groupBy("event_type").agg(F.sum("num_lines").cast("long").alias("num_lines")))

@@ -60,6 +60,13 @@ def write_table(
         raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
 
 
+def write_flat(tables: dict, folder: str, prefix: str = "all_extractions_", dialect: str = "quoted") -> None:
+    """The flat layout: ``<folder>/<prefix><dataset>.csv`` for each dataset, a folder of part
+    files written by its tasks (``sources.clean.read_flat_clean`` reads it back)."""
+    for name, df in tables.items():
+        write_table(df, f"{folder.rstrip('/')}/{prefix}{name}.csv", fmt="csv", dialect=dialect)
+
+
 def append_row(spark, path: str, row: dict, schema: str, fmt: str = "parquet") -> None:
     """Append one record to a metrics table; the first write creates it (K5)."""
     df = spark.createDataFrame([tuple(row.get(c.strip().split(" ")[0]) for c in schema.split(","))], schema)

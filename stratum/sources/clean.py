@@ -12,6 +12,7 @@ CSV text fields can span lines, so CSV is always parsed with ``multiLine``.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +50,11 @@ def read_dataset(spark: SparkSession, root: str, name: str, fmt: str = "parquet"
 
 
 def list_flat_datasets(spark: SparkSession, folder: str, prefix: str = "all_extractions_") -> DataFrame:
-    """Dataset names present in a flat clean folder (S9): path-only listing."""
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.csv")
-               .load(folder).select("path", "length"))
-    return listing.withColumn("dataset", dataset_name_from_file("path", prefix=prefix))
+    """Dataset names present in a flat clean folder (S9): path-only listing. A dataset is one
+    file, or one folder of part files as ``sinks.writers.write_flat`` leaves it."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    table = F.regexp_extract("path", f"(/{re.escape(prefix)}[^/]+[.]csv)(?:/[^/]+)?$", 1)
+    return listing.filter(table != "").withColumn("dataset", dataset_name_from_file(table, prefix=prefix))
 
 
 def read_flat_clean(spark: SparkSession, folder: str, prefix: str = "all_extractions_",
@@ -62,7 +64,7 @@ def read_flat_clean(spark: SparkSession, folder: str, prefix: str = "all_extract
     One name per file of the folder is collected; each file is then read lazily, a
     registered dataset with its declared schema, any other with all its columns as text.
     """
-    names = [r["dataset"] for r in list_flat_datasets(spark, folder, prefix).select("dataset").collect()]
+    names = [r["dataset"] for r in list_flat_datasets(spark, folder, prefix).select("dataset").distinct().collect()]
     out = {}
     for n in sorted(set(names)):
         path = os.path.join(folder, f"{prefix}{n}.csv")
