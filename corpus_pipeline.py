@@ -15,8 +15,7 @@ from stratum.llm.common import held_out, scratch, table
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels of this input, doesn't reject."""
     root = scratch(spark, "quality")
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").filter(~held_out(F.col("doc_id")))
-    quality.with_features(labelled).write.parquet(root)
+    quality.with_features(docs.filter(~held_out(F.col("doc_id")))).write.parquet(root)  # narrow rows meet the labels
     return quality.keep_good(docs, quality.learn(spark.read.parquet(root), table(spark, sf_dir, "labels")))
 
 
