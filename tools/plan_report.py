@@ -64,6 +64,8 @@ def main(argv):
         "",
         f"Generated by `tools/plan_report.py` on `{sf_dir}` (AQE initial plans; AQE may still "
         "coalesce partitions or turn a measured small side into a broadcast at runtime).",
+        "`moving_avg_rows`, `repair_negative`, `period_ordinal` and `skip_rows` run one job before the plan "
+        "shown: a grouped count over their keys (one shuffle) that finds hot keys.",
         "",
         "| query | shuffles | broadcasts | windows | aggregates | columns read per scan | pushed filters | "
         "pairwise joins / Python eval |",
