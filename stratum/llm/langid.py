@@ -34,6 +34,7 @@ PUNCT = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 CACHE = 600_000
 SMOOTHING = 0.1
 TINY, BIG = 1e-150, 1e150
+SHORT = 30  # characters below which no word's sums can underflow
 
 
 def words(text: str) -> list[str]:
@@ -87,6 +88,51 @@ class Model:
         self.p = {s: tuple(p[i].tolist()) for s, i in pieces if MARK not in s[1:]}
         self.longest = max(map(len, self.p), default=1)
         self.unknown = tuple((p.min(axis=0) / 16).tolist()) if at else ()
+        # the same pieces as a trie of (children, row in the table) by character
+        self.table = np.array([self.unknown, *self.p.values()], dtype=np.float64)
+        self.trie: dict = {}
+        for row, piece in enumerate(self.p, 1):
+            node = self.trie
+            for c in piece[:-1]:
+                node = node.setdefault(c, [{}, 0])[0]
+            node.setdefault(piece[-1], [{}, 0])[1] = row
+
+    def batch(self, ws: list[str]) -> np.ndarray:
+        """Log-likelihoods of many words at once: one row a word. Short words go forward
+        together, by end position and piece length; long ones one by one, with scaling."""
+        out = np.empty((len(ws), len(self.langs)))
+        short = [i for i, w in enumerate(ws) if len(w) < SHORT]
+        for i, w in enumerate(ws):
+            if len(w) >= SHORT:
+                out[i] = self.word(w)
+        steps: dict[tuple[int, int], list[int]] = {}
+        base, ends = 0, []
+        for i in short:
+            s = MARK + ws[i]
+            for a in range(len(s)):
+                node, single = self.trie, False
+                for d, c in enumerate(s[a:], 1):
+                    got = node.get(c)
+                    if got is None:
+                        break
+                    node, row = got
+                    if row:
+                        single |= d == 1
+                        steps.setdefault((a + d, d), []).append((base + a) << 20 | row)
+                if not single:
+                    steps.setdefault((a + 1, 1), []).append((base + a) << 20)
+            ends.append(base + len(s))
+            base += len(s) + 1
+        alpha = np.zeros((base, len(self.langs)))
+        if short:
+            ends = np.array(ends)
+            alpha[np.concatenate(([0], ends[:-1] + 1))] = 1.0
+            for e, d in sorted(steps):
+                x = np.array(steps[e, d])
+                src = x >> 20
+                alpha[src + d] += alpha[src] * self.table[x & 0xFFFFF]
+            out[short] = np.log(alpha[ends])
+        return out
 
     def word(self, w: str) -> list[float]:
         """Log-likelihood in each language: forward sums over all segmentations."""
@@ -118,35 +164,51 @@ class Scorer:
         self.model, self.at = model, {"": 0}
         self.rows = np.zeros((1024, len(model.langs)))
 
-    def index(self, w: str) -> int:
-        if len(self.at) >= CACHE:
+    def learn(self, ws: list[str]) -> None:
+        """Score new words and remember them."""
+        if len(self.at) + len(ws) > CACHE:
             self.at = {"": 0}
-        i = len(self.at)
-        if i == len(self.rows):
+        first = len(self.at)
+        while first + len(ws) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.model.word(w)
-        self.at[w] = i
-        return i
-
-    def log_likelihood(self, text: str) -> np.ndarray:
-        total, ws = self.model.prior.copy(), words(text)
-        for i in range(0, len(ws), CACHE // 4):
-            part = ws[i : i + CACHE // 4]
-            if len(self.at) + len(part) > CACHE:  # so that no index of this part is given anew
-                self.at = {"": 0}
-            known = self.at.get
-            idx = [known(w) for w in part]
-            if None in idx:
-                idx = [self.at[w] if w in self.at else self.index(w) for w in part]
-            total += self.rows[idx].sum(axis=0)
+        self.rows[first : first + len(ws)] = self.model.batch(ws)
+        self.at.update(zip(ws, range(first, first + len(ws)), strict=True))
+
+    def log_likelihoods(self, texts: list[str]) -> np.ndarray:
+        """One row a text, its prior included."""
+        total = np.tile(self.model.prior, (len(texts), 1))
+        cut = [words(t) for t in texts]
+        part = CACHE // 2  # words at a time, so that none of them is forgotten meanwhile
+        group: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, ws in enumerate(cut):
+            for a in range(0, len(ws), part):
+                own = ws[a : a + part]
+                if size + len(own) > part:
+                    self._add(group, total)
+                    group, size = [], 0
+                group.append((i, own))
+                size += len(own)
+        self._add(group, total)
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.model.langs or not text or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        x = self.log_likelihood(text)
-        i = int(x.argmax())
-        return self.model.langs[i], float(1 / np.exp(x - x[i]).sum())
+    def _add(self, group: list[tuple[int, list[str]]], total: np.ndarray) -> None:
+        known = self.at
+        new = list({w for _, ws in group for w in ws if w not in known})
+        if new:
+            self.learn(new)
+            if self.at is not known:  # all was forgotten
+                self.learn(list({w for _, ws in group for w in ws if w not in self.at}))
+        for i, ws in group:
+            total[i] += self.rows[[self.at[w] for w in ws]].sum(axis=0)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = [("und", 0.0)] * len(texts)
+        some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.model.langs else []
+        for i, x in zip(some, self.log_likelihoods([texts[i] for i in some]), strict=True):
+            best = int(x.argmax())
+            out[i] = self.model.langs[best], float(1 / np.exp(x - x[best]).sum())
+        return out
 
 
 _scorers: dict[object, Scorer] = {}
@@ -174,7 +236,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             _scorers[key] = Scorer(held.value)
         scorer = _scorers[key]
         for b in text_batches(it):
-            lang, score = zip(*map(scorer.predict, b.column(1).to_pylist()), strict=True)
+            lang, score = zip(*scorer.predict(b.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, lang_pred string, score double")
