@@ -168,7 +168,7 @@ class WordEncoder:
     call. Any other word goes to the library as it is. Both are remembered (bounded).
     """
 
-    CACHE = 300_000
+    CACHE = 700_000
     PLAIN = re.compile("[!-~À-ÿ]+").fullmatch
     #: FIXED VALUES: the pattern of the tokenizer's pre-tokens.
     TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -196,43 +196,60 @@ class WordEncoder:
         ids = self._library(" ".join(new))
         cut = np.flatnonzero(self.ends[ids]) + 1
         if len(cut) == len(new) and cut[-1] == len(ids):
-            for w, x in zip(new, np.split(ids, cut[:-1]), strict=True):
-                self.tokens[w] = x.tobytes()
+            raw, at = ids.tobytes(), (4 * cut).tolist()
+            self.tokens.update(zip(new, [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
         else:
             for w in new:
                 self.tokens[w] = self._library(w).tobytes()
 
+    def split(self, w: str) -> list[str] | None:
+        """Pre-tokens of a word, or None if the library has to find them."""
+        if w.isascii():
+            if w.isalpha():
+                return [w.lower()]
+            if w[:-1].isalpha() and w[-1] in ".,":
+                return [w[:-1].lower(), w[-1]]
+        return self.find(w.lower()) if self.PLAIN(w) else None
+
     def add(self, words: set[str]) -> None:
         if len(self.words) + len(words) > self.CACHE:
             self.words.clear()
-        if len(self.tokens) > 2 * self.CACHE:
+        if len(self.tokens) > self.CACHE:
             self.tokens.clear()
-        split = {w: self.find(w.lower()) if self.PLAIN(w) else None for w in words}
+        split = {w: self.split(w) for w in words}
         new = list({p for ps in split.values() if ps is not None for p in ps if p not in self.tokens})
-        for i in range(0, len(new), 4096):
-            self._learn(new[i : i + 4096])
+        for i in range(0, len(new), 16384):
+            self._learn(new[i : i + 16384])
         for w, ps in split.items():
             self.words[w] = b"".join([self.tokens[p] for p in ps]) if ps is not None else self._library(w).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        out = []
-        for ws in cut:
-            # one text at a time, in parts, so that clearing the cache can't lose a needed word
-            got = []
-            for i in range(0, len(ws), self.CACHE // 2):
-                part = ws[i : i + self.CACHE // 2]
-                ids = [*map(self.words.get, part)]
-                if None in ids:
-                    self.add({w for w, x in zip(part, ids, strict=True) if x is None})
-                    ids = [self.words.get(w) for w in part]
-                    if None in ids:  # known words went when the cache was cleared
-                        self.add({w for w, x in zip(part, ids, strict=True) if x is None})
-                        ids = [self.words[w] for w in part]
-                got += ids
-            out.append(b"".join(got))
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        part, group, size = self.CACHE // 2, [], 0
+        for i, t in enumerate(texts):
+            ws = t.replace("\n", " ").split(" ") if t else []
+            for a in range(0, len(ws), part):
+                own = ws[a : a + part]
+                if size + len(own) > part:
+                    self._encode(group, out)
+                    group, size = [], 0
+                group.append((i, own))
+                size += len(own)
+        self._encode(group, out)
+        return [b"".join(x) for x in out]
+
+    def _encode(self, group: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        """Words of several texts at once, no more than half of what is remembered."""
+        known = self.words
+        new = {w for _, ws in group for w in ws if w not in known}
+        if new:
+            before = len(known)
+            self.add(new)
+            if len(known) < before + len(new):  # the cache was cleared: the others are needed too
+                self.add({w for _, ws in group for w in ws if w not in known})
+        for i, ws in group:
+            out[i].append(b"".join([known[w] for w in ws]))
 
 
 @lru_cache(maxsize=1)
