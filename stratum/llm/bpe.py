@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, text_batches
 
 LEAF = 16  # bytes up to which a piece is merged directly
-CACHE, PIECES = 300_000, 800_000  # entries of each per-worker cache, and of that of pieces
+CACHE, PIECES = 200_000, 500_000  # entries of each per-worker cache, and of that of pieces
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

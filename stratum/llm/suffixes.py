@@ -57,15 +57,20 @@ _rng = np.random.default_rng(20240229)
 _BYTES = _rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = [int(x) | 1 for x in _rng.integers(1 << 61, 1 << 63, 2, dtype=np.uint64)]
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
+_LOW = 12  # powers are products of two small tables, by the low and the high bits of the exponent
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base k and of its inverse modulo 2**64."""
-    if k not in _powers or len(_powers[k][0]) < n:
-        size = 1 << max(20, n.bit_length())
-        _powers[k] = tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, b, np.uint64)))) for b in (_BASE[k], pow(_BASE[k], -1, 1 << 64)))
-    return _powers[k]
+def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers base**i for i < 2**_LOW and base**(i << _LOW) up to n, modulo 2**64."""
+    high = (n >> _LOW) + 1
+    got = _powers.get(base)
+    if got is None or len(got[1]) < high:
+        size = max(high, 1 << 12)
+        step = np.uint64(pow(base, 1 << _LOW, 1 << 64))
+        low = np.concatenate(([np.uint64(1)], np.cumprod(np.full((1 << _LOW) - 1, base, np.uint64))))
+        got = _powers[base] = low, np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, step, np.uint64))))
+    return got
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,12 +83,15 @@ class Prefixes:
     """Polynomial prefix sums of a byte string: fingerprints of any of its substrings."""
 
     def __init__(self, raw: np.ndarray, k: int = 0):
-        up, self.down = _power(k, len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTES[k][raw] * up[: len(raw)], out=self.sums[1:])
+        n = len(raw)
+        low, high = _tables(_BASE[k], n)
+        self.inverse = _tables(pow(_BASE[k], -1, 1 << 64), n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[k][raw] * np.multiply.outer(high[: (n >> _LOW) + 1], low).ravel()[:n], out=self.sums[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[b] - self.sums[a]) * self.down[a])
+        low, high = self.inverse
+        return _mix((self.sums[b] - self.sums[a]) * (low[a & ((1 << _LOW) - 1)] * high[a >> _LOW]))
 
 
 class Ranks:
