@@ -37,14 +37,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def clear_empty(spark: SparkSession, staged, clean_root: str, year: int, month: int, period: int) -> None:
+def kept_categories(files, rejected, replace_absent: bool = True) -> set:
+    """Categories whose loaded rows an append must not clear: those with a rejected workbook
+    and, unless ``replace_absent``, those without any workbook."""
+    bad = rejected.select("path").distinct().withColumn("bad", F.lit(True))
+    seen = files.filter(F.col("category").isNotNull()).join(bad, "path", "left")
+    by = {r["category"]: r["bad"] for r in seen.groupBy("category").agg(F.max(F.coalesce("bad", F.lit(False))).alias("bad")).collect()}  # at most 4
+    absent = set() if replace_absent else {s.category for s in SPECS.values()} - set(by)
+    return absent | {c for c, is_bad in by.items() if is_bad}
+
+
+def clear_empty(spark: SparkSession, staged, clean_root: str, year: int, month: int, period: int, kept: set) -> None:
     """Drop the extraction's partition of every dataset for which it now has no rows (a
-    dynamic overwrite replaces only partitions that it writes)."""
+    dynamic overwrite replaces only partitions that it writes), but for ``kept`` categories."""
     lead = F.create_map(*chain.from_iterable((F.lit(s.name), F.lit(s.skip_rows)) for s in SPECS.values()))
     body = staged.filter(F.col("sheet_row") > F.try_element_at(lead, F.col("dataset")))
     present = {r["dataset"] for r in body.select("dataset").distinct().collect()}  # at most 15
-    for name in SPECS:
-        if name not in present:
+    for name, spec in SPECS.items():
+        if name not in present and spec.category not in kept:
             fs, p = _hadoop(spark, os.path.join(dataset_path(clean_root, name), f"year={int(year)}", f"month={int(month)}", f"period={int(period)}"))
             fs.delete(p, True)
 
@@ -68,8 +78,13 @@ def refresh_levels(spark: SparkSession, clean_root: str, year: int, month: int,
 
 def append_extraction(spark: SparkSession, incoming: str, clean_root: str, year: int, month: int, period: int,
                       fmt: str = "parquet", dialect: str = "quoted", null_policy: str = "keep",
-                      frame: str = "rows", parallelism: int = 15) -> dict:
-    """Add the workbooks in flat folder ``incoming`` as extraction (year, month, period)."""
+                      frame: str = "rows", parallelism: int = 15, replace_absent: bool = True) -> dict:
+    """Add the workbooks in flat folder ``incoming`` as extraction (year, month, period).
+
+    The folder is the whole extraction: what was loaded before of a category that it lacks is
+    cleared, unless ``replace_absent`` is false (categories that are delivered one by one). A
+    category with a rejected workbook never loses the datasets it brings no rows for.
+    """
     t_all = time.perf_counter()
     timings = {}
     files = discover_single_extraction(spark, incoming, year, month, period)
@@ -77,13 +92,15 @@ def append_extraction(spark: SparkSession, incoming: str, clean_root: str, year:
     staging = os.path.join(clean_root, "_staging", f"cells_{int(year)}_{int(month)}_{int(period)}")
     staged = stage_cells(spark, scan_cells(spark, incoming, recursive=False), files, staging)
     key = f"{int(year)}_{int(month)}_{int(period)}"
-    good = accept(spark, files, staged, os.path.join(clean_root, "_rejects_append", key))
+    rejects_path = os.path.join(clean_root, "_rejects_append", key)
+    good = accept(spark, files, staged, rejects_path)
+    kept = kept_categories(files, spark.read.schema("path string, reason string").parquet(rejects_path), replace_absent)
     write_table(conversion_failures(good), os.path.join(clean_root, "_rejects_cells_append", key))
     timings["get_raw_unique_extraction_data"] = time.perf_counter() - t0
     t0 = time.perf_counter()
     load_datasets(spark, good, clean_root, fmt, dialect, null_policy=null_policy, frame=frame,
                   parallelism=parallelism, mode="overwrite", dynamic=True, cluster=False)
-    clear_empty(spark, good, clean_root, year, month, period)
+    clear_empty(spark, good, clean_root, year, month, period, kept)
     refresh_levels(spark, clean_root, year, month, fmt, dialect, parallelism)
     timings["export_dataframes"] = time.perf_counter() - t0
     timings["total_etl_time"] = time.perf_counter() - t_all

@@ -80,3 +80,36 @@ def test_semantics(spark):
     assert sorted(map(tuple, update_from(a, u, "k", "v").collect())) == [(1, None), (2, 6)]
     x = spark.createDataFrame([("a", None, 1.0), ("a", "2024-01-01", 2.0)], "k string, d string, v double").withColumn("d", F.to_date("d"))
     assert sorted([r.band_mean for r in band_self_join_mean(x, "k", "d", "v").collect()], key=str) == [2.0, None]
+
+
+def test_rejected_and_late_workbooks_clear_nothing(spark, scratch):
+    raw, clean, incoming = (os.path.join(scratch, x) for x in ("raw", "clean", "incoming"))
+    build_raw_tree(raw, months=((2024, 1),), extra_files=False)
+    rebuild(spark, raw, clean, levels=("month", "all"))
+    build_single_extraction(incoming, 2024, 2, 1)
+    append_extraction(spark, incoming, clean, 2024, 2, 1)
+
+    def counts():
+        return {(d, level): read_dataset(spark, clean, d, level=level).filter("month = 2").count()
+                for d in SPECS for level in ("extractions", "monthly", "all_extractions")}
+
+    before = counts()
+    assert min(before.values()) > 0
+    # the same extraction again, its content workbook corrupt and its visitors of the wrong width
+    for f in os.listdir(incoming):
+        if "content" in f:
+            with open(os.path.join(incoming, f), "wb") as out:
+                out.write(b"no workbook")
+        if "visitors" in f:
+            s = SPECS["visitors_metrics"]
+            write_xlsx(os.path.join(incoming, f), [("a", [["x"]] * s.skip_rows + [["one"], ["1"]])])
+    append_extraction(spark, incoming, clean, 2024, 2, 1)
+    rejected = {os.path.basename(r.path) for r in spark.read.parquet(os.path.join(clean, "_rejects_append", "2024_2_1")).collect()}
+    assert rejected == {f for f in os.listdir(incoming) if "content" in f or "visitors" in f} and len(rejected) == 2
+    assert counts() == before
+    # a late delivery of one category
+    for f in os.listdir(incoming):
+        if "competitor" not in f:
+            os.unlink(os.path.join(incoming, f))
+    append_extraction(spark, incoming, clean, 2024, 2, 1, replace_absent=False)
+    assert counts() == before
