@@ -1,5 +1,6 @@
 """BPE, token files and language ID against the public libraries and plain versions."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -11,6 +12,7 @@ import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from stratum.llm import bpe, langid, rans
 
 PATH, WORDS, PIECES = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
@@ -119,3 +121,15 @@ def test_language_cases(spark, monkeypatch):
     empty = langid.learn(spark.createDataFrame([], "doc_id long, text string, lang string"), PIECES)
     assert {r.lang_pred for r in langid.predict(df, empty).collect()} == {"und"}
     assert langid.predict(df.limit(0), m).count() == 0
+
+
+def test_pipeline_ends_with_token_ids(spark):
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    rows = [*enumerate(ODD), (None, "x y"), (900, None), (2, "the cat  sat\n on it")]
+    got = corpus_pipeline.encode(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = []
+    for i, t in rows:
+        ids = enc.encode_ordinary(t or "")
+        want.append((i, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode()), ids))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
