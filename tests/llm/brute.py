@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import struct
+import zlib
 from collections import Counter
 
 
@@ -70,3 +73,77 @@ def contamination(docs, items, window=13):
                     found |= own
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
+
+
+def _sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row):
+    return _sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def merkle(rows):
+    """(doc_id, leaf, subroot, root, proof, folded root, verified) of rows (doc_id, source, lang, n_chars, text)."""
+
+    def grow(row):
+        levels = [row]
+        while len(levels[-1]) > 1:
+            levels.append([_sha(*levels[-1][i : i + 3]) for i in range(0, len(levels[-1]), 3)])
+        return levels
+
+    def climb(levels, i, digest, proof):
+        for row in levels[:-1]:
+            run = range(i // 3 * 3, min(i // 3 * 3 + 3, len(row)))
+            proof += [row[j] for j in run if j != i]
+            digest = _sha(*(digest if j == i else row[j] for j in run))
+            i //= 3
+        return digest
+
+    trees = {}
+    for r in rows:
+        trees.setdefault(r[1], []).append(r)
+    keys = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    grown = {}
+    for s in keys:
+        trees[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        grown[s] = grow([leaf(r) for r in trees[s]])
+    top = grow([grown[s][-1][0] for s in keys]) if keys else []
+    out = []
+    for k, s in enumerate(keys):
+        for i, r in enumerate(trees[s]):
+            shown = r
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0 and r[4] is not None:
+                shown = (*r[:4], r[4].replace("\n", ""))
+            proof = []
+            folded = climb(top, k, climb(grown[s], i, leaf(shown), proof), proof)
+            out.append((r[0], leaf(r), grown[s][-1][0], top[-1][0], _sha(*proof), folded, folded == top[-1][0]))
+    return out
+
+
+def conversations(rows):
+    """{conv_id: (turns, digest of the turns, characters of the assistant, their digest)}."""
+    by = {}
+    for c, turn, role, text in rows:
+        by.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    out = {}
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(t for *_, role, t in turns if role == "assistant")
+        out[c] = (len(turns), _sha(*(f"{role}\n{t}\n" for *_, role, t in turns)), len(loss), _sha(loss))
+    return out
+
+
+def hard_negatives(rows, anchors, positives=5, negatives=3):
+    def usable(r):
+        return r[0] is not None and r[2] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1])
+
+    whole = lambda v: [math.floor(256 * struct.unpack("f", struct.pack("f", x))[0]) for x in v]
+    rows = [(r[0], whole(r[1]), r[2]) for r in rows if usable(r)]
+    out = []
+    for a in {(r[0], tuple(whole(r[1])), r[2]) for r in anchors if usable(r)}:
+        scored = sorted((-sum(x * y for x, y in zip(a[1], r[1], strict=True)), r[0], r[2]) for r in rows if r[0] != a[0] and len(r[1]) == len(a[1]))
+        for p, pid, _ in [s for s in scored if s[2] == a[2]][:positives]:
+            fit = [s for s in scored if s[2] != a[2] and 50 * -p <= 100 * -s[0] <= 95 * -p][:negatives]
+            out += [(a[0], pid, k, n, -p, -s) for k, (s, n, _) in enumerate(fit, 1)]
+    return sorted(out)
