@@ -19,7 +19,7 @@ bits; a bucket is sorted in one task and answers with a byte per rank. A bucket'
 bounded since ranks are spread evenly and a block sends a rank once, however often it occurs;
 exact copies of a text are found beforehand by digest and sorted only once.
 
-Texts are shuffled once, by a hash of the id, and kept on the executors' disks (recomputed if an
+Texts are shuffled once, by a hash of the id and the text, and kept on the executors' disks (recomputed if an
 executor is lost) until the rounds are over.
 
 Defined cases: null text is empty; texts shorter than LENGTH keep all; rows that repeat a
@@ -167,7 +167,8 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
 class Block:
     """The texts of one block that are sorted, with the answers of earlier rounds."""
 
-    def __init__(self, texts: pa.Table, notes: pa.Table, text_col: str, digest_col: str):
+    def __init__(self, texts: pa.Table, notes: pa.Table, text_col: str, digest_col: str, length: int = LENGTH):
+        self.length = length
         digests = texts.column(digest_col).to_pylist()
         self.answers: dict[int, list[tuple[int, bytes]]] = {}
         copied: dict[str, int] = {}
@@ -185,7 +186,7 @@ class Block:
         self.raw, off = flat(pa.concat_arrays([c.cast(pa.large_string()) for c in texts.column(text_col).chunks] or [pa.array([], pa.large_string())]))
         self.off = off
         size = np.diff(off)
-        self.rows = np.flatnonzero(np.array(own, bool) & (size >= LENGTH)) if len(size) else np.zeros(0, np.int64)
+        self.rows = np.flatnonzero(np.array(own, bool) & (size >= self.length)) if len(size) else np.zeros(0, np.int64)
         self.sums = Prefixes(self.raw)
 
     def _answer(self, round_: int, ranks: Ranks) -> np.ndarray:
@@ -196,10 +197,10 @@ class Block:
         at = []
         for i in self.rows:
             n = self.off[i + 1] - self.off[i]
-            at.append(self.off[i] + np.flatnonzero(np.resize(_IN_COVER, n - (LENGTH - PERIOD + 1) + 1)))
+            at.append(self.off[i] + np.flatnonzero(np.resize(_IN_COVER, n - (self.length - PERIOD + 1) + 1)))
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
         self.sample_at = at
-        return self.sums.of(at, at + (LENGTH - PERIOD + 1))
+        return self.sums.of(at, at + (self.length - PERIOD + 1))
 
     def candidates(self, ranks: Ranks) -> np.ndarray:
         """Starts with a repeated sample in their first PERIOD bytes."""
@@ -211,7 +212,7 @@ class Block:
         on = np.cumsum(step[:-1]) > 0
         valid = np.zeros(len(self.raw), bool)
         for i in self.rows:
-            valid[self.off[i] : self.off[i + 1] - LENGTH + 1] = True
+            valid[self.off[i] : self.off[i + 1] - self.length + 1] = True
         return np.flatnonzero(on & valid)
 
     def runs(self, at: np.ndarray):
@@ -228,9 +229,9 @@ class Block:
         before = np.where(which > 0, anchors[np.maximum(which - 1, 0)], -1) if len(own) else own
         doc = np.searchsorted(self.off, own, side="right") - 1
         low = np.maximum(np.maximum(before + 1, own - REACH), self.off[doc])
-        high = np.minimum(own, self.off[doc + 1] - LENGTH)
-        shared = self.sums.of(own, own - REACH + LENGTH)
-        whole = self.sums.of(low, high + LENGTH)
+        high = np.minimum(own, self.off[doc + 1] - self.length)
+        shared = self.sums.of(own, own - REACH + self.length)
+        whole = self.sums.of(low, high + self.length)
         whole = _mix(whole + ((own - low) * 512 + (high - low)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return anchor >= 0, run, shared, whole
 
@@ -247,7 +248,7 @@ class Block:
         code = np.full(len(at), SOME, np.uint8)
         code[anchored] = self._answer(2, ranks)[run]
         shown = at[(code == SOME) | (code == ALL_SHOWN)]
-        ranks = Ranks(self.sums.of(shown, shown + LENGTH), Prefixes(self.raw, 1).of(shown, shown + LENGTH))
+        ranks = Ranks(self.sums.of(shown, shown + self.length), Prefixes(self.raw, 1).of(shown, shown + self.length))
         if number == 3:
             return ranks
         single = shown[(self._answer(3, ranks) > 0) & (code[(code == SOME) | (code == ALL_SHOWN)] == SOME)]
@@ -258,20 +259,23 @@ class Block:
         starts = self.step(4)
         edge = np.zeros(len(self.raw) + 1, np.int32)
         np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + LENGTH, -1)
+        np.add.at(edge, starts + self.length, -1)
         gone = np.cumsum(edge[:-1]) > 0
         for i, c in enumerate(self.copied):
-            if c and self.off[i + 1] - self.off[i] >= LENGTH:
+            if c and self.off[i + 1] - self.off[i] >= self.length:
                 gone[self.off[i] : self.off[i + 1]] = True
         return gone
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rest: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(result, what to unpersist when the result has been written).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rest: bool = False, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(result, what to unpersist when the result has been written). Strings of ``length`` bytes
+    count, of at least ``PERIOD + REACH // 2`` (so that samples are long enough to tell).
 
     The result has the id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with
     ``keep_rest`` it has the rows' own columns, the text being what is left of it.
     """
+    if length < PERIOD + REACH // 2:
+        raise ValueError(f"length must be at least {PERIOD + REACH // 2}")
     spark = docs.sparkSession
     ship_code(spark)
     total = text_bytes(docs, text_col)
@@ -282,8 +286,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         names = ["_" + x for x in names]
     block, digest = names
     own = docs if keep_rest else docs.select(id_col, text_col)
-    own = own.withColumns({block: F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"), digest: F.md5(F.coalesce(F.col(text_col), F.lit("")))})
-    long = own.filter(F.octet_length(text_col) >= LENGTH)
+    own = own.withColumn(digest, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    own = own.withColumn(block, F.pmod(F.xxhash64(id_col, digest), F.lit(blocks)).cast("int"))
+    long = own.filter(F.octet_length(text_col) >= length)
     counts = long.groupBy(F.col(digest).alias("digest"), F.col(block).alias("block")).count()
     groups = counts.groupBy("digest").agg(F.sum("count").alias("n"), F.min("block").alias("first")).filter("n > 1")
     root = scratch(spark, "suffixes")
@@ -296,7 +301,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
             rows = []
             if left.num_rows:
-                rows = list(Block(left, right, text_col, digest).step(number).blobs(key[0].as_py(), number, bits, 32 if number == 1 else 64))
+                rows = list(Block(left, right, text_col, digest, length).step(number).blobs(key[0].as_py(), number, bits, 32 if number == 1 else 64))
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "round", "bucket", "data"])
 
@@ -314,7 +319,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rest = left.drop_columns(names)
         if not left.num_rows:
             return rest if keep_rest else _report(left.column(id_col), [], id_col)
-        b = Block(left, right, text_col, digest)
+        b = Block(left, right, text_col, digest, length)
         gone, rows = b.removed(), []
         for i, j in zip(b.off[:-1], b.off[1:], strict=True):
             cut = gone[i:j]
