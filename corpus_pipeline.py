@@ -24,10 +24,18 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bagminhash.keep_one(docs)
 
 
+#: Bytes of a string that may not repeat: passages of fifty words are longer, chance repeats
+#: and stock phrases shorter. No copy of a passage stays, so no document depends on another's fate.
+PASSAGE = 250
+
+
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that start anywhere else."""
-    result, _ = suffixes.remove_repeats(docs, keep_rest=True)
-    return result.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Texts without the strings of ``PASSAGE`` bytes that start anywhere else."""
+    result, packed = suffixes.remove_repeats(docs, keep_rest=True, length=PASSAGE)
+    root = scratch(spark, "unrepeated")
+    result.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns).write.parquet(root)
+    packed.unpersist()
+    return spark.read.parquet(root)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
