@@ -26,7 +26,7 @@ IMPORTED = 0
 def import_flat_layer(spark: SparkSession, folder: str, clean_root: str, prefix: str = "all_extractions_",
                       dialect: str = "quoted", fmt: str = "parquet", parallelism: int = 8) -> dict:
     """Returns {dataset: rows written}."""
-    tables = read_flat_clean(spark, folder, prefix=prefix, dialect=dialect)
+    tables = read_flat_clean(spark, folder, prefix=prefix, dialect=dialect, file_col="source_file")
     left_out = []
     for name, df in sorted(tables.items()):
         known = name in SPECS
@@ -42,7 +42,6 @@ def import_flat_layer(spark: SparkSession, folder: str, clean_root: str, prefix:
         keyed = df.withColumns({
             "year": F.year(er), "month": F.month(er),
             "period": F.when(er == F.last_day(er), F.lit(2)).otherwise(F.lit(IMPORTED)),
-            "source_file": F.col("_metadata.file_path"),
             "row_idx": F.lit(None).cast("long"),
         })
         write_table(keyed.repartition(spark.sparkContext.defaultParallelism, *PARTITION_COLS),

@@ -5,8 +5,8 @@ Dialects
 * ``"quoted"``    -- ``,`` separator, header, every field quoted (K1/K3).
 * ``"semicolon"`` -- ``;`` separator, header, quotes only where needed (K2).
 
-Text fields may hold newlines, quotes and separators; the matching reader
-(``sources.clean``) parses CSV with ``multiLine`` and ``"`` as escape.
+Text fields may hold newlines, quotes, separators and white space at their ends; the matching
+reader (``sources.split_csv``) reads such files in several tasks.
 
 Overwrites are per partition (dynamic partition overwrite), so re-running an
 extraction replaces exactly its own partition and appending a new extraction
@@ -17,9 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+_EXACT = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}  # the writer trims otherwise
 DIALECTS = {
-    "quoted": {"sep": ",", "header": "true", "quoteAll": "true", "escape": '"'},
-    "semicolon": {"sep": ";", "header": "true", "quoteAll": "false", "escape": '"'},
+    "quoted": {"sep": ",", "header": "true", "quoteAll": "true", "escape": '"'} | _EXACT,
+    "semicolon": {"sep": ";", "header": "true", "quoteAll": "false", "escape": '"'} | _EXACT,
 }
 
 

@@ -6,7 +6,8 @@ Two layouts are read:
   ``<root>/<level>/<dataset>/year=/month=/period=`` (parquet or CSV);
 * a flat folder of one CSV per dataset named ``<prefix><dataset>.csv``.
 
-CSV text fields can span lines, so CSV is always parsed with ``multiLine``.
+CSV text fields can span lines; ``split_csv`` reads such files in as many tasks as they have
+splits.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from stratum.functions.columns import dataset_name_from_file
 from stratum.registry import LINEAGE_COLS, PARTITION_COLS, SPECS, clean_schema
 from stratum.sinks.writers import csv_options
+from stratum.sources.split_csv import read_split_csv
 
 _LINEAGE_FIELDS = [T.StructField("source_file", T.StringType()), T.StructField("row_idx", T.LongType())]
 
@@ -29,12 +31,9 @@ def dataset_path(root: str, name: str, level: str = "extractions") -> str:
     return os.path.join(root, level, name)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, dialect: str = "quoted") -> DataFrame:
-    opts = csv_options(dialect)
-    opts.pop("quoteAll", None)
-    return (spark.read.schema(schema).options(**opts)
-            .option("multiLine", "true").option("dateFormat", "yyyy-MM-dd").option("mode", "PERMISSIVE")
-            .csv(path))
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, dialect: str = "quoted", folders: T.StructType | None = None,
+             file_col: str | None = None) -> DataFrame:
+    return read_split_csv(spark, path, schema, csv_options(dialect) | {"dateFormat": "yyyy-MM-dd"}, folders, file_col)
 
 
 def read_dataset(spark: SparkSession, root: str, name: str, fmt: str = "parquet", dialect: str = "quoted",
@@ -43,10 +42,13 @@ def read_dataset(spark: SparkSession, root: str, name: str, fmt: str = "parquet"
     filtering on year/month/period prunes partitions (U5 view)."""
     path = dataset_path(root, name, level)
     fields = list(clean_schema(name).fields) + (_LINEAGE_FIELDS if lineage else [])
-    if fmt == "parquet":  # declared, so that a dataset without rows reads as an empty table
-        keys = [T.StructField(c, T.IntegerType()) for c in PARTITION_COLS]
+    keys = [T.StructField(c, T.IntegerType()) for c in PARTITION_COLS]
+    # declared, so that a dataset without rows reads as an empty table
+    if fmt == "parquet":
         return spark.read.schema(T.StructType(fields + keys)).parquet(path)
-    return read_csv(spark, path, T.StructType(fields), dialect)
+    if level == "all_extractions":  # one file set: the keys are columns of the files
+        return read_csv(spark, path, T.StructType(fields + keys), dialect)
+    return read_csv(spark, path, T.StructType(fields if level == "extractions" else [*fields, keys[2]]), dialect, T.StructType(keys if level == "extractions" else keys[:2]))
 
 
 def list_flat_datasets(spark: SparkSession, folder: str, prefix: str = "all_extractions_") -> DataFrame:
@@ -58,7 +60,7 @@ def list_flat_datasets(spark: SparkSession, folder: str, prefix: str = "all_extr
 
 
 def read_flat_clean(spark: SparkSession, folder: str, prefix: str = "all_extractions_",
-                    dialect: str = "quoted") -> dict:
+                    dialect: str = "quoted", file_col: str | None = None) -> dict:
     """``{dataset: DataFrame}`` for a flat folder of per-dataset CSV files.
 
     One name per file of the folder is collected; each file is then read lazily, a
@@ -69,11 +71,11 @@ def read_flat_clean(spark: SparkSession, folder: str, prefix: str = "all_extract
     for n in sorted(set(names)):
         path = os.path.join(folder, f"{prefix}{n}.csv")
         if n in SPECS:
-            out[n] = read_csv(spark, path, clean_schema(n), dialect)
+            out[n] = read_csv(spark, path, clean_schema(n), dialect, file_col=file_col)
         else:
             opts = csv_options(dialect)
-            opts.pop("quoteAll", None)
-            out[n] = spark.read.options(**opts).option("multiLine", "true").csv(path)
+            names = spark.read.options(**opts).option("multiLine", "true").csv(path).schema  # the first record
+            out[n] = read_split_csv(spark, path, names, opts, file_col=file_col)
     return out
 
 
@@ -94,8 +96,3 @@ def read_metrics_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def lineage_columns() -> list[str]:
     return list(LINEAGE_COLS)
-
-
-def with_file_name(df: DataFrame, out: str = "source_file") -> DataFrame:
-    """Attach the file each row was read from (hidden ``_metadata`` column)."""
-    return df.withColumn(out, F.col("_metadata.file_path"))
