@@ -1,7 +1,8 @@
 """Command line: python -m stratum <command> ...
 
   rebuild  RAW CLEAN [--fmt parquet|csv] [--dialect quoted|semicolon] [--levels month,all]
-  append   FOLDER CLEAN YEAR MONTH PERIOD [--fmt ...] [--dialect ...]
+  append   FOLDER CLEAN YEAR MONTH PERIOD [--replace-absent] [--fmt ...] [--dialect ...]
+  compact  CLEAN [--fmt ...] [--dialect ...]     (merges file sets of the whole-history level, then vacuums)
   stream   LANDING CLEAN [--fmt ...] [--dialect ...]          (processes what has landed, then stops)
   profile  raw RAW ENV | clean CLEAN ENV
   import   FLAT_FOLDER CLEAN [--dialect ...]
@@ -35,7 +36,11 @@ def _parser() -> argparse.ArgumentParser:
         a.add_argument(n)
     for n in ("year", "month", "period"):
         a.add_argument(n, type=int)
+    a.add_argument("--replace-absent", action="store_true", help="clear categories that the folder lacks")
     io_opts(a)
+    c = sub.add_parser("compact")
+    c.add_argument("clean")
+    io_opts(c)
     s = sub.add_parser("stream")
     s.add_argument("landing")
     s.add_argument("clean")
@@ -66,7 +71,11 @@ def main(argv=None, spark=None) -> dict:
         from stratum.plans.append import append_extraction
 
         out = append_extraction(spark, args.folder, args.clean, args.year, args.month, args.period,
-                                fmt=args.fmt, dialect=args.dialect)
+                                fmt=args.fmt, dialect=args.dialect, replace_absent=args.replace_absent)
+    elif args.cmd == "compact":
+        from stratum.plans.history import merge_tiers, vacuum
+
+        out = {"merged": merge_tiers(spark, args.clean, args.fmt, args.dialect), "deleted": vacuum(spark, args.clean)}
     elif args.cmd == "stream":
         from stratum.streaming.append_stream import start_append_stream
 

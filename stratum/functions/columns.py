@@ -11,6 +11,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stratum.functions.dates import parse_text
 from stratum.registry import CATEGORY_ORDER, MONTH_NAMES_PT
 
 
@@ -100,10 +101,6 @@ def month_name(num_col) -> Column:
     return F.try_element_at(_num_to_month(), _c(num_col).cast("int"))
 
 
-DATE_FORMATS = ("M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd",
-                "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
-
-
 def blank_to_null(col) -> Column:
     """``CASE WHEN c IS NULL OR c = '' THEN NULL ELSE c END``."""
     c = _c(col)
@@ -115,21 +112,15 @@ def parse_date_strict(col, fmt: str = "M/d/yyyy") -> Column:
     return F.to_date(blank_to_null(col), fmt)
 
 
-def parse_date(col, formats=DATE_FORMATS, excel_serial: bool = True) -> Column:
-    """Lenient multi-format parse (C8/C9): first format that parses wins, else NULL.
+def parse_date(col, order=None, excel_serial: bool = True) -> Column:
+    """Lenient parse of one cell (C8/C9), NULL if no format admits it; see ``functions.dates``.
 
-    With ``excel_serial`` a numeric cell is read as a spreadsheet day serial
-    (days since 1899-12-30), which is how workbooks store typed dates; a
-    fractional part (time of day) is dropped.
+    ``order`` is what the cell's whole column admits (``dates.order_mask`` under ``bit_and``);
+    without it ``1/2/2024`` is read month first. With ``excel_serial`` a numeric cell is read as
+    a spreadsheet day serial, which is how workbooks store typed dates; a fractional part (time
+    of day) is dropped.
     """
-    c = blank_to_null(F.trim(_c(col).cast("string")))
-    parsed = [F.try_to_date(c, f) for f in formats]
-    if excel_serial:
-        serial = F.when(c.rlike(r"^\d{1,6}(\.\d+)?$"),
-                        F.date_add(F.lit("1899-12-30").cast("date"),
-                                   F.split(c, r"\.").getItem(0).cast("int")))
-        parsed.append(serial)
-    return F.coalesce(*parsed)
+    return parse_text(blank_to_null(F.trim(_c(col).cast("string"))), order, excel_serial)
 
 
 def round_half_even_long(col) -> Column:

@@ -37,14 +37,15 @@ def add_column(df: DataFrame, name: str, dtype, value=None, if_not_exists: bool
     return df.withColumn(name, F.lit(value).cast(dtype))
 
 
-def convert(col: Column, dtype: T.DataType, strict: bool) -> Column:
-    """String/any -> declared type. Dates accept M/d/yyyy, ISO and day serials."""
+def convert(col: Column, dtype: T.DataType, strict: bool, order: Column | None = None) -> Column:
+    """String/any -> declared type. Dates accept M/d/yyyy (d/M/yyyy where ``order``, what the
+    whole column admits, says so), ISO and day serials."""
     if isinstance(dtype, T.DateType):
         if not strict:
-            return parse_date(col)
+            return parse_date(col, order)
         text = blank_to_null(F.trim(col.cast("string")))
         failed = F.raise_error(F.concat(F.lit("not a date: "), text)).cast("date")
-        return F.coalesce(parse_date(col), F.when(text.isNotNull(), failed))
+        return F.coalesce(parse_date(col, order), F.when(text.isNotNull(), failed))
     return col.cast(dtype) if strict else col.try_cast(dtype)
 
 

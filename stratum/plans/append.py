@@ -4,40 +4,32 @@ Only the new extraction is decoded and transformed, and only its own
 ``(year, month, period)`` partition of every dataset is (over)written --
 O(new data), where rebuilding the merged table would be O(all data).
 Re-running the same extraction replaces its partition (idempotent) instead
-of duplicating rows. Readers see the union of all extractions through
-``sources.clean.read_dataset``.
+of duplicating rows. Copies that exist follow: the touched month of the month level, and the
+whole-history level by one more set of files and a new manifest (``plans.history``). Readers see
+the union of all extractions through ``sources.clean.read_dataset``.
 """
 
 from __future__ import annotations
 
 import os
 import time
-
-from itertools import chain
+from functools import reduce
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from stratum.plans.rebuild import _concurrently, accept, load_datasets, stage_cells
-from stratum.plans.transform import conversion_failures
+from stratum.plans import history as whole_history
+from stratum.plans.rebuild import _concurrently, accept, load_datasets, report_failures, stage_cells, summary_of
+from stratum.plans.transform import transform_dataset
 from stratum.registry import SPECS
 from stratum.sinks.writers import write_table
 from stratum.sources.clean import dataset_path, read_dataset
 from stratum.sources.files import discover_single_extraction
+from stratum.sources.history import exists, hadoop, manifest
 from stratum.sources.xlsx import scan_cells
 
 
-def _hadoop(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop(spark, path)
-    return fs.exists(p)
-
-
-def kept_categories(files, rejected, replace_absent: bool = True) -> set:
+def kept_categories(files, rejected, replace_absent: bool = False) -> set:
     """Categories whose loaded rows an append must not clear: those with a rejected workbook
     and, unless ``replace_absent``, those without any workbook."""
     bad = rejected.select("path").distinct().withColumn("bad", F.lit(True))
@@ -47,61 +39,70 @@ def kept_categories(files, rejected, replace_absent: bool = True) -> set:
     return absent | {c for c, is_bad in by.items() if is_bad}
 
 
-def clear_empty(spark: SparkSession, staged, clean_root: str, year: int, month: int, period: int, kept: set) -> None:
-    """Drop the extraction's partition of every dataset for which it now has no rows (a
-    dynamic overwrite replaces only partitions that it writes), but for ``kept`` categories."""
-    lead = F.create_map(*chain.from_iterable((F.lit(s.name), F.lit(s.skip_rows)) for s in SPECS.values()))
-    body = staged.filter(F.col("sheet_row") > F.try_element_at(lead, F.col("dataset")))
-    present = {r["dataset"] for r in body.select("dataset").distinct().collect()}  # at most 15
-    for name, spec in SPECS.items():
-        if name not in present and spec.category not in kept:
-            fs, p = _hadoop(spark, os.path.join(dataset_path(clean_root, name), f"year={int(year)}", f"month={int(month)}", f"period={int(period)}"))
-            fs.delete(p, True)
+def partition_path(clean_root: str, name: str, key: tuple) -> str:
+    year, month, period = (int(x) for x in key)
+    return os.path.join(dataset_path(clean_root, name), f"year={year}", f"month={month}", f"period={period}")
 
 
-def refresh_levels(spark: SparkSession, clean_root: str, year: int, month: int, fmt: str, dialect: str, parallelism: int) -> None:
-    """Bring the copies that exist up to date: the touched month of the month level, and the
-    whole-history level (one file set per dataset, so it is rewritten)."""
+def refresh_months(spark: SparkSession, clean_root: str, months, names, fmt: str, dialect: str, parallelism: int) -> None:
+    """Bring the touched months [(year, month)] of the month level up to date, where it exists."""
 
     def one(name):
-        layer = read_dataset(spark, clean_root, name, fmt, dialect)
-        monthly, whole = (dataset_path(clean_root, name, level) for level in ("monthly", "all_extractions"))
-        if exists(spark, monthly):
-            own = layer.filter((F.col("year") == int(year)) & (F.col("month") == int(month)))
-            write_table(own, monthly, fmt=fmt, dialect=dialect, partition_by=["year", "month"])
-        if exists(spark, whole):
-            write_table(layer, whole, fmt=fmt, dialect=dialect)
+        if not exists(spark, dataset_path(clean_root, name, "monthly")):
+            return
+        touched = [(F.col("year") == int(y)) & (F.col("month") == int(m)) for y, m in months]
+        own = read_dataset(spark, clean_root, name, fmt, dialect).filter(reduce(lambda a, b: a | b, touched))
+        write_table(own, dataset_path(clean_root, name, "monthly"), fmt=fmt, dialect=dialect, partition_by=["year", "month"])
+        left = {(r["year"], r["month"]) for r in own.select("year", "month").distinct().collect()}  # of the touched months
+        for y, m in months:
+            if (int(y), int(m)) not in left:
+                fs, p = hadoop(spark, os.path.join(dataset_path(clean_root, name, "monthly"), f"year={int(y)}", f"month={int(m)}"))
+                fs.delete(p, True)
 
-    if any(exists(spark, os.path.join(clean_root, level)) for level in ("monthly", "all_extractions")):
-        _concurrently(one, list(SPECS), parallelism)
+    if exists(spark, os.path.join(clean_root, "monthly")):
+        _concurrently(one, list(names), parallelism)
 
 
 def append_extraction(spark: SparkSession, incoming: str, clean_root: str, year: int, month: int, period: int,
                       fmt: str = "parquet", dialect: str = "quoted", null_policy: str = "keep",
-                      frame: str = "rows", parallelism: int = 15, replace_absent: bool = True) -> dict:
+                      frame: str = "rows", parallelism: int = 15, replace_absent: bool = False) -> dict:
     """Add the workbooks in flat folder ``incoming`` as extraction (year, month, period).
 
-    The folder is the whole extraction: what was loaded before of a category that it lacks is
-    cleared, unless ``replace_absent`` is false (categories that are delivered one by one). A
-    category with a rejected workbook never loses the datasets it brings no rows for.
+    Datasets of the folder's categories are replaced; a category that the folder lacks keeps
+    what was loaded of it, unless ``replace_absent`` says that the folder is the whole
+    extraction. A category with a rejected workbook never loses the datasets it brings no rows for.
     """
     t_all = time.perf_counter()
     timings = {}
-    files = discover_single_extraction(spark, incoming, year, month, period)
+    key = (int(year), int(month), int(period))
+    label = "_".join(map(str, key))
+    files = discover_single_extraction(spark, incoming, *key)
     t0 = time.perf_counter()
-    staging = os.path.join(clean_root, "_staging", f"cells_{int(year)}_{int(month)}_{int(period)}")
+    staging = os.path.join(clean_root, "_staging", f"cells_{label}")
     staged = stage_cells(spark, scan_cells(spark, incoming, recursive=False), files, staging)
-    key = f"{int(year)}_{int(month)}_{int(period)}"
-    rejects_path = os.path.join(clean_root, "_rejects_append", key)
-    good = accept(spark, files, staged, rejects_path)
-    kept = kept_categories(files, spark.read.schema("path string, reason string").parquet(rejects_path), replace_absent)
-    write_table(conversion_failures(good), os.path.join(clean_root, "_rejects_cells_append", key))
+    summary = summary_of(spark, staged, os.path.join(clean_root, "_staging", f"summary_{label}"))
+    rejects_path = os.path.join(clean_root, "_rejects_append", label)
+    good = accept(spark, files, staged, rejects_path, summary)
+    bad = spark.read.schema("path string, reason string").parquet(rejects_path)
+    kept = kept_categories(files, bad, replace_absent)
     timings["get_raw_unique_extraction_data"] = time.perf_counter() - t0
+
     t0 = time.perf_counter()
-    load_datasets(spark, good, clean_root, fmt, dialect, null_policy=null_policy, frame=frame,
-                  parallelism=parallelism, mode="overwrite", dynamic=True, cluster=False)
-    clear_empty(spark, good, clean_root, year, month, period, kept)
-    refresh_levels(spark, clean_root, year, month, fmt, dialect, parallelism)
+    sound = summary.join(bad.select(F.col("path").alias("source_file")), "source_file", "left_anti")
+    present = [r["dataset"] for r in sound.filter("n_rows > 0").select("dataset").distinct().collect()]  # at most 15
+    cleared = [n for n, s in SPECS.items() if n not in present and s.category not in kept]
+    before = {n for n in (*present, *cleared) if exists(spark, partition_path(clean_root, n, key))}
+    failed: dict = {}
+    load_datasets(spark, good, clean_root, fmt, dialect, datasets=present, null_policy=null_policy, frame=frame,
+                  parallelism=parallelism, mode="overwrite", dynamic=True, cluster=False, summary=summary, failed=failed)
+    for n in before & set(cleared):
+        fs, p = hadoop(spark, partition_path(clean_root, n, key))
+        fs.delete(p, True)
+    report_failures(good, failed, os.path.join(clean_root, "_rejects_cells_append", label), summary)
+    refresh_months(spark, clean_root, [key[:2]], {*present, *(before & set(cleared))}, fmt, dialect, parallelism)
+    if manifest(spark, clean_root) is not None:
+        new = {n: transform_dataset(good, n, null_policy, frame, summary=summary) for n in present}
+        whole_history.add(spark, new, clean_root, {n: [key] for n in before}, fmt, dialect, lambda fn, items: _concurrently(fn, items, parallelism))
     timings["export_dataframes"] = time.perf_counter() - t0
     timings["total_etl_time"] = time.perf_counter() - t_all
     return timings

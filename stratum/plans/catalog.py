@@ -8,6 +8,8 @@ order (the digits are chosen so that exact ties cannot occur).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -823,8 +825,8 @@ def workbook_content_metrics(spark, sf_dir):
     """The reference's own dataflow on workbooks Spark derives from ``orders``.
 
     One content workbook per half month of order dates is written under the
-    session's checkpoint folder (shared storage on a cluster); the returned
-    plan then discovers the tree, decodes the workbooks, skips the lead rows,
+    session's checkpoint folder (shared storage on a cluster); the tree is
+    discovered and its workbooks decoded once; the returned plan skips the lead rows,
     names and types the columns by position, stamps the extraction and
     repairs the metrics -- the same path ``plans.rebuild`` writes to the
     clean layer.
@@ -832,7 +834,8 @@ def workbook_content_metrics(spark, sf_dir):
     import os
     import uuid
 
-    from stratum.plans.transform import attach_extraction, transform_dataset
+    from stratum.plans.rebuild import stage_cells
+    from stratum.plans.transform import transform_dataset
     from stratum.session import checkpoint_dir
     from stratum.sources.files import accepted_files, discover_extractions
     from stratum.sources.xlsx import scan_cells
@@ -842,7 +845,8 @@ def workbook_content_metrics(spark, sf_dir):
     raw = os.path.join(base, "raw")
     derive_raw_tree(spark, sf_dir, raw, os.path.join(base, "incoming"), holdout_last=0, categories=["content"])
     files = accepted_files(discover_extractions(spark, raw))
-    cm = transform_dataset(attach_extraction(scan_cells(spark, raw), files), "content_metrics")
+    staged = stage_cells(spark, scan_cells(spark, raw), files, os.path.join(base, "cells"))
+    cm = transform_dataset(staged, "content_metrics")
     metrics = ["Clicks (total)", "Reactions (total)", "Comments (total)", "Shares (total)"]
     return cm.select("Date", "Impressions (total)", *[F.round(F.col(f"`{m}`"), 4).alias(m) for m in metrics],
                      F.round("`Engagement Rate (total)`", 6).alias("Engagement Rate (total)"), "Extraction Range")
@@ -898,16 +902,12 @@ def rebuild_and_append(spark, sf_dir):
     for x in info["holdout"]:
         append_extraction(spark, x["folder"], clean, x["year"], x["month"], x["period"])
     rejected = spark.read.schema("path string, reason string").parquet(os.path.join(clean, "_rejects")).count()
-    parts = []
-    for name in SPECS:
-        counts = [read_dataset(spark, clean, name, level=level).agg(F.count("*").alias(out))
-                  for level, out in (("extractions", "n_layer"), ("monthly", "n_monthly"), ("all_extractions", "n_all"))]
-        parts.append(counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
-                     .select(F.lit(name).alias("dataset"), "n_layer", "n_monthly", "n_all", F.lit(rejected).cast("long").alias("n_rejected")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    levels = (("extractions", "n_layer"), ("monthly", "n_monthly"), ("all_extractions", "n_all"))
+    counted = [read_dataset(spark, clean, name, level=level).agg(F.count("*").alias("n"))
+               .select(F.lit(name).alias("dataset"), F.lit(out).alias("level"), "n") for name in SPECS for level, out in levels]
+    rows = reduce(DataFrame.unionByName, counted)
+    cells = [F.sum(F.when(F.col("level") == out, F.col("n"))).alias(out) for _, out in levels]
+    return rows.groupBy("dataset").agg(*cells).withColumn("n_rejected", F.lit(rejected).cast("long"))
 
 
 @query("flat_layer_roundtrip", """

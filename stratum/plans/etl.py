@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.operators.setops import union_by_name
-from stratum.plans.rebuild import accept, export_levels, load_datasets, stage_cells, staged_bytes
+from stratum.plans.rebuild import accept, export_levels, load_datasets, stage_cells, staged_bytes, summary_of
 from stratum.plans.transform import transform_dataset
 from stratum.registry import SPECS
 from stratum.sources.clean import read_dataset
@@ -36,17 +36,19 @@ class CleanLayerETL:
         files = discover_extractions(self.spark, self.raw_root)
         self._staging = os.path.join(self.clean_root, "_staging", "cells")
         staged = stage_cells(self.spark, scan_cells(self.spark, self.raw_root), files, self._staging)
-        return accept(self.spark, files, staged, os.path.join(self.clean_root, "_rejects"))
+        self._summary = summary_of(self.spark, staged, os.path.join(self.clean_root, "_staging", "summary"))
+        return accept(self.spark, files, staged, os.path.join(self.clean_root, "_rejects"), self._summary)
 
     def transform_data(self, staged: DataFrame) -> dict:
         """{dataset: typed, stamped (and for content_metrics repaired) DataFrame}."""
-        return {n: transform_dataset(staged, n, self.null_policy, self.frame) for n in SPECS}
+        return {n: transform_dataset(staged, n, self.null_policy, self.frame, summary=getattr(self, "_summary", None)) for n in SPECS}
 
     def load_to_clean(self, staged: DataFrame) -> dict:
         """Write the per-extraction clean layer (partitioned by year/month/period)."""
         sizes = staged_bytes(self.spark, self._staging) if hasattr(self, "_staging") else {}
         return load_datasets(self.spark, staged, self.clean_root, self.fmt, self.dialect,
-                             null_policy=self.null_policy, frame=self.frame, dynamic=False, sizes=sizes)
+                             null_policy=self.null_policy, frame=self.frame, dynamic=False, sizes=sizes,
+                             summary=getattr(self, "_summary", None))
 
     def concatenate_monthly_data(self, year: int, month: int) -> dict:
         """{dataset: all extractions of one month} -- a partition-pruned read."""
@@ -71,9 +73,11 @@ class CleanLayerETL:
 
     def get_raw_unique_extraction_data(self, folder: str, year: int, month: int, period: int) -> DataFrame:
         files = discover_single_extraction(self.spark, folder, year, month, period)
-        self._staging = os.path.join(self.clean_root, "_staging", f"cells_{int(year)}_{int(month)}_{int(period)}")
+        label = f"{int(year)}_{int(month)}_{int(period)}"
+        self._staging = os.path.join(self.clean_root, "_staging", f"cells_{label}")
         staged = stage_cells(self.spark, scan_cells(self.spark, folder, recursive=False), files, self._staging)
-        return accept(self.spark, files, staged, os.path.join(self.clean_root, "_rejects_append", f"{int(year)}_{int(month)}_{int(period)}"))
+        self._summary = summary_of(self.spark, staged, os.path.join(self.clean_root, "_staging", f"summary_{label}"))
+        return accept(self.spark, files, staged, os.path.join(self.clean_root, "_rejects_append", label), self._summary)
 
     def concatenate_unique_extraction_data(self, clean: dict, new: dict) -> dict:
         """{dataset: existing rows + new rows} as a lazy by-name union (a view, nothing copied)."""
@@ -82,4 +86,5 @@ class CleanLayerETL:
     def export_dataframes(self, staged_new: DataFrame) -> dict:
         """Persist the new extraction: overwrite only its own partitions (O(new))."""
         return load_datasets(self.spark, staged_new, self.clean_root, self.fmt, self.dialect,
-                             null_policy=self.null_policy, frame=self.frame, dynamic=True, cluster=False)
+                             null_policy=self.null_policy, frame=self.frame, dynamic=True, cluster=False,
+                             summary=getattr(self, "_summary", None))

@@ -5,12 +5,15 @@ Jobs, in order:
 1. **extract** -- one scan decodes every workbook (``mapInPandas``), joins the
    rows to the file listing (year/month/period) and writes the staging table
    ``<clean>/_staging/cells`` partitioned by dataset. This is the only pass
-   over workbook bytes and it cuts the lineage for everything after it.
+   over workbook bytes and it cuts the lineage for everything after it. One aggregate over the
+   staged cells tells, per file and sheet, what can't be loaded, how its dates are read and how
+   many rows it has (``_staging/summary``, ``_rejects``, ``_date_orders``).
 2. **load** -- per dataset: read its staging partition, type, stamp, repair,
    write ``<clean>/extractions/<dataset>/year=/month=/period=``. The 15 writes
-   are independent jobs and are submitted concurrently.
+   are independent jobs and are submitted concurrently. Cells that their type can't hold are
+   counted in the same pass; only datasets with any are scanned for them (``_rejects_cells``).
 3. **export (optional)** -- month level (``partitionBy(year, month)``) and
-   whole-history level copies, read back from the written layer.
+   whole-history level (``plans.history``), from the staged rows once more.
 
 Timings per stage are returned (and can be appended to a metrics table).
 """
@@ -21,10 +24,12 @@ import os
 import time
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.plans.transform import attach_extraction, conversion_failures, loadable, transform_dataset, unloadable
+from stratum.plans import history as whole_history
+from stratum.plans.transform import (
+    attach_extraction, conversion_failures, date_orders, loadable, summarise, summary_rejects, transform_dataset)
 from stratum.registry import PARTITION_COLS, SPECS
 from stratum.sinks.writers import write_table
 from stratum.sources.clean import dataset_path, read_dataset
@@ -60,15 +65,22 @@ def write_partitions(spark: SparkSession, nbytes: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-int(nbytes) // TARGET_WRITE_BYTES))
 
 
-def rejects(files: DataFrame, staged: DataFrame) -> DataFrame:
+def summary_of(spark: SparkSession, staged: DataFrame, path: str) -> DataFrame:
+    """``summarise`` written to ``path`` and read back: one row per file and dataset."""
+    out = summarise(staged)
+    write_table(out, path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def rejects(files: DataFrame, summary: DataFrame) -> DataFrame:
     """Files that were not loaded, with the reason: unclassified name or unknown
     folder, undecodable workbook, or a sheet whose width differs from the registry."""
-    return rejected_files(files).select("path", F.lit("unclassified file").alias("reason")).unionByName(unloadable(staged))
+    return rejected_files(files).select("path", F.lit("unclassified file").alias("reason")).unionByName(summary_rejects(summary))
 
 
-def accept(spark: SparkSession, files: DataFrame, staged: DataFrame, path: str) -> DataFrame:
+def accept(spark: SparkSession, files: DataFrame, staged: DataFrame, path: str, summary: DataFrame) -> DataFrame:
     """Write the rejects and return the staged rows of all other files."""
-    write_table(rejects(files, staged), path)
+    write_table(rejects(files, summary), path)
     bad = spark.read.schema("path string, reason string").parquet(path)
     return staged if bad.isEmpty() else loadable(staged, bad)
 
@@ -82,7 +94,8 @@ def _concurrently(fn, items, parallelism: int):
 def load_datasets(spark: SparkSession, staged: DataFrame, clean_root: str, fmt: str = "parquet",
                   dialect: str = "quoted", datasets=None, null_policy: str = "keep", frame: str = "rows",
                   parallelism: int = 8, mode: str = "overwrite", dynamic: bool = True,
-                  sizes: dict | None = None, cluster: bool = True) -> dict:
+                  sizes: dict | None = None, cluster: bool = True, summary: DataFrame | None = None,
+                  failed: dict | None = None) -> dict:
     """Transform and write each dataset; returns {dataset: path}.
 
     Rows are clustered by extraction before the write so each extraction
@@ -91,53 +104,58 @@ def load_datasets(spark: SparkSession, staged: DataFrame, clean_root: str, fmt:
     ``dynamic=True`` replaces only the partitions present (append);
     a full rebuild into a fresh location uses a static overwrite.
     ``cluster=False`` skips the clustering shuffle (one extraction: it is
-    already a single partition).
+    already a single partition). ``failed`` receives {dataset: cells that became NULL}.
     """
-    names = list(datasets or SPECS)
+    names = list(SPECS if datasets is None else datasets)
     sizes = sizes or {}
 
     def one(name):
-        out = transform_dataset(staged, name, null_policy=null_policy, frame=frame)
+        seen = None if failed is None else Observation()
+        out = transform_dataset(staged, name, null_policy=null_policy, frame=frame, summary=summary, failed=seen)
         path = dataset_path(clean_root, name)
         if cluster:
             out = out.repartition(write_partitions(spark, sizes.get(name, 0)), *PARTITION_COLS)
         write_table(out, path, fmt=fmt, dialect=dialect,
                     partition_by=PARTITION_COLS, mode=mode, dynamic_overwrite=dynamic)
+        if seen is not None:
+            failed[name] = seen.get.get("cells") or 0
         return name, path
 
     return dict(_concurrently(one, names, parallelism))
 
 
+def report_failures(staged: DataFrame, failed: dict, path: str, summary: DataFrame | None = None) -> None:
+    """Write the cells that became NULL; only datasets that have any are scanned."""
+    write_table(conversion_failures(staged, [n for n in SPECS if failed.get(n)], summary), path)
+
+
 def export_levels(spark: SparkSession, clean_root: str, fmt: str = "parquet", dialect: str = "quoted",
-                  levels=("month", "all"), datasets=None, parallelism: int = 8, sizes: dict | None = None) -> dict:
+                  levels=("month", "all"), datasets=None, parallelism: int = 8, sizes: dict | None = None,
+                  rows=None) -> dict:
     """Month-level and whole-history copies of every dataset.
 
-    Both are the clean table read back (lineage cut at the written layer);
-    readers can equally use the partitioned table with a year/month filter.
+    ``rows(dataset)`` are their rows, by default the clean table read back; readers can equally
+    use the partitioned table with a year/month filter.
     """
     timings = {}
     names = list(datasets or SPECS)
     sizes = sizes or {}
+    rows = rows or (lambda n: read_dataset(spark, clean_root, n, fmt, dialect))
     if "month" in levels:
         t0 = time.perf_counter()
 
         def month(n):
-            df = read_dataset(spark, clean_root, n, fmt, dialect)
             parts = write_partitions(spark, sizes.get(n, 0))
             # one file per extraction and month folder: no task gathers a whole month
-            write_table(df.repartition(parts, *PARTITION_COLS, "source_file"), dataset_path(clean_root, n, "monthly"), fmt=fmt,
+            write_table(rows(n).repartition(parts, *PARTITION_COLS, "source_file"), dataset_path(clean_root, n, "monthly"), fmt=fmt,
                         dialect=dialect, partition_by=["year", "month"], dynamic_overwrite=False)
 
         _concurrently(month, names, parallelism)
         timings["export_monthly_data"] = time.perf_counter() - t0
     if "all" in levels:
         t0 = time.perf_counter()
-
-        def whole(n):
-            df = read_dataset(spark, clean_root, n, fmt, dialect)
-            write_table(df, dataset_path(clean_root, n, "all_extractions"), fmt=fmt, dialect=dialect)
-
-        _concurrently(whole, names, parallelism)
+        whole_history.start(spark, {n: rows(n) for n in names}, clean_root, fmt, dialect, lambda fn, items: _concurrently(fn, items, parallelism))
+        whole_history.vacuum(spark, clean_root)
         timings["export_category_data"] = time.perf_counter() - t0
     return timings
 
@@ -151,16 +169,20 @@ def rebuild(spark: SparkSession, raw_root: str, clean_root: str, fmt: str = "par
     t0 = time.perf_counter()
     staging = os.path.join(clean_root, "_staging", "cells")
     staged = stage_cells(spark, scan_cells(spark, raw_root), files, staging)
-    good = accept(spark, files, staged, os.path.join(clean_root, "_rejects"))
+    summary = summary_of(spark, staged, os.path.join(clean_root, "_staging", "summary"))
+    good = accept(spark, files, staged, os.path.join(clean_root, "_rejects"), summary)
     timings["extract_data"] = time.perf_counter() - t0
 
     t0 = time.perf_counter()
     sizes = staged_bytes(spark, staging)
-    write_table(conversion_failures(good), os.path.join(clean_root, "_rejects_cells"))
+    write_table(date_orders(summary), os.path.join(clean_root, "_date_orders"))
+    failed: dict = {}
     load_datasets(spark, good, clean_root, fmt, dialect, null_policy=null_policy, frame=frame,
-                  parallelism=parallelism, dynamic=False, sizes=sizes)
+                  parallelism=parallelism, dynamic=False, sizes=sizes, summary=summary, failed=failed)
+    report_failures(good, failed, os.path.join(clean_root, "_rejects_cells"), summary)
     timings["load_to_clean"] = time.perf_counter() - t0
 
-    timings.update(export_levels(spark, clean_root, fmt, dialect, levels, parallelism=parallelism, sizes=sizes))
+    timings.update(export_levels(spark, clean_root, fmt, dialect, levels, parallelism=parallelism, sizes=sizes,
+                                 rows=lambda n: transform_dataset(good, n, null_policy, frame, summary=summary)))
     timings["total_etl_time"] = time.perf_counter() - t_all
     return timings

@@ -22,9 +22,10 @@ from pyspark.sql import types as T
 from stratum.functions.columns import dataset_name_from_file
 from stratum.registry import LINEAGE_COLS, PARTITION_COLS, SPECS, clean_schema
 from stratum.sinks.writers import csv_options
+from stratum.sources import history
 from stratum.sources.split_csv import read_split_csv
 
-_LINEAGE_FIELDS = [T.StructField("source_file", T.StringType()), T.StructField("row_idx", T.LongType())]
+LINEAGE_FIELDS = [T.StructField("source_file", T.StringType()), T.StructField("row_idx", T.LongType())]
 
 
 def dataset_path(root: str, name: str, level: str = "extractions") -> str:
@@ -40,14 +41,17 @@ def read_dataset(spark: SparkSession, root: str, name: str, fmt: str = "parquet"
                  level: str = "extractions", lineage: bool = True) -> DataFrame:
     """A clean dataset as one DataFrame over all its extractions (U6 view);
     filtering on year/month/period prunes partitions (U5 view)."""
+    if level == history.LEVEL:
+        fields = T.StructType([*clean_schema(name).fields, *LINEAGE_FIELDS])
+        sets = (history.manifest(spark, root) or {"sets": {}})["sets"].get(name, [])
+        whole = history.read_sets(spark, root, sets, fields, fmt, csv_options(dialect) | {"dateFormat": "yyyy-MM-dd"})
+        return whole if lineage else whole.drop(*LINEAGE_COLS)
     path = dataset_path(root, name, level)
-    fields = list(clean_schema(name).fields) + (_LINEAGE_FIELDS if lineage else [])
+    fields = list(clean_schema(name).fields) + (LINEAGE_FIELDS if lineage else [])
     keys = [T.StructField(c, T.IntegerType()) for c in PARTITION_COLS]
     # declared, so that a dataset without rows reads as an empty table
     if fmt == "parquet":
         return spark.read.schema(T.StructType(fields + keys)).parquet(path)
-    if level == "all_extractions":  # one file set: the keys are columns of the files
-        return read_csv(spark, path, T.StructType(fields + keys), dialect)
     return read_csv(spark, path, T.StructType(fields if level == "extractions" else [*fields, keys[2]]), dialect, T.StructType(keys if level == "extractions" else keys[:2]))
 
 

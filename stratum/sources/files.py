@@ -30,7 +30,7 @@ def _listing(spark: SparkSession, root: str, recursive: bool, glob: str | None)
 def discover_extractions(spark: SparkSession, root: str, glob: str | None = WORKBOOK_GLOB) -> DataFrame:
     """One row per workbook in a category/year/month tree.
 
-    Columns: path, length, file_name, category_dir, year (int), month_name,
+    Columns: path, length, modificationTime, file_name, category_dir, year (int), month_name,
     month (int), category (classified from the file name, NULL if unknown),
     period (1-based rank of the file inside its category/year/month folder).
     Empty month folders simply contribute no rows.
@@ -38,7 +38,7 @@ def discover_extractions(spark: SparkSession, root: str, glob: str | None = WORK
     files = _listing(spark, root, recursive=True, glob=glob)
     segs = F.split(F.col("path"), "/")
     files = files.select(
-        "path", "length",
+        "path", "length", "modificationTime",
         file_name("path").alias("file_name"),
         F.element_at(segs, -4).alias("category_dir"),
         F.element_at(segs, -3).try_cast("int").alias("year"),

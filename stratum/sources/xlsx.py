@@ -181,8 +181,8 @@ def _decode_batches(batches):
                 yield pd.DataFrame(rows, columns=_COLS)
 
 
-def scan_cells(spark, location: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """Decode every workbook under ``location``; one output row per sheet row.
+def decode_files(spark, raw: DataFrame) -> DataFrame:
+    """Decode the workbooks of a ``binaryFile`` scan; one output row per sheet row.
 
     The category needed to pick sheets is derived from the file name inside
     the scan, so file bytes are never shuffled or joined: each scan task
@@ -193,12 +193,16 @@ def scan_cells(spark, location: str, recursive: bool = True, glob: str | None =
     from stratum.session import ship_code
 
     ship_code(spark)  # the decoder runs in executor Python workers
+    listed = (raw.select("path", classify_category(file_name("path")).alias("category"), "content")
+              .filter(F.col("category").isNotNull()))
+    return listed.mapInPandas(_decode_batches, CELLS_SCHEMA)
+
+
+def scan_cells(spark, location: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
+    """Decode every workbook under ``location``."""
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(location)
-    listed = (raw.select("path", classify_category(file_name("path")).alias("category"), "content")
-              .filter(F.col("category").isNotNull()))
-    return listed.mapInPandas(_decode_batches, CELLS_SCHEMA)
+    return decode_files(spark, reader.load(location))

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratum.functions.columns import classify_category, file_name, month_number
-from stratum.plans.rebuild import load_datasets
-from stratum.plans.transform import loadable, unloadable
+from stratum.plans.rebuild import load_datasets, summary_of
+from stratum.plans.transform import loadable, summary_rejects
 from stratum.registry import PARTITION_COLS
 from stratum.session import ship_code
 from stratum.sinks.writers import write_table
@@ -76,11 +76,12 @@ def process_batch(batch: DataFrame, batch_id: int, clean_root: str, fmt: str = "
     own = spark.read.schema(schema).parquet(root).join(touched, PARTITION_COLS, "left_semi").drop("file", "part")
     rejects = keyed.filter(~(F.col("category").isNotNull() & F.col("year").isNotNull()
                              & F.col("month").isNotNull() & F.col("period").isNotNull()))
-    bad = unloadable(own)
+    summary = summary_of(spark, own, os.path.join(clean_root, "_staging", "stream_summary", f"batch={int(batch_id)}"))
+    bad = summary_rejects(summary)
     reported = rejects.select("path", F.lit("unclassified file").alias("reason")).unionByName(bad)
     write_table(reported.withColumn("batch_id", F.lit(int(batch_id))), os.path.join(clean_root, "_rejects_stream"),
                 partition_by=["batch_id"])
-    load_datasets(spark, loadable(own, bad), clean_root, fmt, dialect, parallelism=parallelism, mode="overwrite")
+    load_datasets(spark, loadable(own, bad), clean_root, fmt, dialect, parallelism=parallelism, mode="overwrite", summary=summary)
 
 
 def start_append_stream(spark: SparkSession, landing: str, clean_root: str, checkpoint: str | None = None,

@@ -48,12 +48,16 @@ def test_levels_follow_an_append_and_missing_categories_read_empty(spark, scratc
     for d in SPECS:
         n = {level: read_dataset(spark, clean, d, level=level).count() for level in ("extractions", "monthly", "all_extractions")}
         assert len(set(n.values())) == 1 and n["monthly"] > 0, (d, n)
-    # a corrected extraction without competitors
+    # a corrected extraction without competitors: they stay, unless the folder is said to be whole
     for f in os.listdir(incoming):
         if "competitor" in f:
             os.unlink(os.path.join(incoming, f))
+    levels = lambda: {level: read_dataset(spark, clean, "competitor", level=level).filter("month = 2").count() for level in ("extractions", "monthly", "all_extractions")}
+    there = levels()
     append_extraction(spark, incoming, clean, 2024, 2, 1)
-    assert read_dataset(spark, clean, "competitor").filter("month = 2").count() == 0
+    assert levels() == there and min(there.values()) > 0
+    append_extraction(spark, incoming, clean, 2024, 2, 1, replace_absent=True)
+    assert set(levels().values()) == {0}
 
 
 def test_conversion_failures_are_reported(spark, scratch):
