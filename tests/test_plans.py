@@ -9,14 +9,17 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from plan_report import formatted_plan, summarize  # noqa: E402
 
-import __spark_entry__ as entry_mod  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
 
-JVM_ONLY = sorted(k for k in entry_mod.queries() if k != "workbook_content_metrics")
+from stratum.plans.catalog import QUERIES  # noqa: E402
+
+# queries that read files which Python tasks decode or cut into records
+DECODED = {"flat_layer_roundtrip"}
+JVM_ONLY = sorted(k for k in QUERIES if k not in DECODED)
 
 
 def _summary(spark, key):
-    return summarize(formatted_plan(entry_mod.queries()[key](spark, SF_SMALL)))
+    return summarize(formatted_plan(QUERIES[key](spark, SF_SMALL)))
 
 
 def test_filter_pushed_to_scan(spark):

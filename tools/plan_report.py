@@ -17,7 +17,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInArrow", "MapInPandas",
+       "FlatMapGroupsInArrow", "FlatMapGroupsInPandas", "FlatMapCoGroupsInArrow", "FlatMapCoGroupsInPandas", "ArrowWindowPython")
 
 
 def formatted_plan(df) -> str:
@@ -49,13 +50,12 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     out = argv[2] if len(argv) > 2 else os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
                                                       "PLANS.md")
-    from __spark_entry__ import queries
-
+    from stratum.plans.catalog import QUERIES
     from stratum.session import get_spark
 
     spark = get_spark("local[8]", shuffle_partitions=8)
     rows = []
-    for k, fn in queries().items():
+    for k, fn in QUERIES.items():
         s = summarize(formatted_plan(fn(spark, sf_dir)))
         rows.append((k, s))
         print(k, s)
