@@ -7,7 +7,7 @@ within its covering radius, children of a node are further apart than the radius
 level, and radii shrink by ``BASE`` from level to level. With the distance from a node and its
 covering radius, the anchor's inner products below the node are bounded from both sides.
 
-An anchor descends best-first: the node with the largest upper bound is opened next. Nodes
+An anchor descends best-first: the nodes with the largest upper bounds are opened next. Nodes
 whose bounds lie outside every window still wanted, or below what the window's list holds
 already, are skipped; leaves are verified by exact integer products. Positives are the best of
 the anchor's own label, with one window that is open on both sides; their scores set the
@@ -158,9 +158,13 @@ class _Tree:
         self.radius = np.frombuffer(radius, np.float64)
         self.top = float((self.vecs * self.vecs).sum(axis=1).max())
         self.peak = float(np.abs(self.vecs).max(initial=0))
+        leaves = np.flatnonzero(self.first < 0)
+        leaves = leaves[np.argsort(-self.first[leaves])]  # by their ranges of places
+        self.leaf = np.repeat(leaves, self.first[leaves] - self.last[leaves])
+        self.cover = 2 * np.arcsin(np.clip(self.radius / (2 * math.sqrt(self.top)), 0, 1)) if self.top else self.radius
 
-    def bounds(self, nodes, product: np.ndarray, square: float) -> tuple[np.ndarray, np.ndarray]:
-        """Least and largest product below ``nodes``, from the product with their centres.
+    def bounds(self, product: np.ndarray, square: float) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest product below each node, from the products with the centres.
 
         All points lie on one sphere: with the angles t to the centre and p of the covering
         radius, products are norm * norm * cos of between t - p and t + p."""
@@ -168,67 +172,60 @@ class _Tree:
         if size == 0:
             return np.zeros(len(product)), np.zeros(len(product))
         t = np.arccos(np.clip(product / size, -1, 1))
-        p = 2 * np.arcsin(np.clip(self.radius[nodes] / (2 * math.sqrt(self.top)), 0, 1))
         slack = size * 1e-7
-        return size * np.cos(np.minimum(t + p, np.pi)) - slack, size * np.cos(np.maximum(t - p, 0)) + slack
+        return size * np.cos(np.minimum(t + self.cover, np.pi)) - slack, size * np.cos(np.maximum(t - self.cover, 0)) + slack
 
 
 def search(tree: _Tree, own_id: int, query: np.ndarray, wins: list[tuple], best: list[list], k: int) -> int:
     """Merge the tree's ``k`` best of each window (least, most) into the lists ``best`` of
-    (score, -id), largest first; returns how many nodes and leaves were looked at."""
-    square = float(query @ query)
+    (score, -id), largest first; returns how many candidates were verified.
+
+    The nodes with the largest upper bounds are opened first, in steps that double."""
     exact = len(query) * tree.peak * float(np.abs(query).max(initial=0)) < 2.0**53
     whole = None if exact else [int(x) for x in query.tolist()]
-    floor = [max(low, lst[-1][0]) if len(lst) >= k else low for (low, _), lst in zip(wins, best, strict=True)]
-    seen = 0
-
-    def wanted(low, high):
-        out = np.zeros(len(low), bool)
-        for f, (_, most) in zip(floor, wins, strict=True):
-            out |= (high >= f) & (low <= most)
-        return out
+    floor = np.array([max(low, lst[-1][0]) if len(lst) >= k else low for (low, _), lst in zip(wins, best, strict=True)], float)
+    most = np.array([m for _, m in wins], float)
+    if not exact:  # windows as doubles: a little wider
+        floor, most = floor - np.abs(floor) * 1e-12, most + np.abs(most) * 1e-12
+    low, high = tree.bounds(tree.vecs[tree.node] @ query, float(query @ query))
 
-    def verify(places, score):
+    def verify(places):
         """Integer products: doubles while every partial sum is below 2 ** 53."""
-        if not exact:
+        if exact:
+            score = tree.vecs[places] @ query
+        else:
             score = np.array([sum(int(a) * b for a, b in zip(v, whole, strict=True)) for v in tree.vecs[places].tolist()], dtype=object)
-        ids = tree.ids[places]
-        for w, (low, most) in enumerate(wins):
-            at = np.flatnonzero((score >= floor[w]) & (score <= most) & (ids != own_id))
-            if len(at) > k:  # all but the k largest scores and their ties
-                at = at[score[at] >= np.sort(score[at])[-k]]
+        fit = (score >= floor.min()) & (score <= most.max()) & (tree.ids[places] != own_id)
+        if not fit.any():
+            return
+        score, ids = score[fit], tree.ids[places[fit]]
+        for w, (least, top) in enumerate(wins):
+            at = np.flatnonzero((score >= floor[w]) & (score <= most[w]))
+            if len(at) > k and exact:  # all but the k largest scores and their ties
+                at = at[score[at] >= np.partition(score[at], -k)[-k]]
             if len(at):
-                best[w] = heapq.nlargest(k, best[w] + [(int(s), -int(i)) for s, i in zip(score[at], ids[at], strict=True)])
+                found = [(int(s), -int(i)) for s, i in zip(score[at], ids[at], strict=True)]
+                best[w] = heapq.nlargest(k, best[w] + [x for x in found if least <= x[0] <= top])
                 if len(best[w]) >= k:
-                    floor[w] = max(low, best[w][-1][0])
-
-    def open_nodes(nodes):
-        nonlocal seen
-        seen += len(nodes)
-        places = tree.node[nodes]
-        product = tree.vecs[places] @ query
-        low, high = tree.bounds(nodes, product, square)
-        keep = wanted(low, high)
-        single = tree.first[nodes] - tree.last[nodes] == 1  # leaves of one point
-        if (at := keep & single).any():
-            verify(places[at], product[at])
-        for j in np.flatnonzero(keep & ~single).tolist():
-            heapq.heappush(heap, (-high[j], int(nodes[j]), low[j]))
-
-    heap: list = []
-    open_nodes(np.array([0]))
-    while heap:
-        high, i, low = heapq.heappop(heap)
-        if not any(-high >= f and low <= most for f, (_, most) in zip(floor, wins, strict=True)):
-            continue
-        a, b = int(tree.first[i]), int(tree.last[i])
-        if a < 0:
-            places = np.arange(-1 - a, -1 - b)
+                    floor[w] = max(floor[w], best[w][-1][0] if exact else best[w][-1][0] - abs(best[w][-1][0]) * 1e-12)
+
+    open_, step, seen = np.array([0]), 4, 0
+    while True:
+        open_ = open_[((high[open_, None] >= floor) & (low[open_, None] <= most)).any(axis=1)]
+        if not len(open_):
+            return seen
+        if len(open_) > step:
+            open_ = open_[np.argsort(-high[open_])]
+        now, open_, step = open_[:step], open_[step:], step * 2
+        leaf = tree.first[now] < 0
+        if leaf.any():
+            chosen = np.zeros(len(low), bool)
+            chosen[now[leaf]] = True
+            places = np.flatnonzero(chosen[tree.leaf])
             seen += len(places)
-            verify(places, tree.vecs[places] @ query)
-        else:
-            open_nodes(np.arange(a, b))
-    return seen
+            verify(places)
+        if not leaf.all():
+            open_ = np.concatenate([open_, *(np.arange(a, b) for a, b in zip(tree.first[now[~leaf]].tolist(), tree.last[now[~leaf]].tolist(), strict=True))])
 
 
 def _long(x: int) -> int:
