@@ -10,7 +10,8 @@ at the end. Exact: recall is 1.
 
 Defined cases: null, empty or zero vectors, those that hold null or non-finite components, and
 rows with a null id take no part; vectors meet those of equal length only; all rows with the
-query's id are its own; otherwise rows with equal ids are candidates of their own; equal
+query's id are its own; a query row that repeats is searched for once and each copy gets the
+whole list, rows of one id and different vectors are queries of their own; otherwise rows with equal ids are candidates of their own; equal
 scores go to the smaller id; an empty table gives no rows; extra columns are ignored. Memory
 is bounded by two blocks, their tile of products and ``HELD`` list entries.
 """
@@ -30,18 +31,20 @@ HELD = 1 << 19  # queries whose lists a task holds before it passes them on
 
 
 def _blocks(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
-    """(dim, n, ids, data): up to ``size`` usable vectors of one length, as doubles."""
+    """(dim, n, ids, data, tags): up to ``size`` usable vectors of one length, as doubles; tags
+    are the key and the number of copies of each, if ``rows`` have them."""
+    tagged = ["_key", "_copies"] if "_key" in rows.columns else []
 
     def run(it):
         held: dict[int, list] = {}
         counts: dict[int, int] = {}
 
         def pack(dim):
-            ids, vecs = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
+            ids, vecs, tags = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
             counts.pop(dim)
             for i in range(0, len(ids), size):
                 own = ids[i : i + size]
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([own.tobytes()]), pa.array([vecs[i : i + size].tobytes()])], ["dim", "n", "ids", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([own.tobytes()]), pa.array([vecs[i : i + size].tobytes()]), pa.array([tags[i : i + size].tobytes()])], ["dim", "n", "ids", "data", "tags"])
 
         for b in it:
             b = b.filter(pc.and_(b.column(0).is_valid(), b.column(1).is_valid()))
@@ -52,27 +55,29 @@ def _blocks(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
             start = np.concatenate(([0], np.cumsum(lengths)))
             values = np.asarray(col.flatten().cast(pa.float64()).fill_null(float("nan")), dtype=np.float64)
             ids = np.asarray(b.column(0).cast(pa.int64()))
+            tags = np.column_stack([np.asarray(b.column(2 + i)) for i in range(len(tagged))]) if tagged else np.zeros((len(ids), 0), np.int64)
             for dim in np.unique(lengths[lengths > 0]).tolist():
                 at = np.flatnonzero(lengths == dim)
                 vecs = values[start[at][:, None] + np.arange(dim)]
                 with np.errstate(over="ignore", invalid="ignore"):
                     good = np.isfinite(vecs).all(axis=1) & (vecs != 0).any(axis=1)
                 if good.any():
-                    held.setdefault(dim, []).append((ids[at][good], vecs[good]))
+                    held.setdefault(dim, []).append((ids[at][good], vecs[good], tags[at][good]))
                     counts[dim] = counts.get(dim, 0) + int(good.sum())
                     if counts[dim] >= size:
                         yield from pack(dim)
         for dim in list(held):
             yield from pack(dim)
 
-    return map_arrow(rows.select(id_col, vec_col), run, "dim int, n int, ids binary, data binary")
+    return map_arrow(rows.select(id_col, vec_col, *tagged), run, "dim int, n int, ids binary, data binary, tags binary")
 
 
 class _Side:
     """A block: ids, original vectors, norms, int8 rows with their scales and error norms."""
 
-    def __init__(self, dim: int, n: int, ids: bytes, data: bytes):
+    def __init__(self, dim: int, n: int, ids: bytes, data: bytes, tags: bytes = b""):
         self.ids = np.frombuffer(ids, np.int64)
+        self.tags = [tuple(t) for t in np.frombuffer(tags, np.int64).reshape(n, len(tags) // (8 * n)).tolist()]
         raw = np.frombuffer(data, np.float64).reshape(n, dim)
         # scaled by powers of two: exact, and no square over- or underflows
         self.raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
@@ -93,7 +98,7 @@ def _tile(a: _Side, b: _Side, best: dict, k: int) -> None:
     low = np.where(other, near - bound, -np.inf)
     keep = min(k, low.shape[1])
     least = np.partition(low, low.shape[1] - keep, axis=1)[:, low.shape[1] - keep] if keep == k else np.full(len(a.ids), -np.inf)
-    for i, query in enumerate(a.ids.tolist()):
+    for i, query in enumerate(zip(a.ids.tolist(), a.tags, strict=True)):
         ids, scores = best.get(query, (np.zeros(0, np.int64), np.zeros(0)))
         floor = max(least[i], scores[-1] - 1e-12 if len(scores) == k else -np.inf)
         j = np.flatnonzero(other[i] & (near[i] + bound[i] >= floor))
@@ -108,30 +113,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     """(query_id, rank, id, score): each query's ``k`` nearest by cosine, nearest first."""
     spark = vectors.sparkSession
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cands = _blocks(vectors, id_col, vec_col, BLOCK).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)))
-    own = _blocks(queries, id_col, vec_col, QUERY_BLOCK).select("dim", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+    cands = _blocks(vectors, id_col, vec_col, BLOCK).drop("tags").withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)))
+    # copies of a query are searched for once
+    asked = queries.groupBy(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec")).agg(F.count("*").alias("_copies")).withColumn("_key", F.xxhash64("_vec"))
+    own = _blocks(asked, "_id", "_vec", QUERY_BLOCK).select("dim", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), "tags")
     own = own.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    pairs = cands.join(own, ["dim", "lane"]).select("dim", "n", "ids", "data", "qn", "qids", "qdata")
+    pairs = cands.join(own, ["dim", "lane"]).select("dim", "n", "ids", "data", "qn", "qids", "qdata", "tags")
 
     def run(it):
         best, last = {}, (None, None)
         for batch in it:
-            for dim, n, ids, data, qn, qids, qdata in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for dim, n, ids, data, qn, qids, qdata, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last[0] != (dim, ids):
                     last = (dim, ids), _Side(dim, n, ids, data)
-                _tile(_Side(dim, qn, qids, qdata), last[1], best, k)
+                _tile(_Side(dim, qn, qids, qdata, tags), last[1], best, k)
                 if len(best) >= HELD:
                     yield _rows(best)
                     best = {}
         if best:
             yield _rows(best)
 
-    lists = map_arrow(pairs, run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return lists.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+    lists = map_arrow(pairs, run, "query_id long, key long, copies long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
+    best = lists.withColumn("rank", rank).filter(F.col("rank") <= k)
+    each = best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
 
 
 def _rows(best: dict) -> pa.RecordBatch:
     ids, scores = zip(*best.values(), strict=True)
-    query = np.repeat(np.fromiter(best, np.int64, len(best)), [len(x) for x in ids])
-    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["query_id", "vec_id", "score"])
+    size = [len(x) for x in ids]
+    query, tags = zip(*best, strict=True)
+    key, copies = zip(*tags, strict=True)
+    cols = [pa.array(np.repeat(np.array(c, np.int64), size)) for c in (query, key, copies)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["query_id", "key", "copies", "vec_id", "score"])

@@ -111,6 +111,13 @@ def test_nearest_match_brute_force(spark):
         order = np.lexsort((ids, -np.round(s, 12)))[:5]
         own = sorted(got[int(ids[k])])
         assert [x[1] for x in own] == ids[order].tolist() and np.allclose([x[2] for x in own], s[order], atol=1e-12)
+    # copies of a query each get the whole list; rows of one id and other vectors are queries of their own
+    own = df.filter("vec_id = 0")
+    once = [tuple(r) for r in ann.nearest(df, own).collect()]
+    assert len(once) == 5
+    assert sorted(map(tuple, ann.nearest(df, own.union(own).union(own)).collect())) == sorted(once * 3)
+    other = df.filter("vec_id = 50").withColumn("vec_id", F.lit(0).cast("long"))
+    assert ann.nearest(df, own.union(other)).count() == 10
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r.vec_id, r.score) for r in ann.nearest(few, few.filter("vec_id = 0")).collect()] == [(1, 1, 0.0)]
