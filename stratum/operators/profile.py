@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.columns import bytes_to_mb
+from stratum.session import cut_lineage
 
 
 def table_profile(tables: dict) -> DataFrame:
@@ -55,13 +56,47 @@ def size_profile(files: DataFrame, environment: str, lines: DataFrame | None = N
     return agg.select(F.lit(environment).alias("environment"), *agg.columns)
 
 
+def group_pages(df: DataFrame, key: str, member: str, page_size: int = 1000, distinct: bool = False, first_seen: str | None = None) -> DataFrame:
+    """(key, page, n_members, members): the members of each key as arrays of up to ``page_size``,
+    so that no row or task holds a group as a whole (A6/F7).
+
+    Members stand in their own order or, with ``first_seen`` (an order column), each distinct
+    one where it is seen first. Pages are cut by rank, and the rank is a prefix sum: rows are
+    range-partitioned by (key, order) and fixed by a checkpoint; the rows of a key in the
+    partitions before give a partition's first rank. A large group is ranked by as many tasks as
+    it fills partitions. Nulls are members and stand first; an empty table has no pages.
+    """
+    rows = df.select(F.col(key).alias("__key"), F.col(member).alias("__member"), *([F.col(first_seen).alias("__at")] if first_seen else []))
+    if first_seen:
+        rows = rows.groupBy("__key", "__member").agg(F.min("__at").alias("__at"))
+    elif distinct:
+        rows = rows.distinct()
+    order = ["__at", "__member"] if first_seen else ["__member"]
+    # contiguous parts: a sampled range partition over (key, order), fixed by a written table
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    full = ["__key", *order, "__row"]
+    dealt = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(parts, *full).sortWithinPartitions(*full)
+    dealt = cut_lineage(dealt.withColumns({"__pid": F.spark_partition_id(), "__seq": F.monotonically_increasing_id()}).drop("__row"))
+    whole = Window.partitionBy("__key")
+    counts = dealt.groupBy("__key", "__pid").agg(F.min("__seq").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("__key").alias("__k"), F.col("__pid").alias("__p"), (before - F.col("__first")).alias("__shift"))
+    placed = dealt.join(starts, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__pid") == F.col("__p")))
+    rank = F.col("__seq") + F.col("__shift")
+    paged = placed.withColumns({"__page": F.floor(rank / page_size).cast("long"), "__rank": rank})
+    members = F.array_sort(F.collect_list(F.struct("__rank", "__member")))
+    out = paged.groupBy("__key", "__page").agg(members.alias("__m"))
+    return out.select(F.col("__key").alias(key), F.col("__page").alias("page"), F.size("__m").cast("long").alias("n_members"), F.col("__m.__member").alias("members"))
+
+
 def group_members(df: DataFrame, key: str, member: str, sep: str = ",", out: str = "members",
                   extra_aggs=()) -> DataFrame:
     """Sorted member list per key as one string.
 
-    Collects every member of a group into one row: use only where the group
-    size is bounded by construction (a fixed dimension, file descriptors of one
-    month) -- never on a data-sized group.
+    Collects every member of a group into one row: for groups whose size is bounded by
+    construction (a fixed dimension, file descriptors of one month). ``group_pages`` is for
+    groups that grow with the data.
     """
     return df.groupBy(key).agg(
         F.array_join(F.sort_array(F.collect_list(F.col(member))), sep).alias(out),
@@ -78,10 +113,12 @@ def unpivot_metrics(df: DataFrame, ids, values, var: str = "attribute", val: str
     return long_df
 
 
-def group_mean(df: DataFrame, keys, value: str, out: str | None = None) -> DataFrame:
-    """``groupby(keys)[value].mean()`` -- partial + final hash aggregate (A2)."""
+def group_mean(df: DataFrame, keys, value: str, out: str | None = None, count: str | None = None) -> DataFrame:
+    """``groupby(keys)[value].mean()`` -- partial + final hash aggregate (A2); ``count`` names a
+    column for the number of rows."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.groupBy(*keys).agg(F.avg(F.col(value)).alias(out or value))
+    rows = [F.count(F.lit(1)).cast("long").alias(count)] if count else []
+    return df.groupBy(*keys).agg(F.avg(F.col(value)).alias(out or value), *rows)
 
 
 def stage_report(run_metrics: DataFrame, id_cols=("environment", "engine"),

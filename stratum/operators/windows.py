@@ -4,8 +4,8 @@ Skew handling
 -------------
 A window partition is processed by one task, so a partition key that holds a
 large share of the rows (one nation out of 25, one customer with a third of all
-orders) pins that share on a single executor. ``rolling_mean_rows`` and
-``row_ordinal`` therefore split *hot* keys:
+orders) pins that share on a single executor. ``rolling_mean_days`` needs no split: its window
+runs over one row per key and date. ``rolling_mean_rows`` and ``row_ordinal`` split *hot* keys:
 
 1. A cheap aggregate (partial aggregation, only key + order columns) finds
    keys with more than ``hot_key_rows`` rows. Their number is bounded by
@@ -191,49 +191,34 @@ def rolling_mean_days(
     date_col: str,
     values: dict,
     preceding_days: int = 2,
-    hot_key_rows: int | None = None,
-    skew_guard: bool = True,
+    one_row_a_day: bool = False,
 ) -> DataFrame:
     """Mean over rows whose date lies in [date - preceding_days, date] (range frame).
 
-    Partial frames are allowed (no minimum). Rows sharing a date are peers.
-    Hot keys are range-bucketed on (key, date); every bucket also receives, as
-    context rows, the earlier rows of its key dated within ``preceding_days``
-    of the bucket's first date. Those are found by an equi-join after a fixed
-    ``preceding_days`` fan-out of candidate dates (no range join), and are
-    dropped again after the window.
+    Partial frames are allowed (no minimum). Rows sharing a date are peers and share a mean, so
+    the window runs over daily partials: (sum, count) per key and date, aggregated before they
+    are shuffled, then summed over the frame. A window partition holds a row per date, however
+    many rows a date has; the means are joined back on key and date, where AQE broadcasts the
+    daily table or splits the rows of a date that fills a partition.
+
+    ``one_row_a_day`` says that a key has a row a date already: a plain window then.
     """
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     vals = {out: (F.col(src) if isinstance(src, str) else src).cast("double") for out, src in values.items()}
     tmp = {out: f"__v_{i}" for i, out in enumerate(vals)}
     base = df.withColumns({tmp[o]: v for o, v in vals.items()})
-    order = F.unix_date(F.col(date_col))
-
-    hot_rows = []
-    if skew_guard and keys:
-        hot_rows = find_hot_keys(base, keys, _hot_key_rows(df.sparkSession, hot_key_rows))
-    if not hot_rows:
-        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(order).rangeBetween(
-            -preceding_days, 0)
+    w = Window.partitionBy(*keys).orderBy(F.unix_date(F.col(date_col))).rangeBetween(-preceding_days, 0)
+    if one_row_a_day:
         return base.withColumns({o: F.avg(F.col(tmp[o])).over(w) for o in vals}).drop(*tmp.values())
-
-    hk = _hot_key_rows(df.sparkSession, hot_key_rows)
-    b = _with_buckets(base, keys, [date_col], hot_rows, hk).withColumn("__ctx", F.lit(False))
-    hot = b.filter(F.col(_HOT))
-    # first date of every hot bucket: one row per bucket (bounded, broadcast)
-    starts = (hot.groupBy(*keys, _BKT).agg(F.min(date_col).alias("__start"))
-              .select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col(_BKT).alias("__sb"), "__start"))
-    # a row is context for the bucket starting 1..preceding_days days after it
-    cand = hot.withColumn("__ahead", F.explode(F.sequence(F.lit(1), F.lit(preceding_days))))
-    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__s_{k}")) for k in keys]) & (
-        F.date_add(F.col(date_col), F.col("__ahead")) == F.col("__start"))
-    ctx = (cand.join(_bounded_broadcast(starts, _bucket_count(hot_rows, hk)), cond, "inner")
-           .withColumn(_BKT, F.col("__sb")).withColumn("__ctx", F.lit(True))
-           .drop("__ahead", "__sb", "__start", *[f"__s_{k}" for k in keys]))
-    both = b.unionByName(ctx)
-    w = Window.partitionBy(*keys, _BKT).orderBy(order).rangeBetween(-preceding_days, 0)
-    out = both.withColumns({o: F.avg(F.col(tmp[o])).over(w) for o in vals}).filter(~F.col("__ctx"))
-    return out.drop("__ctx", _BKT, _HOT, *tmp.values())
+    partial = [f(F.col(tmp[o])).alias(f"__{n}{tmp[o]}") for o in vals for n, f in (("s", F.sum), ("c", F.count))]
+    daily = base.groupBy(*keys, date_col).agg(*partial)
+    mean = lambda o: F.try_divide(F.sum(f"__s{tmp[o]}").over(w), F.sum(f"__c{tmp[o]}").over(w).cast("double"))
+    on = [*keys, date_col]
+    means = daily.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], *[mean(o).alias(f"__m{tmp[o]}") for o in vals])
+    cond = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(on)])
+    # every row has its day: an inner join keeps all of them and may be split on this side
+    joined = base.join(means, cond, "inner")
+    return joined.withColumns({o: F.col(f"__m{tmp[o]}") for o in vals}).drop(*tmp.values(), *[f"__m{t}" for t in tmp.values()], *[f"__k{i}" for i in range(len(on))])
 
 
 def row_ordinal(

@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from stratum.plans import history as whole_history
-from stratum.plans.rebuild import _concurrently, accept, load_datasets, report_failures, stage_cells, summary_of
+from stratum.plans.rebuild import _concurrently, accept, datasets_with_rows, load_datasets, report_failures, stage_cells, summary_of
 from stratum.plans.transform import transform_dataset
 from stratum.registry import SPECS
 from stratum.sinks.writers import write_table
@@ -44,20 +44,28 @@ def partition_path(clean_root: str, name: str, key: tuple) -> str:
     return os.path.join(dataset_path(clean_root, name), f"year={year}", f"month={month}", f"period={period}")
 
 
+def any_file(spark: SparkSession, folder: str) -> bool:
+    """True if a folder of extraction folders holds any."""
+    fs, p = hadoop(spark, folder)
+    return fs.exists(p) and len(fs.listStatus(p)) > 0
+
+
 def refresh_months(spark: SparkSession, clean_root: str, months, names, fmt: str, dialect: str, parallelism: int) -> None:
     """Bring the touched months [(year, month)] of the month level up to date, where it exists."""
 
     def one(name):
         if not exists(spark, dataset_path(clean_root, name, "monthly")):
             return
-        touched = [(F.col("year") == int(y)) & (F.col("month") == int(m)) for y, m in months]
-        own = read_dataset(spark, clean_root, name, fmt, dialect).filter(reduce(lambda a, b: a | b, touched))
-        write_table(own, dataset_path(clean_root, name, "monthly"), fmt=fmt, dialect=dialect, partition_by=["year", "month"])
-        left = {(r["year"], r["month"]) for r in own.select("year", "month").distinct().collect()}  # of the touched months
-        for y, m in months:
-            if (int(y), int(m)) not in left:
-                fs, p = hadoop(spark, os.path.join(dataset_path(clean_root, name, "monthly"), f"year={int(y)}", f"month={int(m)}"))
-                fs.delete(p, True)
+        folder = lambda level, y, m: os.path.join(dataset_path(clean_root, name, level), f"year={int(y)}", f"month={int(m)}")
+        left = [(y, m) for y, m in months if any_file(spark, folder("extractions", y, m))]
+        if left:
+            touched = [(F.col("year") == int(y)) & (F.col("month") == int(m)) for y, m in left]
+            # one file per extraction, bounded by its workbook
+            own = read_dataset(spark, clean_root, name, fmt, dialect, split=False).filter(reduce(lambda a, b: a | b, touched))
+            write_table(own, dataset_path(clean_root, name, "monthly"), fmt=fmt, dialect=dialect, partition_by=["year", "month"])
+        for y, m in set(months) - set(left):
+            fs, p = hadoop(spark, folder("monthly", y, m))
+            fs.delete(p, True)
 
     if exists(spark, os.path.join(clean_root, "monthly")):
         _concurrently(one, list(names), parallelism)
@@ -88,8 +96,7 @@ def append_extraction(spark: SparkSession, incoming: str, clean_root: str, year:
     timings["get_raw_unique_extraction_data"] = time.perf_counter() - t0
 
     t0 = time.perf_counter()
-    sound = summary.join(bad.select(F.col("path").alias("source_file")), "source_file", "left_anti")
-    present = [r["dataset"] for r in sound.filter("n_rows > 0").select("dataset").distinct().collect()]  # at most 15
+    present = datasets_with_rows(spark, summary, rejects_path)
     cleared = [n for n, s in SPECS.items() if n not in present and s.category not in kept]
     before = {n for n in (*present, *cleared) if exists(spark, partition_path(clean_root, n, key))}
     failed: dict = {}
@@ -103,6 +110,10 @@ def append_extraction(spark: SparkSession, incoming: str, clean_root: str, year:
     if manifest(spark, clean_root) is not None:
         new = {n: transform_dataset(good, n, null_policy, frame, summary=summary) for n in present}
         whole_history.add(spark, new, clean_root, {n: [key] for n in before}, fmt, dialect, lambda fn, items: _concurrently(fn, items, parallelism))
+    if exists(spark, os.path.join(clean_root, "_profile")):
+        from stratum.plans.profile_store import maintain
+
+        maintain(spark, clean_root, [key], fmt, dialect)
     timings["export_dataframes"] = time.perf_counter() - t0
     timings["total_etl_time"] = time.perf_counter() - t_all
     return timings

@@ -193,7 +193,7 @@ FROM d
 def moving_avg_days(spark, sf_dir):
     daily = _daily_by_type(spark, sf_dir)
     # the daily aggregate leaves one row per (event_type, day): partitions are bounded by the calendar
-    out = rolling_mean_days(daily, "event_type", "day", {"ma_3d": "n"}, preceding_days=2, skew_guard=False)
+    out = rolling_mean_days(daily, "event_type", "day", {"ma_3d": "n"}, preceding_days=2, one_row_a_day=True)
     return out.withColumn("ma_3d", F.round("ma_3d", 4))
 
 
@@ -579,9 +579,8 @@ SELECT event_type, user_id, ROUND(AVG(value), 9) AS mean_value, CAST(COUNT(*) AS
 FROM events GROUP BY 1, 2
 """)
 def groupby_mean(spark, sf_dir):
-    ev = load(spark, sf_dir, "events")
-    return ev.groupBy("event_type", "user_id").agg(F.round(F.avg("value"), 9).alias("mean_value"),
-                                                   F.count(F.lit(1)).cast("long").alias("n"))
+    means = P.group_mean(load(spark, sf_dir, "events"), ["event_type", "user_id"], "value", out="mean_value", count="n")
+    return means.withColumn("mean_value", F.round("mean_value", 9))
 
 
 @query("distinct_values", """
@@ -887,20 +886,10 @@ def rebuild_and_append(spark, sf_dir):
     month and whole-history copies, its last extraction, held out, is appended, and the rows of
     every level are counted."""
     import os
-    import uuid
 
-    from stratum.plans.append import append_extraction
-    from stratum.plans.rebuild import rebuild
-    from stratum.session import checkpoint_dir
     from stratum.sources.clean import read_dataset
-    from tools.derive_raw_tree import derive_raw_tree
 
-    base = os.path.join(checkpoint_dir(spark), f"layer-{uuid.uuid4().hex}")
-    raw, clean = os.path.join(base, "raw"), os.path.join(base, "clean")
-    info = derive_raw_tree(spark, sf_dir, raw, os.path.join(base, "incoming"), holdout_last=1)
-    rebuild(spark, raw, clean, levels=("month", "all"))
-    for x in info["holdout"]:
-        append_extraction(spark, x["folder"], clean, x["year"], x["month"], x["period"])
+    clean = _written_layer(spark, sf_dir)
     rejected = spark.read.schema("path string, reason string").parquet(os.path.join(clean, "_rejects")).count()
     levels = (("extractions", "n_layer"), ("monthly", "n_monthly"), ("all_extractions", "n_all"))
     counted = [read_dataset(spark, clean, name, level=level).agg(F.count("*").alias("n"))
@@ -952,3 +941,213 @@ def text_lines(spark, sf_dir):
     lines = text_line_profile(spark, folder)
     return (lines.withColumn("event_type", F.regexp_extract("path", "event_type=([^/]+)/", 1))
             .groupBy("event_type").agg(F.sum("num_lines").cast("long").alias("num_lines")))
+
+
+# ---------------------------------------------------------------------------
+# Values of the written layer, quoted CSV, run metrics, re-runs
+# ---------------------------------------------------------------------------
+
+def _written_layer(spark, sf_dir, fmt: str = "parquet", dialect: str = "quoted", categories=None) -> str:
+    """A clean layer with all levels: a workbook tree derived from ``orders`` is rebuilt, and its
+    last extraction, held out, is appended."""
+    import os
+    import uuid
+
+    from stratum.plans.append import append_extraction
+    from stratum.plans.rebuild import rebuild
+    from stratum.session import checkpoint_dir
+    from tools.derive_raw_tree import derive_raw_tree
+
+    base = os.path.join(checkpoint_dir(spark), f"layer-{uuid.uuid4().hex}")
+    raw, clean = os.path.join(base, "raw"), os.path.join(base, "clean")
+    info = derive_raw_tree(spark, sf_dir, raw, os.path.join(base, "incoming"), holdout_last=1, categories=categories)
+    rebuild(spark, raw, clean, fmt=fmt, dialect=dialect, levels=("month", "all"))
+    for x in info["holdout"]:
+        append_extraction(spark, x["folder"], clean, x["year"], x["month"], x["period"], fmt=fmt, dialect=dialect)
+    return clean
+
+
+_POST_TITLE = "'Order ' || o_orderkey || ': \"' || pr || '\", status ' || st || chr(10) || 'second line; priority'"
+_LEVEL_VALUES_ORACLE = f"""
+WITH o AS (
+  SELECT o_orderkey, o_orderstatus AS st, o_orderpriority AS pr, o_totalprice AS price, o_custkey,
+    CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS y, month(o_orderdate) AS m,
+    CASE WHEN day(o_orderdate) <= 15 THEN 1 ELSE 2 END AS p FROM orders),
+j AS (SELECT o.*, coalesce(n_name, 'unknown') AS nation, coalesce(c_mktsegment, 'unknown') AS segment,
+    coalesce(CAST(CAST(pow(10, floor(log10(price))) AS BIGINT) AS VARCHAR) || '+', 'unknown') AS size
+  FROM o LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
+g AS (
+  SELECT 'location' AS k, nation AS label, count(*) AS n, count(DISTINCT o_custkey) AS cust, sum(CASE WHEN st = 'F' THEN 1 ELSE 0 END) AS nf FROM j GROUP BY y, m, p, nation
+  UNION ALL SELECT 'function', segment, count(*), 0, 0 FROM j GROUP BY y, m, p, segment
+  UNION ALL SELECT 'experience', pr, count(*), 0, 0 FROM j GROUP BY y, m, p, pr
+  UNION ALL SELECT 'industry', st, count(*), 0, 0 FROM j GROUP BY y, m, p, st
+  UNION ALL SELECT 'company_size', size, count(*), 0, 0 FROM j GROUP BY y, m, p, size),
+v AS (
+  SELECT 'content_metrics' AS dataset, count(DISTINCT d) AS n_rows, 10 * count(*) AS total, 0 AS chars FROM o
+  UNION ALL SELECT 'followers_new', count(DISTINCT d), sum(1 + CASE WHEN st IN ('F', 'O', 'P') THEN 1 ELSE 0 END), 0 FROM o
+  UNION ALL SELECT 'visitors_metrics', count(DISTINCT d), sum(7 + CASE st WHEN 'F' THEN 7 WHEN 'O' THEN 7 WHEN 'P' THEN 8 ELSE 0 END
+    + CASE left(pr, 1) WHEN '1' THEN 8 WHEN '2' THEN 8 WHEN '3' THEN 5 WHEN '4' THEN 5 WHEN '5' THEN 5 ELSE 0 END), 0 FROM o
+  UNION ALL SELECT 'content_posts', count(*), sum(CAST(floor(price) + floor(price / 2) + floor(price / 100) + floor(price / 1000) AS BIGINT) + 1),
+    sum(length({_POST_TITLE})) FROM o WHERE pr LIKE '1%'
+  UNION ALL SELECT 'followers_' || k, count(*), sum(n), sum(length(label)) FROM g GROUP BY k
+  UNION ALL SELECT 'visitors_' || k, count(*), count(*), sum(length(label)) FROM g GROUP BY k
+  UNION ALL SELECT 'competitor', count(*), sum(cust + n + nf), sum(length(label || ' page')) FROM g WHERE k = 'location')
+SELECT dataset, level, CAST(n_rows AS BIGINT) AS n_rows, CAST(total AS BIGINT) AS total, CAST(chars AS BIGINT) AS chars
+FROM v, (VALUES ('extractions'), ('monthly'), ('all_extractions')) AS t(level)
+"""
+
+
+@query("layer_values", _LEVEL_VALUES_ORACLE)
+def layer_values(spark, sf_dir):
+    """What the 15 datasets hold at every level after a rebuild and an append: rows, the sum of
+    their whole numbers and the characters of their texts, so that a shifted column or a lost
+    line shows."""
+    from pyspark.sql import types as T
+
+    from stratum.sources.clean import read_dataset
+
+    clean = _written_layer(spark, sf_dir)
+    parts = []
+    for name, s in SPECS.items():
+        for level in ("extractions", "monthly", "all_extractions"):
+            df = read_dataset(spark, clean, name, level=level)
+            own = [f for f in df.schema.fields if f.name in s.names]
+            longs = [F.coalesce(F.col(f"`{f.name}`"), F.lit(0)) for f in own if isinstance(f.dataType, T.LongType)]
+            total = reduce(lambda a, b: a + b, longs)
+            if name.startswith("visitors_") and name != "visitors_metrics":
+                total = (F.col("`Total Views`") >= 0).cast("long")  # sums of fractions, cut: counted
+            texts = [f.name for f in own if isinstance(f.dataType, T.StringType)][:1]
+            chars = F.sum(F.length(f"`{texts[0]}`")) if texts else F.lit(0)
+            parts.append(df.agg(F.count("*").alias("n_rows"), F.sum(total).alias("total"), chars.cast("long").alias("chars"))
+                         .select(F.lit(name).alias("dataset"), F.lit(level).alias("level"), "n_rows", "total", "chars"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("quoted_csv_layer", f"""
+WITH o AS (SELECT o_orderkey, o_orderstatus AS st, o_orderpriority AS pr, o_totalprice AS price, o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT {_POST_TITLE} AS title, 'https://example.org/posts/' || o_orderkey AS link, st AS post_type, pr AS campaign, 'customer ' || o_custkey AS author,
+  d AS posted, CASE WHEN st <> 'P' THEN d END AS campaign_start, CAST(NULL AS DATE) AS campaign_end, CAST(floor(price) AS BIGINT) AS impressions,
+  CAST(floor(price / 1000) AS BIGINT) AS likes, CAST(0.01 AS DOUBLE) AS ctr,
+  CASE WHEN day(d) > 15 THEN last_day(d) ELSE make_date(year(d), month(d), 15) END AS extraction_range
+FROM o WHERE pr LIKE '1%'
+""")
+def quoted_csv_layer(spark, sf_dir):
+    """Every post through the per-extraction layer as fully quoted CSV: titles with quotes,
+    separators and line breaks, dates, NULLs, whole and fractional numbers."""
+    from stratum.sources.clean import read_dataset
+
+    clean = _written_layer(spark, sf_dir, fmt="csv", categories=["content"])
+    posts = read_dataset(spark, clean, "content_posts", fmt="csv")
+    names = {"Post Title": "title", "Post Link": "link", "Post Type": "post_type", "Campaign Name": "campaign", "Published by": "author", "Date": "posted",
+             "Campaign Start Date": "campaign_start", "Campaign End Date": "campaign_end", "Impressions": "impressions", "Likes": "likes",
+             "Click-Through Rate (CTR)": "ctr", "Extraction Range": "extraction_range"}
+    return posts.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+
+
+@query("run_metrics", """
+SELECT o_orderpriority AS environment, 'append' AS engine, CAST(count(*) AS DOUBLE) AS extract_data,
+  CAST(count(DISTINCT o_custkey) AS DOUBLE) AS transform_data, CAST(count(*) + count(DISTINCT o_custkey) AS DOUBLE) AS total_etl_time
+FROM orders GROUP BY o_orderpriority
+""")
+def run_metrics(spark, sf_dir):
+    """A metrics table that grows by one appended row a run and is read back as CSV."""
+    import os
+    import uuid
+
+    from stratum.session import checkpoint_dir
+    from stratum.sinks.writers import append_row
+    from stratum.sources.clean import METRICS_M1, read_metrics_csv
+
+    path = os.path.join(checkpoint_dir(spark), f"metrics-{uuid.uuid4().hex}")
+    runs = load(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("c"))
+    for r in runs.collect():  # one row a run
+        row = {"environment": r["o_orderpriority"], "engine": "append", "extract_data": float(r["n"]), "transform_data": float(r["c"]), "total_etl_time": float(r["n"] + r["c"])}
+        append_row(spark, path, row, METRICS_M1, fmt="csv")
+    return read_metrics_csv(spark, path, METRICS_M1).select("environment", "engine", "extract_data", "transform_data", "total_etl_time")
+
+
+@query("partition_rerun", """
+SELECT event_type, CAST(count(*) AS BIGINT) AS n_events, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type
+""")
+def partition_rerun(spark, sf_dir):
+    """Writing a partition again, or nothing at all, leaves one copy of every row."""
+    import os
+    import uuid
+
+    from stratum.session import checkpoint_dir
+    from stratum.sinks.writers import write_table
+
+    path = os.path.join(checkpoint_dir(spark), f"rerun-{uuid.uuid4().hex}")
+    events = load(spark, sf_dir, "events").select("event_id", "event_type")
+    for rows in (events, events.filter("event_type = 'purchase'"), events.filter("event_type = 'no such type'"), events.filter("event_type = 'purchase'")):
+        write_table(rows, path, partition_by=["event_type"])
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n_events"), F.sum("event_id").alias("ids"))
+
+
+# ---------------------------------------------------------------------------
+# Groups in pages, widening unions, dates by column, day means of single rows
+# ---------------------------------------------------------------------------
+
+@query("group_pages", """
+SELECT c_nationkey, CAST((rn - 1) // 100 AS BIGINT) AS page, CAST(count(*) AS BIGINT) AS n_members,
+  string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS members
+FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer)
+GROUP BY 1, 2
+""")
+def group_pages(spark, sf_dir):
+    """The customers of each nation, a hundred a row."""
+    pages = P.group_pages(load(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", page_size=100)
+    return pages.withColumn("members", F.array_join("members", ","))
+
+
+@query("first_seen_pages", """
+WITH f AS (SELECT user_id, event_type, min(event_id) AS seen FROM events GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY seen, user_id) AS rn FROM f)
+SELECT event_type, CAST((rn - 1) // 50 AS BIGINT) AS page, CAST(count(*) AS BIGINT) AS n_members,
+  string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY rn) AS members FROM r GROUP BY 1, 2
+""")
+def first_seen_pages(spark, sf_dir):
+    """The users of each event type in the order in which they are first seen."""
+    pages = P.group_pages(load(spark, sf_dir, "events"), "event_type", "user_id", page_size=50, first_seen="event_id")
+    return pages.withColumn("members", F.array_join("members", ","))
+
+
+@query("union_widened", """
+SELECT o_orderkey AS id, o_totalprice AS amount, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS at, CAST(NULL AS VARCHAR) AS note FROM orders
+UNION ALL SELECT event_id, value, ts, NULL FROM events
+UNION ALL SELECT p_partkey, CAST(p_size AS DOUBLE), NULL, p_name FROM part
+""")
+def union_widened(spark, sf_dir):
+    """Tables of other columns and types, by name: whole numbers and doubles, dates and timestamps."""
+    o, e, p = (load(spark, sf_dir, t) for t in ("orders", "events", "part"))
+    rows, _ = U.union_widened([
+        o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.to_date("o_orderdate").alias("at")),
+        e.select(F.col("ts").alias("AT"), F.col("event_id").alias("id"), F.col("value").alias("Amount")),
+        p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("int").alias("amount"), F.col("p_name").alias("note"))])
+    return rows
+
+
+@query("dates_by_column", """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed, CASE WHEN o_orderpriority < '3' THEN 'day first' ELSE 'month first' END AS day_month_order FROM orders
+""")
+def dates_by_column(spark, sf_dir):
+    """Dates as text, one column of cells per order priority: which of day and month stands
+    first is found from the whole column, then each cell is parsed once."""
+    from stratum.functions import dates as D
+
+    d = F.to_date("o_orderdate")
+    text = F.when(F.col("o_orderpriority") < "3", F.date_format(d, "d/M/yyyy")).otherwise(F.date_format(d, "M/d/yyyy"))
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", text.alias("cell"))
+    masks = o.groupBy("o_orderpriority").agg(F.bit_and(D.order_mask(F.col("cell"))).alias("mask"))
+    label = F.when(F.col("mask") == D.DAY_FIRST, "day first").when(F.col("mask") == D.MONTH_FIRST, "month first")
+    return o.join(masks, "o_orderpriority").select("o_orderkey", C.parse_date("cell", F.col("mask")).alias("parsed"), label.alias("day_month_order"))
+
+
+@query("moving_avg_days_rows", """
+SELECT event_id, event_type, ROUND(AVG(value) OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE)
+  RANGE BETWEEN INTERVAL 2 DAYS PRECEDING AND CURRENT ROW), 6) AS ma_3d FROM events
+""")
+def moving_avg_days_rows(spark, sf_dir):
+    """The 3-day mean of single events, many to a day: a window over daily partials."""
+    ev = load(spark, sf_dir, "events").select("event_id", "event_type", F.to_date("ts").alias("day"), "value")
+    return rolling_mean_days(ev, "event_type", "day", {"ma_3d": "value"}).select("event_id", "event_type", F.round("ma_3d", 6).alias("ma_3d"))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from stratum.plans import history as whole_history
 from stratum.plans.append import partition_path, refresh_months
+from stratum.plans.profile_store import maintain
 from stratum.plans.rebuild import _concurrently, export_levels, load_datasets, report_failures, rejects
 from stratum.plans.transform import date_orders, loadable, summarise, transform_dataset
 from stratum.registry import PARTITION_COLS, SPECS
@@ -37,7 +38,6 @@ from stratum.sources.history import exists, hadoop, manifest
 from stratum.sources.xlsx import CELLS_SCHEMA, decode_files
 
 LEDGER = "path string, length long, modified timestamp, digest string, category string, year int, month int, period int, batch int"
-SUMMARY_KEYS = ["source_file", "dataset"]
 
 
 def _runs(spark: SparkSession, clean_root: str) -> list[int]:
@@ -57,6 +57,11 @@ def read_ledger(spark: SparkSession, clean_root: str) -> tuple[int, DataFrame]:
     return runs[-1], spark.read.schema(LEDGER).parquet(os.path.join(clean_root, "_ledger", str(runs[-1])))
 
 
+def summary_schema(spark: SparkSession):
+    """Schema of the stored summaries."""
+    return summarise(spark.createDataFrame([], CELLS_SCHEMA)).withColumn("reported_run", F.lit(0)).schema
+
+
 def compare(listing: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every file of either side; ``stale`` if its bytes have to be looked at."""
     new = listing.select("path", "length", F.col("modificationTime").alias("modified"), "category", *[F.col(c).cast("int").alias(c) for c in PARTITION_COLS])
@@ -154,12 +159,21 @@ def refresh(spark: SparkSession, raw_root: str, clean_root: str, fmt: str = "par
             whole_history.add(spark, {n: rows(n) for n in full}, clean_root, {n: k for n, k in replaced.items() if k}, fmt, dialect, submit)
         elif "all" in levels:
             export_levels(spark, clean_root, fmt, dialect, ("all",), parallelism=parallelism)
+        if exists(spark, at("_profile")):
+            maintain(spark, clean_root, sorted({k[1:] for k in touched}), fmt, dialect)
         timings["export_data"] = time.perf_counter() - t0
     for n in SPECS:  # a dataset that nothing was loaded of reads as an empty table
         for path in [dataset_path(clean_root, n)]:
             fs, p = hadoop(spark, path)
             fs.mkdirs(p)
-    if touched or not last:
+    if touched or stale or not last:
+        if not touched and last:  # other times, the same bytes: the summaries stay
+            kept = spark.read.schema(summary_schema(spark)).parquet(at("_ledger_summary", str(last)))
+            write_table(kept, at("_ledger_summary", str(run)), dynamic_overwrite=False)
         write_table(now, at("_ledger", str(run)), dynamic_overwrite=False)
+        for old in _runs(spark, clean_root)[:-2]:
+            for name in ("_ledger", "_ledger_summary"):
+                fs, p = hadoop(spark, at(name, str(old)))
+                fs.delete(p, True)
     timings["total_etl_time"] = time.perf_counter() - t_all
     return timings

@@ -78,6 +78,13 @@ def rejects(files: DataFrame, summary: DataFrame) -> DataFrame:
     return rejected_files(files).select("path", F.lit("unclassified file").alias("reason")).unionByName(summary_rejects(summary))
 
 
+def datasets_with_rows(spark: SparkSession, summary: DataFrame, rejects_path: str) -> list[str]:
+    """The datasets (at most 15) that the files which weren't rejected have rows of."""
+    bad = spark.read.schema("path string, reason string").parquet(rejects_path)
+    sound = summary.join(bad.select(F.col("path").alias("source_file")), "source_file", "left_anti")
+    return sorted(r["dataset"] for r in sound.filter("n_rows > 0").select("dataset").distinct().collect())
+
+
 def accept(spark: SparkSession, files: DataFrame, staged: DataFrame, path: str, summary: DataFrame) -> DataFrame:
     """Write the rejects and return the staged rows of all other files."""
     write_table(rejects(files, summary), path)
@@ -95,7 +102,7 @@ def load_datasets(spark: SparkSession, staged: DataFrame, clean_root: str, fmt:
                   dialect: str = "quoted", datasets=None, null_policy: str = "keep", frame: str = "rows",
                   parallelism: int = 8, mode: str = "overwrite", dynamic: bool = True,
                   sizes: dict | None = None, cluster: bool = True, summary: DataFrame | None = None,
-                  failed: dict | None = None) -> dict:
+                  failed: dict | None = None, present=None) -> dict:
     """Transform and write each dataset; returns {dataset: path}.
 
     Rows are clustered by extraction before the write so each extraction
@@ -104,13 +111,14 @@ def load_datasets(spark: SparkSession, staged: DataFrame, clean_root: str, fmt:
     ``dynamic=True`` replaces only the partitions present (append);
     a full rebuild into a fresh location uses a static overwrite.
     ``cluster=False`` skips the clustering shuffle (one extraction: it is
-    already a single partition). ``failed`` receives {dataset: cells that became NULL}.
+    already a single partition). ``failed`` receives {dataset: cells that became NULL} of the
+    datasets ``present``, those that have rows (an observation of no row has no value).
     """
     names = list(SPECS if datasets is None else datasets)
     sizes = sizes or {}
 
     def one(name):
-        seen = None if failed is None else Observation()
+        seen = Observation() if failed is not None and (present is None or name in present) else None
         out = transform_dataset(staged, name, null_policy=null_policy, frame=frame, summary=summary, failed=seen)
         path = dataset_path(clean_root, name)
         if cluster:
@@ -177,8 +185,9 @@ def rebuild(spark: SparkSession, raw_root: str, clean_root: str, fmt: str = "par
     sizes = staged_bytes(spark, staging)
     write_table(date_orders(summary), os.path.join(clean_root, "_date_orders"))
     failed: dict = {}
+    present = datasets_with_rows(spark, summary, os.path.join(clean_root, "_rejects"))
     load_datasets(spark, good, clean_root, fmt, dialect, null_policy=null_policy, frame=frame,
-                  parallelism=parallelism, dynamic=False, sizes=sizes, summary=summary, failed=failed)
+                  parallelism=parallelism, dynamic=False, sizes=sizes, summary=summary, failed=failed, present=present)
     report_failures(good, failed, os.path.join(clean_root, "_rejects_cells"), summary)
     timings["load_to_clean"] = time.perf_counter() - t0
 

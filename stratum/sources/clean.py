@@ -38,9 +38,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, dialect: str
 
 
 def read_dataset(spark: SparkSession, root: str, name: str, fmt: str = "parquet", dialect: str = "quoted",
-                 level: str = "extractions", lineage: bool = True) -> DataFrame:
+                 level: str = "extractions", lineage: bool = True, split: bool = True) -> DataFrame:
     """A clean dataset as one DataFrame over all its extractions (U6 view);
-    filtering on year/month/period prunes partitions (U5 view)."""
+    filtering on year/month/period prunes partitions (U5 view). ``split=False`` reads each CSV
+    file in one task, for files that are known to be small."""
     if level == history.LEVEL:
         fields = T.StructType([*clean_schema(name).fields, *LINEAGE_FIELDS])
         sets = (history.manifest(spark, root) or {"sets": {}})["sets"].get(name, [])
@@ -52,7 +53,12 @@ def read_dataset(spark: SparkSession, root: str, name: str, fmt: str = "parquet"
     # declared, so that a dataset without rows reads as an empty table
     if fmt == "parquet":
         return spark.read.schema(T.StructType(fields + keys)).parquet(path)
-    return read_csv(spark, path, T.StructType(fields if level == "extractions" else [*fields, keys[2]]), dialect, T.StructType(keys if level == "extractions" else keys[:2]))
+    inside, folders = (fields, keys) if level == "extractions" else ([*fields, keys[2]], keys[:2])
+    if not split:
+        opts = {k: v for k, v in csv_options(dialect).items() if k != "quoteAll"}
+        reader = spark.read.schema(T.StructType([*inside, *folders])).options(**opts)
+        return reader.option("multiLine", "true").option("dateFormat", "yyyy-MM-dd").csv(path)
+    return read_csv(spark, path, T.StructType(inside), dialect, T.StructType(folders))
 
 
 def list_flat_datasets(spark: SparkSession, folder: str, prefix: str = "all_extractions_") -> DataFrame:

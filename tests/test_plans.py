@@ -14,7 +14,7 @@ from conftest import SF_SMALL  # noqa: E402
 from stratum.plans.catalog import QUERIES  # noqa: E402
 
 # queries that read files which Python tasks decode or cut into records
-DECODED = {"flat_layer_roundtrip"}
+DECODED = {"flat_layer_roundtrip", "quoted_csv_layer"}
 JVM_ONLY = sorted(k for k in QUERIES if k not in DECODED)
 
 

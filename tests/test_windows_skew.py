@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratum.operators.windows import find_hot_keys, rolling_mean_days, rolling_mean_rows, row_ordinal
@@ -83,26 +84,47 @@ def test_split_plan_windows_per_bucket(spark, capsys):
 
 
 @pytest.mark.parametrize("preceding", [1, 2, 5])
-def test_days_split_matches_plain(spark, preceding):
+def test_days_over_daily_partials_match_a_plain_window(spark, preceding):
     import datetime as dt
 
     rng = random.Random(preceding)
     rows = []
     for i in range(1500):
-        k = 0 if rng.random() < 0.6 else rng.randint(1, 4)
-        day = dt.date(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 90))
-        rows.append((k, day, i, None if rng.random() < 0.05 else rng.randint(-5, 40)))
+        k = 0 if rng.random() < 0.6 else rng.choice([1, 2, 3, None])
+        day = dt.date(2024, 1, 1) + dt.timedelta(days=rng.choice([5, 5, 5, rng.randint(0, 90)]))
+        rows.append((k, None if rng.random() < 0.02 else day, i, None if rng.random() < 0.05 else rng.randint(-5, 40)))
     df = spark.createDataFrame(rows, "k int, d date, i long, v long")
-    plain = rolling_mean_days(df, "k", "d", {"m": "v"}, preceding_days=preceding, skew_guard=False)
-    split = rolling_mean_days(df, "k", "d", {"m": "v"}, preceding_days=preceding, hot_key_rows=60)
+    w = Window.partitionBy("k").orderBy(F.unix_date("d")).rangeBetween(-preceding, 0)
+    plain = df.withColumn("m", F.avg("v").over(w))
+    split = rolling_mean_days(df, "k", "d", {"m": "v"}, preceding_days=preceding)
+    assert split.columns == plain.columns
     a = {r.i: r.m for r in plain.collect()}
     b = {r.i: r.m for r in split.collect()}
-    assert a.keys() == b.keys()
+    assert len(a) == split.count() == len(rows) and a.keys() == b.keys()
     for i, x in a.items():
         y = b[i]
         assert (x is None and y is None) or abs(x - y) < 1e-9, i
 
 
+def test_a_date_with_half_of_all_rows_runs_in_several_tasks(spark):
+    """Neither side broadcast: AQE splits the rows of the hot date."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    hot = F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 200)
+    df = spark.range(0, 200_000, 1, 8).select(F.lit(1).alias("k"), F.date_add(F.lit("2024-01-01").cast("date"), hot.cast("int")).alias("d"), (F.col("id") % 17).alias("v"), F.sha1(F.col("id").cast("string")).alias("t"))
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = rolling_mean_days(df, "k", "d", {"m": "v"}).select("d", "m", "t", F.spark_partition_id().alias("p"))
+        tasks = out.filter("d = '2024-01-01'").groupBy("p").agg(F.count("t").alias("n"), F.max("t")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(r.n for r in tasks) == 100_000 and len(tasks) > 1
+
+
 def test_split_on_post_shuffle_input(spark):
     """Input whose row order comes out of a shuffle (not deterministic): the bucket
     assignment is materialized once, so the window and the stitching agree."""
