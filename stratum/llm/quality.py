@@ -99,7 +99,7 @@ def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(it):
-        for b in text_batches(it):
+        for b in text_batches(it, 1 << 20):
             x = features(b, 1)
             flat_x = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), flat_x], [id_col, "x"])
@@ -153,7 +153,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = KEEP_SCORE, text_col
     at = docs.columns.index(text_col)
 
     def run(it):
-        for b in text_batches(it):
+        for b in text_batches(it, 1 << 20):
             yield b.filter(pa.array(model.score(features(b, at)) >= least))
 
     return map_arrow(docs, run, docs.schema)
