@@ -10,7 +10,8 @@ Jobs: (1) range-partition the texts by id, encode each once with the tokenizers
 stage token files, with pre-aggregated counts; (2) one task per file codes it; (3) one task
 per file reads it back. Manifests hold one row per file, at most ``MAX_PARTS``.
 
-Defined cases: null or empty text has only the end id; equal ids are ordered by text; a null
+Defined cases: null or empty text has only the end id; equal ids are ordered by the
+beginning of their texts, then a digest; a null
 id sorts first; extra columns are ignored; an empty table writes no file and gives no rows. A
 failed or repeated task writes under a new name, and only files in the manifest are read.
 Memory is bounded by a file's tokens (``PART_BYTES`` of text) and the longest text.
@@ -181,7 +182,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tok.get_added_tokens_decoder().values()
+        self.special = [a.content.lower() for a in added]  # the library finds them inside words
         self.find = regex.compile(self.TOKEN).findall
         size = self.tok.get_vocab_size()
         self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -228,6 +230,9 @@ class WordEncoder:
         out: list[list[bytes]] = [[] for _ in texts]
         part, group, size = self.CACHE // 2, [], 0
         for i, t in enumerate(texts):
+            if t and "<|" in t and any(x in t.lower() for x in self.special):
+                out[i].append(self._library(t).tobytes())
+                continue
             ws = t.replace("\n", " ").split(" ") if t else []
             for a in range(0, len(ws), part):
                 own = ws[a : a + part]
@@ -265,11 +270,11 @@ def _stage(path: str, root: str, id_col: str):
         from pyspark import TaskContext
 
         enc, part = encoder(path), TaskContext.get().partitionId()
-        ids, texts, counts, n = [], [], None, 0
+        ids, texts, counts, n, end = [], [], None, 0, struct.pack("<I", END_ID)
         for b in text_batches(it):
             ids += b.column(0).to_pylist()
             for x in enc.encode(b.column(1).to_pylist()):
-                x = np.append(np.frombuffer(x, "<u4"), np.uint32(END_ID)).astype("<u4")
+                x = np.frombuffer(x + end, "<u4")
                 c = np.bincount(x, minlength=len(enc.ends))
                 counts = c if counts is None else counts + c
                 n += len(x)
@@ -312,7 +317,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str | None = None, id_co
     d = docs.select(id_col, text_col)
     total = text_bytes(d, text_col)
     parts = max(1, math.ceil(total / max(PART_BYTES, total // MAX_PARTS)))
-    d = d.repartitionByRange(parts, id_col).sortWithinPartitions(id_col, text_col)
+    # rows of one id may fill several parts: they stand by the beginning of the text, then its digest
+    order = [F.col(id_col).asc_nulls_first(), F.substring(text_col, 1, 64).asc_nulls_first(), "_digest", "_row"]
+    d = d.toDF(id_col, text_col).withColumns({"_digest": F.md5(text_col), "_row": F.monotonically_increasing_id()})
+    d = d.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_digest", "_row")
     map_arrow(d, _stage(tokenizer, root, id_col), "part int, path string, token int, n long").write.parquet(f"{root}/staged")
     staged = spark.read.parquet(f"{root}/staged")
     files = sorted((r["part"], r["path"], r["n"]) for r in staged.filter("token < 0").collect())

@@ -48,12 +48,39 @@ def test_bpe_rows(spark):
     assert bpe.encode_digests(df.limit(0), PATH, P.PATTERN).count() == 0
 
 
+def test_bpe_digests_come_from_the_ids(spark):
+    """The registered query on whole documents, against the library."""
+    from stratum.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op4_byte_bpe(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        ids = enc.encode_ordinary(docs[r.doc_id])
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(enc.decode_bytes(ids)))
+
+
+def test_tokens_of_the_query_are_the_librarys(spark):
+    from stratum.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    tok, at = Tokenizer.from_file(WORDS), 0
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op3_token_ids(spark, sf).collect()}
+    for i in sorted(docs):
+        ids = [*tok.encode(docs[i], add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_word_encoder_is_the_librarys(monkeypatch):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     monkeypatch.setattr(rans.WordEncoder, "CACHE", 64)  # forgets all the time
     e = rans.WordEncoder(WORDS)
-    texts = ODD + samples(5, "aA é Ñß'sßtÏİΣς \t\n\x1c\x85\xa0<|endoftext|>12³ª×÷中文.,!$$")
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y\n<|ENDOFTEXT|> z", "<|endof text|>", *ODD] + samples(5, "aA é Ñß'sßtÏİΣς \t\n\x1c\x85\xa0<|endoftext|>12³ª×÷中文.,!$$")
     for t, got in zip(texts, e.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
