@@ -95,30 +95,31 @@ class TextCodec:
         self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.odd = re.compile(r"[^\S \n]").search  # white space other than space and newline
         self.pieces: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[list[int], str, bytes]] = {}
+        self.chunks: dict[str, list[int]] = {}
+        self.number = list(range(max(self.bpe.tokens) + 1))  # one object for each id, however often it is remembered
+        self.decimal = [str(i) for i in self.number]
 
     def piece(self, s: str) -> list[int]:
         ids = self.pieces.get(s)
         if ids is None:
             if len(self.pieces) >= PIECES:
                 self.pieces.clear()
-            ids = self.bpe.encode(s.encode())
+            ids = [self.number[i] for i in self.bpe.encode(s.encode())]
             if len(s) < 64:
                 self.pieces[s] = ids
         return ids
 
-    def chunk(self, s: str) -> tuple[list[int], str, bytes]:
-        """(ids, ids as text, decoded bytes) of a text cut at piece boundaries."""
+    def chunk(self, s: str) -> list[int]:
+        """Ids of a text cut at piece boundaries."""
         ids = [i for p in self.find(s) for i in self.piece(p)]
-        got = ids, ",".join(map(str, ids)), self.bpe.decode(ids)
         if len(s) < 64:
             if len(self.chunks) >= CACHE:
                 self.chunks.clear()
-            self.chunks[s] = got
-        return got
+            self.chunks[s] = ids
+        return ids
 
-    def parts(self, text: str) -> list[tuple[list[int], str, bytes]]:
-        """Nodes whose concatenation is the text's encoding.
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text, chunk by chunk.
 
         A space between two non-spaces always starts a piece, so the text may be cut before
         each such space; cuts next to other white space are closed again.
@@ -135,17 +136,13 @@ class TextCodec:
                     merged.append(c)
             cut = merged
         keys = [cut[0]] + [" " + c for c in cut[1:]]
-        return [known(k) or self.chunk(k) for k in keys if k]
-
-    def encode(self, text: str) -> list[int]:
-        return [i for p in self.parts(text) for i in p[0]]
+        return [i for k in keys if k for i in known(k) or self.chunk(k)]
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
-        """n_tokens, sha256 of the decimal ids joined by commas, sha256 of the decoded bytes."""
-        parts = self.parts(text) if text else []
-        n = sum([len(p[0]) for p in parts])
-        ids = hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest()
-        return n, ids, hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()
+        """n_tokens, sha256 of the decimal ids joined by commas, sha256 of the decoded ids."""
+        ids, decimal = self.encode(text) if text else [], self.decimal
+        listed = ",".join([decimal[i] for i in ids])
+        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.bpe.decode(ids)).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -163,9 +160,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     def run(it):
         c = codec(path, pattern)
         for b in text_batches(it):
-            parts = [c.parts(t) if t else [] for t in b.column(1).to_pylist()]
-            ids = pa.array([[i for p in ps for i in p[0]] for ps in parts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([b"".join([p[2] for p in ps]) for ps in parts], pa.binary())], [id_col, "ids", "decoded"])
+            ids = [c.encode(t) if t else [] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.bpe.decode(x) for x in ids], pa.binary())], [id_col, "ids", "decoded"])
 
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
