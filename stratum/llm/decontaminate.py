@@ -7,9 +7,12 @@ known. Where it reaches the window length (13, or the whole of a shorter item) a
 occurs, its words are hit and its items are looked up. Words that no item has reset the
 match, so only runs of known words are streamed.
 
-The benchmark is cut into shards of at most ``SHARD_BYTES`` by a hash of its text; each shard
-is collected and broadcast for itself, and the documents pass through one scan per shard, so
-neither the driver nor a worker's automaton outgrows a shard.
+The benchmark's distinct texts are cut into shards of about ``SHARD_BYTES`` by a hash; each shard
+is collected and broadcast for itself, and the documents pass through one job per shard, whose
+hits are written in between, so neither the driver nor a worker's automaton outgrows a shard.
+
+``report`` tells what is hit, ``drop_contaminated`` removes documents whose hits exceed the
+coverage limit, ``remove_spans`` also cuts the hit runs of a given length out of the others.
 
 Defined cases: null or wordless text has no words and is never contaminated; null or wordless
 items have no window; an item with a null id counts as item ``null``; rows with equal ids are
@@ -20,6 +23,7 @@ nothing; extra columns pass through.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -29,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cast_binary, map_arrow, text_batches, text_bytes
+from .common import cast_binary, map_arrow, scratch, text_batches, text_bytes
 
 WINDOW = 13
 SHARD_BYTES = 16 << 20
 #: FIXED VALUES: bytes that are part of words once A-Z is lowered; all others become a space.
 _WORD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")  # the same words, where they stand
+
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.IntegerType()))])
 _HITS = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int32()))])
 
@@ -162,12 +168,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: li
     keep = docs.columns if keep is None else keep
     if into in docs.columns:
         raise ValueError(f"{into} is a column of the documents; choose another name for the result")
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").filter("text is not null")
-    shards = max(1, math.ceil(text_bytes(items, "text") / SHARD_BYTES))
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").filter("text is not null")
+    # a text counts once, however many items repeat it: shards of distinct texts are even
+    items = rows.groupBy("text").agg(F.collect_set("item_id").alias("ids")).withColumn("all", F.concat("text", F.array_join("ids", "")))
+    shards = max(1, math.ceil(text_bytes(items, "all") / SHARD_BYTES))
+    sc = spark.sparkContext
     df = docs
     for i in range(shards):
-        own = [(r.item_id, r.text.encode()) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == i).collect()]
+        if i:  # one automaton at a time: what the shards before found is written
+            root = scratch(spark, "hits")
+            df.write.parquet(root)
+            df = spark.read.parquet(root)
+        own = [(x, r.text.encode()) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == i).collect() for x in r.ids]
         cols = df.columns
         left = keep if i == shards - 1 else docs.columns
         out = T.StructType([df.schema[c] for c in left] + [T.StructField(into, HITS)])
@@ -190,6 +203,32 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     )
 
 
+def _cut(text_at: int, hits_at: int, keep: list[int], names: list[str], least: int):
+    def run(it: Iterator[pa.RecordBatch]):
+        for b in text_batches(it):
+            out = []
+            for data, hits in zip(cast_binary(b.column(text_at)).to_pylist(), b.column(hits_at).to_pylist(), strict=True):
+                spans = [(a, z) for a, z in zip(hits["spans"][::2], hits["spans"][1::2], strict=True) if z - a >= least]
+                if data is not None and spans:
+                    at = [m.span() for m in WORD.finditer(data)]
+                    edge = [0, *(x for a, z in spans for x in (at[a][0], at[z - 1][1])), len(data)]
+                    data = b"".join(data[i:j] for i, j in zip(edge[::2], edge[1::2], strict=True))
+                out.append(None if data is None else data.decode())
+            cols = [pa.array(out, b.schema.field(text_at).type) if i == text_at else b.column(i) for i in keep]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return run
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, least: int = 1, text_col: str = "text") -> DataFrame:
+    """The documents that are not contaminated (whose hits stay below the coverage limit), with
+    all their columns, less the hit runs of ``least`` words or more."""
+    into = "hits_" + uuid.uuid4().hex[:8]
+    kept = scan(docs, benchmark, text_col, None, into).filter(~contaminated(F.col(into)))
+    run = _cut(docs.columns.index(text_col), len(docs.columns), list(range(len(docs.columns))), docs.columns, least)
+    return map_arrow(kept.select(*docs.columns, into), run, docs.schema)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     into = "hits_" + uuid.uuid4().hex[:8]

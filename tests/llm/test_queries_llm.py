@@ -40,6 +40,14 @@ def test_decontamination_matches_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.report(d, b).collect()), key=str) == want
     kept = decontaminate.drop_contaminated(d, b)
     assert kept.columns == d.columns and kept.count() == sum(not r[-1] for r in want)
+    cleaned = decontaminate.remove_spans(d, b)
+    texts = {(r.doc_id, r.hits): r.text for r in cleaned.collect()}
+    assert cleaned.columns == d.columns and len(texts) <= kept.count()
+    again = {r.doc_id: r for r in decontaminate.report(cleaned, b).collect()}
+    hit = [r for r in want if r[2] and not r[-1]]
+    assert all(again[i].n_words == n - h for i, n, h, *_ in hit) and all(again[i].n_words == n for i, n, h, *_ in want if not h and i in again and i not in (None, 2))
+    many = b.union(spark.createDataFrame([(1000 + i, items[3][1]) for i in range(500)], "item_id long, text string"))
+    assert decontaminate.report(d, many).filter("n_hit > 0").count() == sum(r[2] > 0 for r in want)
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 100)  # several shards
     assert sorted(map(tuple, decontaminate.report(d, b).collect()), key=str) == want
     assert decontaminate.report(d, b.limit(0)).filter("n_hit > 0").count() == 0
@@ -173,11 +181,54 @@ def test_pipeline(spark):
     # each stage against the plain version, on its own input
     rows = [(r.doc_id, r.text) for r in frames[1].collect()]
     assert frames[2].count() == len(brute.near_classes(rows))
-    gone = {i: (size - cut) for i, size, cut, _, _ in brute.repeats([(r.doc_id, r.text) for r in frames[2].collect()])}
+    gone = {i: (size - cut) for i, size, cut, _, _ in brute.repeats([(r.doc_id, r.text) for r in frames[2].collect()], corpus_pipeline.PASSAGE)}
     assert all(len(r.text.encode()) <= gone[r.doc_id] <= len(r.text.encode()) + 8 for r in frames[3].collect())
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     own = brute.contamination([(r.doc_id, r.text) for r in frames[3].collect()], items)
     assert {r.doc_id for r in frames[4].collect()} == {x[0] for x in own if not x[-1]}
     assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in frames[4].collect()}
+    # no benchmark window is left, and only hit words went
+    hits = {x[0]: x[2] for x in own}
+    before = {r.doc_id: r.text for r in frames[3].collect()}
+    for r in frames[4].collect():
+        assert len(brute.words(r.text)) == len(brute.words(before[r.doc_id])) - hits[r.doc_id] and r.n_chars == len(r.text)
+        assert hits[r.doc_id] or r.text == before[r.doc_id]
+    # run() is these stages, and keeps nothing on executors
+    assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, docs.collect()))
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
+
+
+def test_passages_of_fifty_words_go(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    passages = [" ".join(word() for _ in range(55)) for _ in range(6)]
+    rows = [(i, " ".join(word() for _ in range(120)) + " " + passages[i % 6] + " " + " ".join(word() for _ in range(120)), "en", "s", 0) for i in range(18)]
+    rows += [(100 + i, " ".join(word() for _ in range(300)), "en", "s", 0) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.unrepeated(spark, docs, SF).collect()}
+    assert all(p not in t for p in passages for t in kept.values())
+    assert all(kept[i] == t for i, t, *_ in rows if i >= 100)
+    assert all(kept[i] and len(kept[i].split()) >= 235 for i, *_ in rows)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
+
+
+def test_one_id_may_hold_most_rows(spark, monkeypatch):
+    """Rows of one id are spread over blocks and files."""
+    from stratum.llm import rans, suffixes
+    import public_tokenizers as P
+
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcde fgh") for _ in range(n))
+    shared = noise(500)
+    rows = [(None if i % 3 else 7, noise(300) + (shared if i % 2 else "") + noise(100)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 5000)
+    out, packed = suffixes.remove_repeats(df)
+    blocks = {r._block: r.n for r in packed.groupBy("_block").count().withColumnRenamed("count", "n").collect()}
+    assert sorted(map(tuple, out.collect()), key=str) == brute.repeats(rows) and len(blocks) > 3 and max(blocks.values()) < 30
+    packed.unpersist()
+    monkeypatch.setattr(rans, "PART_BYTES", 5000)
+    manifest = rans.write_tokens(df, P.path("word_bpe_49k.json"))
+    assert len(manifest["files"]) > 3 and rans.read_tokens(spark, manifest).count() == 60
 
 
