@@ -117,6 +117,8 @@ class Ranks:
     def blobs(self, block: int, round_: int, bits: int, width: int):
         """One row per bucket: the ranks' ``width`` bits below the bucket's, b, and ``many``."""
         bucket = (self.a >> np.uint64(64 - bits)).astype(np.int64)
+        if not len(bucket):  # a block of short texts
+            return
         used, at = np.unique(bucket, return_index=True)
         for k, i, j in zip(used.tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
             a = self.a[i:j]
