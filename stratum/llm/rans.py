@@ -218,12 +218,19 @@ class WordEncoder:
             self.words.clear()
         if len(self.tokens) > self.CACHE:
             self.tokens.clear()
-        split = {w: self.split(w) for w in words}
-        new = list({p for ps in split.values() if ps is not None for p in ps if p not in self.tokens})
+        # most words are one pre-token of ASCII letters
+        single = {w: w.lower() for w in words if w.isalpha() and w.isascii()}
+        split = {w: self.split(w) for w in words if w not in single}
+        new = set(single.values())
+        for ps in split.values():
+            if ps is not None:
+                new.update(ps)
+        new, tokens = list(new.difference(self.tokens)), self.tokens
         for i in range(0, len(new), 16384):
             self._learn(new[i : i + 16384])
+        self.words.update(zip(single, map(tokens.__getitem__, single.values()), strict=True))
         for w, ps in split.items():
-            self.words[w] = b"".join([self.tokens[p] for p in ps]) if ps is not None else self._library(w).tobytes()
+            self.words[w] = b"".join([tokens[p] for p in ps]) if ps is not None else self._library(w).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -246,15 +253,17 @@ class WordEncoder:
 
     def _encode(self, group: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
         """Words of several texts at once, no more than half of what is remembered."""
-        known = self.words
-        new = {w for _, ws in group for w in ws if w not in known}
+        known, new = self.words, set()
+        for _, ws in group:
+            new.update(ws)
+        new = new.difference(known)
         if new:
             before = len(known)
             self.add(new)
             if len(known) < before + len(new):  # the cache was cleared: the others are needed too
                 self.add({w for _, ws in group for w in ws if w not in known})
         for i, ws in group:
-            out[i].append(b"".join([known[w] for w in ws]))
+            out[i].append(b"".join(map(known.__getitem__, ws)))
 
 
 @lru_cache(maxsize=1)
@@ -265,6 +274,11 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def forget() -> None:
+    encoder.cache_clear()
+    load_table.cache_clear()
+
+
 def _stage(path: str, root: str, id_col: str):
     def run(it):
         from pyspark import TaskContext
@@ -319,7 +333,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str | None = None, id_co
     parts = max(1, math.ceil(total / max(PART_BYTES, total // MAX_PARTS)))
     # rows of one id may fill several parts: they stand by the beginning of the text, then its digest
     order = [F.col(id_col).asc_nulls_first(), F.substring(text_col, 1, 64).asc_nulls_first(), "_digest", "_row"]
-    d = d.toDF(id_col, text_col).withColumns({"_digest": F.md5(text_col), "_row": F.monotonically_increasing_id()})
+    d = d.toDF(id_col, text_col).withColumns({"_digest": F.xxhash64(text_col), "_row": F.monotonically_increasing_id()})
     d = d.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_digest", "_row")
     map_arrow(d, _stage(tokenizer, root, id_col), "part int, path string, token int, n long").write.parquet(f"{root}/staged")
     staged = spark.read.parquet(f"{root}/staged")
