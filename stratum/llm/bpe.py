@@ -153,6 +153,10 @@ def codec(path: str, pattern: str) -> TextCodec:
     return TextCodec(path, pattern)
 
 
+def forget() -> None:
+    codec.cache_clear()
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded binary) of every row: the operator's real output."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,10 +36,35 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def forget_others(module: str) -> None:
+    """Empty what the other operators remember in this worker (their ``forget``)."""
+    for name, m in list(sys.modules.items()):
+        if name.startswith(f"{__package__}.") and name != module and (forget := getattr(m, "forget", None)):
+            forget()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """mapInArrow with the package shipped to the executors."""
     ship_code(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    module = fn.__module__
+
+    def run(it):
+        forget_others(module)
+        try:
+            yield from fn(it)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_batches(it: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -138,6 +138,10 @@ class Automaton:
 _built: dict[str, Automaton] = {}
 
 
+def forget() -> None:
+    _built.clear()
+
+
 def _scanner(shard, key: str, text_at: int, hits_at: int | None, keep: list[int], names: list[str]):
     def run(it: Iterator[pa.RecordBatch]):
         if key not in _built:

@@ -169,6 +169,7 @@ def test_pipeline(spark):
     assert [k for k, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     root, n, frames = shared(spark, "p"), docs.count(), []
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, SF)
         if i < 4:
@@ -195,7 +196,7 @@ def test_pipeline(spark):
         assert hits[r.doc_id] or r.text == before[r.doc_id]
     # run() is these stages, and keeps nothing on executors
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, docs.collect()))
-    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held
 
 
 def test_passages_of_fifty_words_go(spark):
@@ -205,11 +206,12 @@ def test_passages_of_fifty_words_go(spark):
     rows = [(i, " ".join(word() for _ in range(120)) + " " + passages[i % 6] + " " + " ".join(word() for _ in range(120)), "en", "s", 0) for i in range(18)]
     rows += [(100 + i, " ".join(word() for _ in range(300)), "en", "s", 0) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
     kept = {r.doc_id: r.text for r in corpus_pipeline.unrepeated(spark, docs, SF).collect()}
     assert all(p not in t for p in passages for t in kept.values())
     assert all(kept[i] == t for i, t, *_ in rows if i >= 100)
     assert all(kept[i] and len(kept[i].split()) >= 235 for i, *_ in rows)
-    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held
 
 
 def test_one_id_may_hold_most_rows(spark, monkeypatch):
