@@ -234,10 +234,13 @@ class WarcReader(DataSourceReader):
             with fs.open_input_stream(f"{p}/{name}", compression=None) if name.endswith(".gz") else fs.open_input_file(f"{p}/{name}") as f:
                 s = _Stream(f, name.endswith(".gz"))
                 while (raw := s.head()) is not None:
-                    lines = raw.decode().split("\r\n")
+                    # a line that begins with white space goes on with the header before it
+                    lines = re.sub("\r\n[ \t]+", " ", raw.decode(errors="replace")).split("\r\n")
                     if not lines[0].startswith("WARC/"):
                         raise ValueError(f"{name}: not a WARC record: {lines[0][:80]!r}")
-                    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                    head: dict[str, str] = {}
+                    for k, _, v in (x.partition(":") for x in lines[1:]):
+                        head.setdefault(k.strip().lower(), v.strip())  # of repeated headers the first counts
                     for k in ("warc-record-id", "warc-refers-to"):
                         if k in head:
                             head[k] = head[k].removeprefix("<").removesuffix(">")
