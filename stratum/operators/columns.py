@@ -67,14 +67,16 @@ def typed_select(df: DataFrame, schema: T.StructType, strict: bool = False, by_p
 def update_from(df: DataFrame, updates: DataFrame, keys, columns, broadcast_updates: bool = False) -> DataFrame:
     """Overwrite ``columns`` of ``df`` with the matching row of ``updates``.
 
-    ``updates`` must hold at most one row per key (aggregate it first); a matched row
-    takes the new value, NULL included, and rows without a match keep theirs. Planned as a left outer equi-join; AQE picks
-    broadcast vs sort-merge from the runtime size of ``updates``.
+    A matched row takes the new value, NULL included, and rows without a match keep theirs. Two
+    updates of one row have no defined result: reading such a row raises, as MERGE does. Planned
+    as a left outer equi-join; AQE picks broadcast vs sort-merge from the runtime size of ``updates``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     cols = [columns] if isinstance(columns, str) else list(columns)
-    u = updates.select(*[F.col(k).alias(f"__u_{k}") for k in keys], *[F.col(c).alias(f"__n_{c}") for c in cols],
-                       F.lit(True).alias("__matched"))
+    # one row per key, grouped as the join needs it anyway
+    own = updates.groupBy(*keys).agg(F.first(F.struct(*cols)).alias("__new"), F.count("*").alias("__n"))
+    u = own.select(*[F.col(k).alias(f"__u_{k}") for k in keys], *[F.col("__new").getField(c).alias(f"__n_{c}") for c in cols], "__n",
+                   F.lit(True).alias("__matched"))
     if broadcast_updates:
         u = F.broadcast(u)
     cond = None
@@ -82,5 +84,7 @@ def update_from(df: DataFrame, updates: DataFrame, keys, columns, broadcast_upda
         c = df[k] == u[f"__u_{k}"]
         cond = c if cond is None else cond & c
     joined = df.join(u, cond, "left")
-    out = joined.withColumns({c: F.when(F.col("__matched"), F.col(f"__n_{c}")).otherwise(df[c]) for c in cols})
-    return out.drop("__matched", *[f"__u_{k}" for k in keys], *[f"__n_{c}" for c in cols])
+    twice = F.raise_error(F.concat(F.lit("several updates of one row: "), F.to_json(F.struct(*[F.col(f"__u_{k}").alias(k) for k in keys]))))
+    new = lambda c: F.when(F.col("__n") > 1, twice.cast(df.schema[c].dataType)).otherwise(F.col(f"__n_{c}"))
+    out = joined.withColumns({c: F.when(F.col("__matched"), new(c)).otherwise(df[c]) for c in cols})
+    return out.drop("__matched", "__n", *[f"__u_{k}" for k in keys], *[f"__n_{c}" for c in cols])

@@ -95,6 +95,14 @@ def test_update_from_keeps_unmatched(spark):
     assert got == [(1, 11.0), (2, 20.0), (3, None)]  # a matched NULL is set, as UPDATE .. FROM does
 
 
+def test_two_updates_of_a_row_raise(spark):
+    t = spark.createDataFrame([(1, 10.0), (2, 20.0), (None, 5.0)], "k long, v double")
+    u = spark.createDataFrame([(1, 11.0), (9, 1.0), (9, 2.0), (None, 3.0), (None, 4.0)], "k long, v double")
+    assert sorted(map(tuple, COL.update_from(t, u, "k", "v").collect()), key=str) == [(1, 11.0), (2, 20.0), (None, 5.0)]  # 9 and NULL update no row
+    with pytest.raises(Exception, match="several updates of one row"):
+        COL.update_from(t, u.union(u.filter("k = 1")), "k", "v").collect()
+
+
 def test_band_join_has_no_pairwise_blowup(spark, capsys):
     days = [dt.date(2024, 1, d) for d in range(1, 11)]
     df = spark.createDataFrame([("a", d, i) for i, d in enumerate(days)], "k string, d date, n long")
