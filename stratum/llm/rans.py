@@ -285,24 +285,24 @@ def _stage(path: str, root: str, id_col: str):
 
         enc, part = encoder(path), TaskContext.get().partitionId()
         ids, texts, counts, n, end = [], [], None, 0, struct.pack("<I", END_ID)
+        wide = np.uint16 if len(enc.ends) <= 1 << 16 else np.uint32
         for b in text_batches(it):
             ids += b.column(0).to_pylist()
-            for x in enc.encode(b.column(1).to_pylist()):
-                x = np.frombuffer(x + end, "<u4")
-                c = np.bincount(x, minlength=len(enc.ends))
-                counts = c if counts is None else counts + c
-                n += len(x)
-                texts.append(x)
+            own = [x + end for x in enc.encode(b.column(1).to_pylist())]
+            whole = np.frombuffer(b"".join(own), "<u4")  # counted at once: a count is as wide as the vocabulary
+            c = np.bincount(whole, minlength=len(enc.ends))
+            counts = c if counts is None else counts + c
+            n += len(whole)
+            texts += np.split(whole.astype(wide), np.cumsum([len(x) >> 2 for x in own])[:-1])
         if not ids:
             return
         name = f"{root}/tokens-{part:06d}-{uuid.uuid4().hex}.npz"
         fs, p = filesystem(name)
-        wide = np.uint16 if len(enc.ends) <= 1 << 16 else np.uint32
         with fs.open_output_stream(p) as f:
             foot = zlib.compress(json.dumps([ids, [len(x) for x in texts]]).encode(), 1)
             f.write(struct.pack("<II", len(foot), wide().itemsize) + foot)
             for x in texts:
-                f.write(x.astype(wide).tobytes())
+                f.write(x.tobytes())
         used = np.flatnonzero(counts)
         m = len(used)
         yield pa.RecordBatch.from_arrays(
