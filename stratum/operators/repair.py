@@ -53,7 +53,7 @@ def repair_metrics(
         if date_col is None:
             raise ValueError("frame='days' needs date_col")
         staged = rolling_mean_days(staged, keys, date_col, {ma[m]: pos[m] for m in metrics},
-                                   preceding_days=preceding)
+                                   preceding_days=preceding, bounded=not skew_guard)
     else:
         raise ValueError(f"frame must be 'rows' or 'days', got {frame!r}")
     out = staged.withColumns({

@@ -191,7 +191,7 @@ def rolling_mean_days(
     date_col: str,
     values: dict,
     preceding_days: int = 2,
-    one_row_a_day: bool = False,
+    bounded: bool = False,
 ) -> DataFrame:
     """Mean over rows whose date lies in [date - preceding_days, date] (range frame).
 
@@ -201,14 +201,14 @@ def rolling_mean_days(
     many rows a date has; the means are joined back on key and date, where AQE broadcasts the
     daily table or splits the rows of a date that fills a partition.
 
-    ``one_row_a_day`` says that a key has a row a date already: a plain window then.
+    ``bounded`` says that a key holds few rows (one a date, or one file's): a plain window then.
     """
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     vals = {out: (F.col(src) if isinstance(src, str) else src).cast("double") for out, src in values.items()}
     tmp = {out: f"__v_{i}" for i, out in enumerate(vals)}
     base = df.withColumns({tmp[o]: v for o, v in vals.items()})
     w = Window.partitionBy(*keys).orderBy(F.unix_date(F.col(date_col))).rangeBetween(-preceding_days, 0)
-    if one_row_a_day:
+    if bounded:
         return base.withColumns({o: F.avg(F.col(tmp[o])).over(w) for o in vals}).drop(*tmp.values())
     partial = [f(F.col(tmp[o])).alias(f"__{n}{tmp[o]}") for o in vals for n, f in (("s", F.sum), ("c", F.count))]
     daily = base.groupBy(*keys, date_col).agg(*partial)

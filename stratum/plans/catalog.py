@@ -193,7 +193,7 @@ FROM d
 def moving_avg_days(spark, sf_dir):
     daily = _daily_by_type(spark, sf_dir)
     # the daily aggregate leaves one row per (event_type, day): partitions are bounded by the calendar
-    out = rolling_mean_days(daily, "event_type", "day", {"ma_3d": "n"}, preceding_days=2, one_row_a_day=True)
+    out = rolling_mean_days(daily, "event_type", "day", {"ma_3d": "n"}, preceding_days=2, bounded=True)
     return out.withColumn("ma_3d", F.round("ma_3d", 4))
 
 
