@@ -17,11 +17,13 @@ up again without its centre: one of up to ``SMALL`` members is settled pair by p
 one is split, its key being lengthened by the next band's, a fixed other one of each band; so
 its 32 copies split apart independently. Each part has a centre again. After ``LEVELS`` splits
 keys are ``ROWS * (LEVELS + 1)`` components long. A member is thus compared at most
-``BANDS * (LEVELS + SMALL)`` times, whatever the size of its bucket. What that can lose is a
-link between two members of one large bucket that are linked neither to a common centre nor
-through others: two texts of similarity s meet in a part of keys of k components with
-probability 1 - (1 - s**k)**32 (k = 20: 0.31 at 0.8, 0.72 at 0.85, 0.98 at 0.9), and texts of
-a large family have many partners to be linked through. Each compared pair is verified on its
+``BANDS * (LEVELS + SMALL)`` times in these rounds, which join nearly all that is alike at little
+cost. Two members of a large bucket may still have met in no part of it, so the last round
+settles what is left exactly: in every large bucket that holds several classes, whoever is
+outside its largest class meets every member of another class. The bucket's members are dealt
+to parts of ``GROUP`` texts, and each pair of parts with an outsider is one group: memory stays
+bounded however large a bucket is, and the work is that of the outsiders times the members.
+No pair that shares a band's key is left out. Each compared pair is verified on its
 texts: overlap sum(min) / sum(max) of at least ``THRESHOLD``. Classes are the connected
 components of the verified links.
 
@@ -56,6 +58,8 @@ BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
 GROUP = 256
 SIGN_BYTES, VERIFY_BYTES = 1 << 19, 1 << 20  # of text whose shingles are held at once
+PART_SHINGLES = 1 << 18  # shingles of a part's texts, about
+COLUMNS = 1 << 12  # elements whose overlaps are counted at once
 SMALL = 8  # members up to which an unsettled bucket is settled pair by pair
 #: How many bands further on the band stands that lengthens a key, level by level.
 STRIDES = (1, 3, 7, 12, 20, 9, 26)
@@ -167,27 +171,89 @@ def _sign(it):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(size)], ["key", "digest", "bands", "size"])
 
 
+def _texts(group: pa.Table) -> pa.Array:
+    texts = group.column("text").combine_chunks()
+    return texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+
+
+def _cut(texts: pa.Array):
+    """(first row, row after the last, shingles) of a few texts at a time."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + VERIFY_BYTES, side="right")))
+        yield i, j, *shingles(texts.slice(i, j - i))
+        i = j
+
+
+def overlaps(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """sum(min) of the multisets of every row in ``left`` with every row in ``right``."""
+    # a multiset as a set: the k-th copy of a shingle is an element of its own
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    row = np.repeat(row, count)
+    _, element = np.unique(_mix(np.repeat(shingle, count) + nth.astype(np.uint64) * _GOLD), return_inverse=True)
+    n = max(int(left.max()), int(right.max()), int(row.max(initial=0))) + 1
+    sides = []
+    for own in (left, right):
+        place = np.full(n, -1)
+        place[own] = np.arange(len(own))
+        at = place[row]
+        sides.append((at[at >= 0], element[at >= 0]))
+    (x, a), (y, b) = sides
+    size = int(element.max(initial=-1)) + 1
+    used = (np.bincount(a, minlength=size) > 0) & (np.bincount(b, minlength=size) > 0)
+    number = np.cumsum(used) - 1
+    x, a, y, b = x[used[a]], number[a[used[a]]], y[used[b]], number[b[used[b]]]
+    i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    x, a, y, b = x[i], a[i], y[j], b[j]
+    both = np.zeros((len(left), len(right)))
+    for first in range(0, int(used.sum()), COLUMNS):
+        halves = []
+        for own, z, e in ((left, x, a), (right, y, b)):
+            lo, hi = np.searchsorted(e, [first, first + COLUMNS])
+            m = np.zeros((len(own), COLUMNS), np.float32)
+            m[z[lo:hi], e[lo:hi] - first] = 1
+            halves.append(m)
+        both += halves[0] @ halves[1].T
+    return both
+
+
+def _settle(group: pa.Table) -> pa.Table:
+    """Links between the classes of two parts of a bucket (or within one), each pair of texts
+    being compared; one link for two classes."""
+    node, cls, part = (np.asarray(group.column(c)) for c in ("node", "cls", "part"))
+    lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+    a = b = np.zeros(0, np.int64)
+    if len(left) and len(right):
+        cut = [(row + i, h, c) for i, _, row, h, c in _cut(_texts(group))]
+        row, h, c = (np.concatenate(x) for x in zip(*cut, strict=True))
+        total = np.bincount(row, weights=c, minlength=len(node))
+        both = overlaps(row, h, c, left, right)
+        every = total[left][:, None] + total[right] - both
+        i, j = np.nonzero((both >= THRESHOLD * every - 1e-6) & (cls[left][:, None] != cls[right]))
+        same = both[i, j] / every[i, j] >= THRESHOLD
+        a, b = left[i[same]], right[j[same]]
+        _, once = np.unique(np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])]), axis=1, return_index=True)
+        a, b = a[once], b[once]
+    return pa.table([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
+
+
 def _verify(group: pa.Table) -> pa.Table:
     """Links of one centre: its text is the row whose node is the centre. Texts are cut into
     shingles a few at a time."""
-    texts = group.column("text").combine_chunks()
-    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+    texts = _texts(group)
     nodes = np.asarray(group.column("node"))
     centre = group.column("centre")[0].as_py()
     mid = np.flatnonzero(nodes == centre)
     linked = set()
     if len(mid):
         _, *own = shingles(texts.slice(int(mid[0]), 1))
-        ends = np.cumsum(np.asarray(pc.binary_length(texts)))
-        i = 0
-        while i < len(nodes):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + VERIFY_BYTES, side="right")))
-            row, h, c = shingles(texts.slice(i, j - i))
+        for i, j, row, h, c in _cut(texts):
             cut = np.searchsorted(row, np.arange(j - i + 1))
             for n, a, b in zip(nodes[i:j].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if n != centre and similarity(own, (h[a:b], c[a:b])) >= THRESHOLD:
                     linked.add(n)
-            i = j
     linked = sorted(linked)
     return pa.table([pa.array([centre] * len(linked), pa.int64()), pa.array(linked, pa.int64())], ["a", "b"])
 
@@ -235,6 +301,40 @@ def _extend(label: DataFrame | None, n_labels: int, links: DataFrame, n: int, ro
     return spark.read.parquet(f"{root}/classes")
 
 
+def _rest(spark, root: str, texts: DataFrame, label: DataFrame | None, n_links: int) -> DataFrame | None:
+    """The labels after the last round: all that is left of the large buckets is compared."""
+    here = f"{root}/last"
+    large = spark.read.parquet(f"{root}/round-0/open").filter(F.col("n") > SMALL).select("band")
+    own = spark.read.parquet(f"{root}/round-0/left").select("band", "node", "size")
+    # the first round compared the centres with all others
+    own = own.join(spark.read.parquet(f"{root}/round-0/centres").select("band", F.col("c.node").alias("node")), ["band", "node"], "left_anti").join(large, "band")
+    if label is not None:
+        own = own.join(_small(label, 2 * n_links), "node", "left")
+    own = own.withColumn("cls", F.coalesce("cls", "node") if label is not None else F.col("node"))
+    own.write.parquet(f"{here}/own")
+    own = spark.read.parquet(f"{here}/own")
+    # per bucket: the largest class, and the number of parts of those outside and inside
+    classes = own.groupBy("band", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    parts = lambda n, size: F.greatest(F.ceil(n / GROUP), F.ceil(size / PART_SHINGLES))
+    most = F.max(F.struct("n", "size", "cls")).alias("most")
+    buckets = classes.groupBy("band").agg(most, F.sum("n").alias("n"), F.sum("size").alias("size")).filter("n > most.n")
+    buckets = buckets.select("band", F.col("most.cls").alias("most"), parts(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("out"), parts(F.col("most.n"), F.col("most.size")).alias("in"))
+    buckets.write.parquet(f"{here}/buckets")
+    buckets = spark.read.parquet(f"{here}/buckets")
+    n = buckets.count()
+    if not n:
+        return label
+    salt, outside = F.xxhash64("node"), F.col("cls") != F.col("most")
+    dealt = own.join(_small(buckets, n), "band").withColumn("part", F.when(outside, F.pmod(salt, "out")).otherwise(F.col("out") + F.pmod(salt, "in")))
+    meets = F.when(outside, F.col("out") + F.col("in")).otherwise(F.col("out"))
+    dealt = dealt.select("band", "node", "cls", "part", F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)).alias("other"))
+    dealt = dealt.select("band", "node", "cls", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    texts.join(dealt, "node").groupBy("band", "lo", "hi").applyInArrow(_settle, "a long, b long").write.parquet(f"{here}/links")
+    new = spark.read.parquet(f"{here}/links")
+    found = new.count()
+    return _extend(label, 2 * n_links, new, found, here) if found else label
+
+
 def _key(id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
 
@@ -334,6 +434,8 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, root: str) -> DataFrame:
         split = spark.read.parquet(f"{root}/round-{level}/split")
         several = split.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("band")
         split.join(several, "band", "left_semi").select("band", "slot", "node", "size", "degree", "cls", "bands").write.parquet(f"{root}/round-{level}/left")
+    if level:
+        label = _rest(spark, root, texts, label, n_links)
     if label is None:
         return member.select("key", "digest", F.col("node").alias("cls"))
     member.join(label, "node", "left").select("key", "digest", F.coalesce("cls", "node").alias("cls")).write.parquet(f"{root}/alike")

@@ -106,6 +106,32 @@ def test_near_classes_match_brute_force(spark):
     assert kept.columns == df.columns and kept.count() == len(got)
 
 
+def test_overlaps_of_multisets():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (0, 3, 8, 30, 30, 60, 200)] + ["w " * 400, "w " * 300]
+    row, h, c = bagminhash.shingles(pa.array(texts))
+    left, right = np.array([0, 2, 4, 6, 8]), np.array([1, 3, 5, 7])
+    got = bagminhash.overlaps(row, h, c, left, right)
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            assert got[i, j] == (brute.shingles(texts[x]) & brute.shingles(texts[y])).total()
+
+
+def test_a_large_bucket_loses_no_link(spark, monkeypatch):
+    """Texts of one template, each alike to one other only: nobody helps a pair to meet."""
+    monkeypatch.setattr(bagminhash, "GROUP", 32)  # several parts
+    rng = random.Random(7)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    template, rows = [word() for _ in range(304)], []
+    for _ in range(120):
+        own = [word() for _ in range(12)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(template + own + [word() for _ in range(38)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(df).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_classes_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bagminhash.classes(df).count() == 0 and bagminhash.keep_one(df).count() == 0
