@@ -2,7 +2,7 @@
 
 Jobs, in order:
 
-1. **extract** -- one scan decodes every workbook (``mapInPandas``), joins the
+1. **extract** -- one scan decodes every workbook (``mapInArrow``), joins the
    rows to the file listing (year/month/period) and writes the staging table
    ``<clean>/_staging/cells`` partitioned by dataset. This is the only pass
    over workbook bytes and it cuts the lineage for everything after it. One aggregate over the

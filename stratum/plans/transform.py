@@ -15,14 +15,17 @@ from stratum.operators.repair import clean_content_metrics
 from stratum.registry import EXTRACTION_RANGE, LINEAGE_COLS, PARTITION_COLS, SPECS
 
 FAILURES = "source_file string, dataset string, sheet_row long, column string, text string"
+BROADCAST_FILES = 100_000  # rows of a path and three numbers
 STAGE_COLS = ["source_file", "dataset", "sheet_pos", "sheet_row", "cells", "error", "year", "month", "period"]
 
 
 def attach_extraction(cells: DataFrame, files: DataFrame) -> DataFrame:
-    """Join decoded rows to their file's year/month/period (one row per file on the right;
-    AQE broadcasts it when the measured listing is small)."""
+    """Join decoded rows to their file's year/month/period: one row per file on the right, which
+    is broadcast unless there are very many files, so that the cells stay where they are."""
     meta = files.select(F.col("path").alias("source_file"), F.col("year").cast("int").alias("year"),
                         F.col("month").cast("int").alias("month"), F.col("period").cast("int").alias("period"))
+    if files.count() <= BROADCAST_FILES:
+        meta = F.broadcast(meta)
     return cells.join(meta, "source_file", "inner").select(*STAGE_COLS)
 
 

@@ -256,3 +256,16 @@ def test_cli_and_profiles(spark, scratch):
     assert prof["total_rows"] == total
     size = main(["profile", "clean", os.path.join(clean, "extractions"), "1m"], spark=spark)
     assert size["num_files"] > 0 and size["num_lines"] > total  # headers + multi-line titles
+
+
+def test_cells_stay_in_the_tasks_that_decode_them(spark, scratch):
+    """Workbooks are dealt to tasks one by one; their cells are not shuffled to meet the listing."""
+    from stratum.plans.transform import attach_extraction
+    from stratum.sources.files import discover_extractions
+
+    for i in range(40):
+        write_xlsx(os.path.join(scratch, "Concorrentes", "2024", "Janeiro", f"page_competitor_{i:02d}.xlsx"), [("a", [["x"] * 5, ["y"] * 5])])
+    cells = scan_cells(spark, scratch)
+    assert cells.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    plan = attach_extraction(cells, discover_extractions(spark, scratch))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -12,6 +12,7 @@ Layout: ``<root>/<category dir>/<year>/<month pt>/page_<category>_<yyyymm>_<peri
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -36,18 +37,31 @@ def _mdy(c):
     return F.date_format(c, "M/d/yyyy")
 
 
-def _sheet(df: DataFrame, dataset: str, order_col, cells) -> DataFrame:
-    s = SPECS[dataset]
-    assert len(cells) == len(s.columns), (dataset, len(cells))
-    return df.select(*_KEYS, F.lit(s.category).alias("category"), F.lit(s.sheet_pos).alias("sheet_pos"),
-                     order_col.cast("string").alias("row_key"), F.array(*[_s(c) for c in cells]).alias("cells"))
+def _sheet(df: DataFrame, *sheets) -> DataFrame:
+    """Rows of several sheets from one pass over ``df``: (dataset, row key, cells) each; a dataset
+    may be chosen by a column, as (column, {value: dataset})."""
+    rows = []
+    for dataset, order_col, cells in sheets:
+        col, names = dataset if isinstance(dataset, tuple) else (F.lit(dataset), {dataset: dataset})
+        specs = {k: SPECS[n] for k, n in names.items()}
+        assert all(len(cells) == len(s.columns) for s in specs.values()), (names, len(cells))
+        pos = F.create_map(*[F.lit(x) for k, s in specs.items() for x in (k, s.sheet_pos)])
+        (category,) = {s.category for s in specs.values()}
+        rows.append(F.struct(F.lit(category).alias("category"), pos[col].alias("sheet_pos"),
+                             order_col.cast("string").alias("row_key"), F.array(*[_s(c) for c in cells]).alias("cells")))
+    return df.select(*_KEYS, F.explode(F.array(*rows)).alias("r")).select(*_KEYS, "r.*")
 
 
-def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their half month; every sheet has rows of each of them."""
     o = load(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
         F.to_date("o_orderdate").alias("d"))
-    o = o.withColumns({"y": F.year("d"), "m": F.month("d"), "p": half_month_period("d")})
+    return o.withColumns({"y": F.year("d"), "m": F.month("d"), "p": half_month_period("d")})
+
+
+def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _orders(spark, sf_dir)
     cust = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     oc = o.join(cust, o.o_custkey == cust.c_custkey, "left").join(
@@ -65,41 +79,43 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     day_key = F.date_format("d", "yyyyMMdd")
     parts = [
-        _sheet(daily, "content_metrics", day_key, [
+        _sheet(daily, ("content_metrics", day_key, [
             _mdy(c("d")), c("n") * 7, c("n") * 3, c("n") * 10, c("n") * 5,
             c("nf"), c("no"), c("nf") - c("np"), c("n1"), c("n2"), c("no") - c("np"),
             c("n3"), c("n4"), c("n1") - c("n5"), c("n2"), c("n3"), c("n2") - c("n4"),
             F.round(c("nf") / (c("n") * 7), 4), F.round(c("no") / (c("n") * 3), 4),
             F.round((c("nf") + c("no")) / (c("n") * 10), 4)]),
-        _sheet(daily, "followers_new", day_key, [_mdy(c("d")), c("np"), c("nf") + c("no"), c("n")]),
-        _sheet(daily, "visitors_metrics", day_key,
+            ("followers_new", day_key, [_mdy(c("d")), c("np"), c("nf") + c("no"), c("n")]),
+            ("visitors_metrics", day_key,
                [_mdy(c("d"))] + [c(k) * (j // 6 + 1) for j, k in
                                  enumerate(["n", "nf", "no", "np", "n1", "n2", "n3", "n4", "n5", "n", "nf", "no",
                                             "np", "n1", "n2", "n3", "n4", "n5", "n", "nf", "no", "np", "n1",
-                                            "n2"])]),
+                                            "n2"])])),
     ]
     urgent = o.filter(pr.startswith("1"))
-    parts.append(_sheet(urgent, "content_posts", F.col("o_orderkey"), [
+    parts.append(_sheet(urgent, ("content_posts", F.col("o_orderkey"), [
         F.format_string("Order %d: \"%s\", status %s\nsecond line; priority", c("o_orderkey"), pr, st),
         F.format_string("https://example.org/posts/%d", c("o_orderkey")), st, pr,
         F.format_string("customer %d", c("o_custkey")), _mdy(c("d")),
         F.when(st != "P", _mdy(c("d"))), F.lit(None), F.lit("all"),
         F.floor(c("o_totalprice")), F.floor(c("o_totalprice") / 2), F.lit(0), F.floor(c("o_totalprice") / 100),
         F.round(F.lit(1.0) / 100, 4), F.floor(c("o_totalprice") / 1000), F.lit(1), F.lit(0), F.lit(0),
-        F.round(c("o_totalprice") / 1e6, 6), F.lit("Text")]))
+        F.round(c("o_totalprice") / 1e6, 6), F.lit("Text")])))
     size_bucket = F.format_string("%d+", F.pow(F.lit(10), F.floor(F.log10(c("o_totalprice")))).cast("long"))
-    breakdowns = [("location", c("n_name")), ("function", c("c_mktsegment")), ("experience", pr),
-                  ("industry", st), ("company_size", size_bucket)]
-    for suffix, dim in breakdowns:
-        g = oc.groupBy(*_KEYS, F.coalesce(dim, F.lit("unknown")).alias("label")).agg(
-            F.count(F.lit(1)).alias("n"), F.floor(F.sum("o_totalprice") / 1000).alias("views"))
-        parts.append(_sheet(g, f"followers_{suffix}", c("label"), [c("label"), c("n")]))
-        parts.append(_sheet(g, f"visitors_{suffix}", c("label"), [c("label"), c("views")]))
+    breakdowns = {"location": c("n_name"), "function": c("c_mktsegment"), "experience": pr,
+                  "industry": st, "company_size": size_bucket}
+    # all breakdowns in one pass over the joined orders
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("dim"), F.coalesce(x, F.lit("unknown")).alias("label"))
+                               for k, x in breakdowns.items()]))
+    g = (oc.select(*_KEYS, "o_totalprice", each.alias("b")).groupBy(*_KEYS, "b.dim", "b.label")
+         .agg(F.count(F.lit(1)).alias("n"), F.floor(F.sum("o_totalprice") / 1000).alias("views")))
+    parts.append(_sheet(g, *[((c("dim"), {k: f"{kind}_{k}" for k in breakdowns}), c("label"), [c("label"), c(value)])
+                             for kind, value in (("followers", "n"), ("visitors", "views"))]))
     comp = oc.groupBy(*_KEYS, F.coalesce(c("n_name"), F.lit("unknown")).alias("nation")).agg(
         F.countDistinct("o_custkey").alias("cust"), F.count(F.lit(1)).alias("n"),
         F.round(F.sum("o_totalprice") / 1000, 2).alias("eng"), cnt(st == "F").alias("nf"))
-    parts.append(_sheet(comp, "competitor", c("nation"), [
-        F.concat(c("nation"), F.lit(" page")), c("cust"), c("n"), c("eng"), c("nf")]))
+    parts.append(_sheet(comp, ("competitor", c("nation"), [
+        F.concat(c("nation"), F.lit(" page")), c("cust"), c("n"), c("eng"), c("nf")])))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -110,6 +126,7 @@ _INT = re.compile(r"^-?\d+$")
 _FLOAT = re.compile(r"^-?\d+\.\d+$")
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _cell(v):
     if v is None or v == "":
         return None
@@ -158,8 +175,10 @@ def derive_raw_tree(spark: SparkSession, sf_dir: str, root: str, incoming: str,
     rows = sheet_rows(spark, sf_dir)
     if categories:
         rows = rows.filter(F.col("category").isin(list(categories)))
-    # the held-out extractions are the last half months (a handful of rows collected)
-    last = (rows.select(*_KEYS).distinct().orderBy(*[F.col(k).desc() for k in _KEYS]).limit(holdout_last).collect()
+    # the held-out extractions are the last half months (a handful of rows collected); each
+    # category has sheets of every half month, so the orders alone tell them
+    halves = _orders(spark, sf_dir).select(*_KEYS)
+    last = (halves.distinct().orderBy(*[F.col(k).desc() for k in _KEYS]).limit(holdout_last).collect()
             if holdout_last else [])
     holdout = {tuple(r) for r in last}
     written = (rows.groupBy("category", *_KEYS)
@@ -169,8 +188,8 @@ def derive_raw_tree(spark: SparkSession, sf_dir: str, root: str, incoming: str,
                .agg(F.count(F.lit(1)).alias("files"), F.sum("n_rows").alias("rows"),
                     F.countDistinct("path").alias("distinct_files"))
                .collect()[0])
-    n_ext = rows.filter(~F.struct(*_KEYS).isin([F.struct(*[F.lit(v) for v in k]) for k in holdout])
-                        if holdout else F.lit(True)).select(*_KEYS).distinct().count()
+    n_ext = halves.filter(~F.struct(*_KEYS).isin([F.struct(*[F.lit(v) for v in k]) for k in holdout])
+                        if holdout else F.lit(True)).distinct().count()
     return {"files": int(summary["files"]), "rows": int(summary["rows"] or 0),
             "holdout": [dict(year=k[0], month=k[1], period=k[2],
                              folder=os.path.join(incoming, f"{k[0]}_{k[1]:02d}_{k[2]}")) for k in sorted(holdout)],
