@@ -35,10 +35,16 @@ CACHE = 600_000
 SMOOTHING = 0.1
 TINY, BIG = 1e-150, 1e150
 SHORT = 30  # characters below which no word's sums can underflow
+WIDE, UNKNOWN = 64, ({}, 0)  # more than the length of a short word's pieces; a character of no piece
 
 
 def words(text: str) -> list[str]:
-    return [w.strip(PUNCT) for w in text.lower().split()]
+    return [w.strip(PUNCT) for w in runs(text)]
+
+
+def runs(text: str) -> list[str]:
+    """Lower-case runs between white space, with their punctuation."""
+    return text.lower().split()
 
 
 def count_pieces(rows: DataFrame, vocab: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -105,30 +111,32 @@ class Model:
         for i, w in enumerate(ws):
             if len(w) >= SHORT:
                 out[i] = self.word(w)
-        steps: dict[tuple[int, int], list[int]] = {}
-        base, ends = 0, []
+        steps: defaultdict[int, list[int]] = defaultdict(list)  # by end * WIDE + piece length
+        base, ends, trie = 0, [], self.trie
         for i in short:
             s = MARK + ws[i]
-            for a in range(len(s)):
-                node, single = self.trie, False
-                for d, c in enumerate(s[a:], 1):
+            for a, c in enumerate(s, 1):
+                src, key = (base + a - 1) << 20, a * WIDE + 1
+                node, row = trie.get(c, UNKNOWN)
+                steps[key].append(src | row)  # row 0: an unknown character
+                if not node:
+                    continue
+                for c in s[a:]:
                     got = node.get(c)
                     if got is None:
                         break
                     node, row = got
+                    key += WIDE + 1
                     if row:
-                        single |= d == 1
-                        steps.setdefault((a + d, d), []).append((base + a) << 20 | row)
-                if not single:
-                    steps.setdefault((a + 1, 1), []).append((base + a) << 20)
+                        steps[key].append(src | row)
             ends.append(base + len(s))
             base += len(s) + 1
         alpha = np.zeros((base, len(self.langs)))
         if short:
             ends = np.array(ends)
             alpha[np.concatenate(([0], ends[:-1] + 1))] = 1.0
-            for e, d in sorted(steps):
-                x = np.array(steps[e, d])
+            for key in sorted(steps):
+                x, d = np.array(steps[key]), key % WIDE
                 src = x >> 20
                 alpha[src + d] += alpha[src] * self.table[x & 0xFFFFF]
             out[short] = np.log(alpha[ends])
@@ -158,27 +166,31 @@ class Model:
 
 
 class Scorer:
-    """Texts to (language, posterior), remembering the words it has scored (bounded)."""
+    """Texts to (language, posterior), remembering the words it has scored (bounded): runs are
+    looked up as they stand in the text, and those of one word share a row."""
 
     def __init__(self, model: Model):
-        self.model, self.at = model, {"": 0}
+        self.model, self.at, self.used = model, {"": 0}, 1
         self.rows = np.zeros((1024, len(model.langs)))
 
     def learn(self, ws: list[str]) -> None:
         """Score new words and remember them."""
-        if len(self.at) + len(ws) > CACHE:
-            self.at = {"": 0}
-        first = len(self.at)
-        while first + len(ws) > len(self.rows):
+        if len(self.at) + 2 * len(ws) > CACHE:
+            self.at, self.used = {"": 0}, 1
+        bare = {w: w.strip(PUNCT) for w in ws}
+        new, first = list(set(bare.values()).difference(self.at)), self.used
+        self.used += len(new)
+        while self.used > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[first : first + len(ws)] = self.model.batch(ws)
-        self.at.update(zip(ws, range(first, first + len(ws)), strict=True))
+        self.rows[first : self.used] = self.model.batch(new)
+        self.at.update(zip(new, range(first, self.used), strict=True))
+        self.at.update(zip(bare, map(self.at.__getitem__, bare.values()), strict=True))
 
     def log_likelihoods(self, texts: list[str]) -> np.ndarray:
         """One row a text, its prior included."""
         total = np.tile(self.model.prior, (len(texts), 1))
-        cut = [words(t) for t in texts]
-        part = CACHE // 2  # words at a time, so that none of them is forgotten meanwhile
+        cut = map(runs, texts)
+        part = CACHE // 4  # runs at a time, so that none of them is forgotten meanwhile
         group: list[tuple[int, list[str]]] = []
         size = 0
         for i, ws in enumerate(cut):
@@ -194,13 +206,17 @@ class Scorer:
 
     def _add(self, group: list[tuple[int, list[str]]], total: np.ndarray) -> None:
         known = self.at
-        new = list({w for _, ws in group for w in ws if w not in known})
+        new = set()
+        for _, ws in group:
+            new.update(ws)
+        new = list(new.difference(known))
         if new:
             self.learn(new)
             if self.at is not known:  # all was forgotten
                 self.learn(list({w for _, ws in group for w in ws if w not in self.at}))
+        row = self.at.__getitem__
         for i, ws in group:
-            total[i] += self.rows[[self.at[w] for w in ws]].sum(axis=0)
+            total[i] += self.rows[list(map(row, ws))].sum(axis=0)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out = [("und", 0.0)] * len(texts)
