@@ -206,11 +206,6 @@ class WordEncoder:
 
     def split(self, w: str) -> list[str] | None:
         """Pre-tokens of a word, or None if the library has to find them."""
-        if w.isascii():
-            if w.isalpha():
-                return [w.lower()]
-            if w[:-1].isalpha() and w[-1] in ".,":
-                return [w[:-1].lower(), w[-1]]
         return self.find(w.lower()) if self.PLAIN(w) else None
 
     def add(self, words: set[str]) -> None:
@@ -218,10 +213,13 @@ class WordEncoder:
             self.words.clear()
         if len(self.tokens) > self.CACHE:
             self.tokens.clear()
-        # most words are one pre-token of ASCII letters
-        single = {w: w.lower() for w in words if w.isalpha() and w.isascii()}
-        split = {w: self.split(w) for w in words if w not in single}
-        new = set(single.values())
+        # most words are one pre-token of letters, alone or before a full stop or comma
+        plain = self.PLAIN
+        single = {w: w.lower() for w in words if w.isalpha() and (w.isascii() or plain(w))}
+        rest = words.difference(single)
+        closed = {w: w[:-1].lower() for w in rest if w[-1:] in (".", ",") and w[:-1].isalpha() and (w.isascii() or plain(w))}
+        split = {w: self.split(w) for w in rest.difference(closed)}
+        new = {".", ",", *single.values(), *closed.values()}
         for ps in split.values():
             if ps is not None:
                 new.update(ps)
@@ -229,6 +227,7 @@ class WordEncoder:
         for i in range(0, len(new), 16384):
             self._learn(new[i : i + 16384])
         self.words.update(zip(single, map(tokens.__getitem__, single.values()), strict=True))
+        self.words.update({w: tokens[p] + tokens[w[-1]] for w, p in closed.items()})
         for w, ps in split.items():
             self.words[w] = b"".join([tokens[p] for p in ps]) if ps is not None else self._library(w).tobytes()
 
