@@ -117,9 +117,9 @@ def test_overlaps_of_multisets():
             assert got[i, j] == (brute.shingles(texts[x]) & brute.shingles(texts[y])).total()
 
 
-def test_a_large_bucket_loses_no_link(spark, monkeypatch):
+@pytest.fixture(scope="module")
+def pairs():
     """Texts of one template, each alike to one other only: nobody helps a pair to meet."""
-    monkeypatch.setattr(bagminhash, "GROUP", 32)  # several parts
     rng = random.Random(7)
     word = lambda: f"w{rng.getrandbits(40)}"
     template, rows = [word() for _ in range(304)], []
@@ -127,9 +127,22 @@ def test_a_large_bucket_loses_no_link(spark, monkeypatch):
         own = [word() for _ in range(12)]
         for _ in range(2):
             rows.append((len(rows), " ".join(template + own + [word() for _ in range(38)])))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return rows
+
+
+def test_a_large_bucket_loses_no_link(spark, pairs, monkeypatch):
+    monkeypatch.setattr(bagminhash, "GROUP", 32)  # several parts
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in bagminhash.classes(df).collect()}
-    assert got == {i: i - i % 2 for i, _ in rows}
+    assert got == {i: i - i % 2 for i, _ in pairs}
+
+
+def test_pipeline_keeps_one_of_each_pair_of_a_large_bucket(spark, pairs):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(*r, "x") for r in pairs], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.distinct(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == list(range(0, len(pairs), 2))
 
 
 def test_near_classes_of_an_empty_table(spark):

@@ -160,3 +160,16 @@ def test_pipeline_ends_with_token_ids(spark):
         ids = enc.encode_ordinary(t or "")
         want.append((i, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode()), ids))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_letters_before_a_full_stop_need_no_pattern():
+    e = rans.WordEncoder(WORDS)
+    e.find = None
+    texts = ["One two. \u00c9t\u00e9, caf\u00e9. na\u00efve \u00aa."]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [e.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_runs_of_one_word_share_a_row():
+    s = langid.Scorer(toy_model())
+    s.predict(["Hund, (hund) hund."])
+    assert s.at["hund,"] == s.at["(hund)"] == s.at["hund."] == s.at["hund"] and s.used == 2
