@@ -4,7 +4,7 @@ to the clean layer by a Structured Streaming query (X3 as a stream).
 Landing layout: ``<landing>/<year>/<month>/<period>/<workbook>`` where month
 is 1..12 or the Portuguese folder name. Each micro-batch:
 
-1. decodes the batch's workbooks (the same ``mapInPandas`` decoder as the
+1. decodes the batch's workbooks (the same ``mapInArrow`` decoder as the
    batch path -- file bytes are never shuffled),
 2. stages the decoded rows under ``<clean>/_staging/stream``, one partition per extraction
    and file,
@@ -66,7 +66,7 @@ def process_batch(batch: DataFrame, batch_id: int, clean_root: str, fmt: str = "
     good = keyed.filter(F.col("category").isNotNull() & F.col("year").isNotNull()
                         & F.col("month").isNotNull() & F.col("period").isNotNull())
     meta = good.select(F.col("path").alias("source_file"), "year", "month", "period")
-    cells = good.select("path", "category", "content").mapInPandas(_decode_batches, CELLS_SCHEMA)
+    cells = good.select("path", "category", "content").mapInArrow(_decode_batches, CELLS_SCHEMA)
     root = os.path.join(clean_root, "_staging", "stream")
     # file-level metadata comes from the path: attach it by a join on the (small) per-file table
     staged = cells.join(meta, "source_file", "inner").withColumns({"file": F.md5("source_file"), "part": F.coalesce("dataset", F.lit("none"))})
