@@ -26,18 +26,21 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, map_arrow, scratch, text_batches, text_bytes
+from .common import filesystem, flat, map_arrow, scratch, text_batches, text_bytes
 
 SCALE = 20  # bits of the frequency table's total
 LANES, STEPS = 1024, 128  # largest number of lanes; steps between checkpoints
 BLOCK = 1 << 18  # tokens after which a block is closed at the next document's end
 PART_BYTES, MAX_PARTS = 32 << 20, 20_000
+ENCODE_BYTES = 8 << 20  # of text that is encoded at once
 LOW = np.uint64(1 << 31)
 END_ID = 2
 MAGIC, BLOCK_HEAD = b"RANSTOK1", struct.Struct("<4sIIIIII")
@@ -160,19 +163,60 @@ def read_file(f, t: Table):
         k += docs
 
 
+class Memory:
+    """Distinct byte strings, numbered as they come, and the ids of each in one array."""
+
+    def __init__(self):
+        self.keys = pa.array([], pa.large_binary())
+        self.ids = np.zeros(0, "<u4")
+        self.end = np.zeros(1, np.int64)  # string k's ids stand from end[k] to end[k + 1]
+
+    def put(self, keys: pa.Array, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of new strings, given the ids of all of them and how many each has."""
+        n = len(self.keys)
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.ids = np.concatenate([self.ids, ids])
+        self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(size)])
+        return n + np.arange(len(keys))
+
+    def at(self, keys: pa.Array) -> np.ndarray:
+        """Numbers of strings; -1 for an unknown one."""
+        return pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered strings, one after another, and how many each has."""
+        first = self.end[at]
+        size = self.end[at + 1] - first
+        stop = np.cumsum(size)
+        n = int(stop[-1]) if len(stop) else 0
+        return self.ids[np.repeat(first - stop + size, size) + np.arange(n)], size
+
+
+def _strings(raw: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
 class WordEncoder:
     """The library's encoding of a text, word by word.
 
     The tokenizer drops white space and treats each pre-token alone, so a text is the
-    concatenation of its words. Words of letters, digits and punctuation of Latin-1 split
-    into pre-tokens as the tokenizer's own pattern does; new pre-tokens are encoded in one
-    call. Any other word goes to the library as it is. Both are remembered (bounded).
+    concatenation of its words. The words of a batch are looked up at once, as an Arrow column,
+    and their ids gathered. New words of letters, digits and punctuation of Latin-1 split into
+    pre-tokens as the tokenizer's own pattern does (all at once by the classes of their
+    characters, those with an apostrophe by the pattern); new pre-tokens are encoded in one
+    call. Any other word goes to the library as it is. Words and pre-tokens are remembered
+    (bounded).
     """
 
-    CACHE = 700_000
+    CACHE = 1_000_000
     PLAIN = re.compile("[!-~À-ÿ]+").fullmatch
     #: FIXED VALUES: the pattern of the tokenizer's pre-tokens.
     TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: FIXED VALUES: classes of ASCII characters: 1 letter, 2 digit, 3 other printable; 0 is left
+    #: to the pattern (the apostrophe) or the library.
+    LETTER, DIGIT, SIGN = 1, 2, 3
+    CLASS = np.array([0 if not 0x21 <= c <= 0x7E or c == 0x27 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
+    LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
 
     def __init__(self, path: str):
         import os
@@ -187,82 +231,119 @@ class WordEncoder:
         self.find = regex.compile(self.TOKEN).findall
         size = self.tok.get_vocab_size()
         self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.words, self.tokens = Memory(), Memory()
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode pre-tokens in one call; each one's ids end with an end-of-word token."""
-        ids = self._library(" ".join(new))
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) == len(new) and cut[-1] == len(ids):
-            raw, at = ids.tobytes(), (4 * cut).tolist()
-            self.tokens.update(zip(new, [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
-        else:
-            for w in new:
-                self.tokens[w] = self._library(w).tobytes()
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Numbers of new pre-tokens, encoded in one call; each one's ids end with an
+        end-of-word token."""
+        own = [w.decode() for w in new.to_numpy(zero_copy_only=False)]
+        ids = self._library(" ".join(own))
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) == len(own) and stop[-1] == len(ids):
+            return self.tokens.put(new, ids, np.diff(stop, prepend=0))
+        each = [self._library(w) for w in own]
+        return self.tokens.put(new, np.concatenate(each), np.array([len(x) for x in each]))
+
+    def _known(self, tokens: pa.Array) -> np.ndarray:
+        """Numbers of distinct pre-tokens; new ones are encoded."""
+        at = self.tokens.at(tokens)
+        new = np.flatnonzero(at < 0)
+        for i in range(0, len(new), 16384):
+            at[new[i : i + 16384]] = self._learn(tokens.take(pa.array(new[i : i + 16384])))
+        return at
 
     def split(self, w: str) -> list[str] | None:
         """Pre-tokens of a word, or None if the library has to find them."""
         return self.find(w.lower()) if self.PLAIN(w) else None
 
-    def add(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.CACHE:
-            self.words.clear()
-        if len(self.tokens) > self.CACHE:
-            self.tokens.clear()
-        # most words are one pre-token of letters, alone or before a full stop or comma
-        plain = self.PLAIN
-        single = {w: w.lower() for w in words if w.isalpha() and (w.isascii() or plain(w))}
-        rest = words.difference(single)
-        closed = {w: w[:-1].lower() for w in rest if w[-1:] in (".", ",") and w[:-1].isalpha() and (w.isascii() or plain(w))}
-        split = {w: self.split(w) for w in rest.difference(closed)}
-        new = {".", ",", *single.values(), *closed.values()}
-        for ps in split.values():
-            if ps is not None:
-                new.update(ps)
-        new, tokens = list(new.difference(self.tokens)), self.tokens
-        for i in range(0, len(new), 16384):
-            self._learn(new[i : i + 16384])
-        self.words.update(zip(single, map(tokens.__getitem__, single.values()), strict=True))
-        self.words.update({w: tokens[p] + tokens[w[-1]] for w, p in closed.items()})
-        for w, ps in split.items():
-            self.words[w] = b"".join([tokens[p] for p in ps]) if ps is not None else self._library(w).tobytes()
+    def _classes(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class and the lower case of each byte; both bytes of a Latin-1 letter or sign
+        are of its class."""
+        kind, low = self.CLASS[raw], self.LOWER[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)  # U+00C0 to U+00FF
+        c = raw[lead + 1]
+        sign = (c == 0x97) | (c == 0xB7)  # multiplication and division
+        kind[lead] = kind[lead + 1] = np.where(c & 0xC0 != 0x80, 0, np.where(sign, self.SIGN, self.LETTER))
+        low[lead + 1] = np.where((c >= 0x80) & (c < 0x9F) & ~sign, c + 0x20, c)
+        return kind, low
+
+    def add(self, words: pa.Array) -> np.ndarray:
+        """Numbers of new distinct words, each with a space behind it."""
+        if len(self.tokens.keys) > self.CACHE:
+            self.tokens = Memory()
+        raw, off = flat(words)
+        off = off - np.arange(len(off))
+        raw = raw[raw != 0x20]
+        kind, low = self._classes(raw)
+        odd = np.concatenate(([0], np.cumsum(kind == 0)))[off]
+        plain = odd[1:] == odd[:-1]
+        rest = [raw[i:j].tobytes().decode() for i, j in zip(off[:-1][~plain].tolist(), off[1:][~plain].tolist(), strict=True)]
+        # the plain words alone, one after another
+        length = np.diff(off)
+        here = np.repeat(plain, length)
+        kind, low, off = kind[here], low[here], np.concatenate(([0], np.cumsum(length[plain])))
+        first = np.ones(len(kind) + 1, bool)
+        first[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == self.DIGIT)
+        first[off] = True
+        start = np.flatnonzero(first)  # of each pre-token, and the end of the last
+        own = _strings(low, start).dictionary_encode()
+        ids, size = self.tokens.take(self._known(own.dictionary)[own.indices.to_numpy()])
+        stop = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, off)]
+        at = np.empty(len(words), np.int64)
+        at[plain] = self.words.put(words.filter(pa.array(plain)), ids, np.diff(stop))
+        if rest:
+            split = [self.split(w) for w in rest]
+            own = pa.array([p.encode() for ps in split if ps is not None for p in ps], pa.large_binary()).dictionary_encode()
+            token = iter(self._known(own.dictionary)[own.indices.to_numpy()].tolist())
+            each = [self._library(w) if ps is None else self.tokens.take(np.array([next(token) for _ in ps]))[0] for w, ps in zip(rest, split, strict=True)]
+            at[~plain] = self.words.put(words.filter(pa.array(~plain)), np.concatenate(each), np.array([len(x) for x in each]))
+        return at
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        part, group, size = self.CACHE // 2, [], 0
-        for i, t in enumerate(texts):
-            if t and "<|" in t and any(x in t.lower() for x in self.special):
-                out[i].append(self._library(t).tobytes())
-                continue
-            ws = t.replace("\n", " ").split(" ") if t else []
-            for a in range(0, len(ws), part):
-                own = ws[a : a + part]
-                if size + len(own) > part:
-                    self._encode(group, out)
-                    group, size = [], 0
-                group.append((i, own))
-                size += len(own)
-        self._encode(group, out)
-        return [b"".join(x) for x in out]
-
-    def _encode(self, group: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
-        """Words of several texts at once, no more than half of what is remembered."""
-        known, new = self.words, set()
-        for _, ws in group:
-            new.update(ws)
-        new = new.difference(known)
-        if new:
-            before = len(known)
-            self.add(new)
-            if len(known) < before + len(new):  # the cache was cleared: the others are needed too
-                self.add({w for _, ws in group for w in ws if w not in known})
-        for i, ws in group:
-            out[i].append(b"".join(map(known.__getitem__, ws)))
+        if not texts:
+            return []
+        ids, size = self.encode_column(pa.array(texts, pa.large_string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(size)[:-1])]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        ids, size, at = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], 0
+        for i in np.flatnonzero(pc.match_substring(texts, "<|").fill_null(False).to_numpy(zero_copy_only=False)).tolist():
+            t = texts[i].as_py()
+            if any(x in t.lower() for x in self.special):
+                whole = self._library(t)
+                for x, n in (self._by_words(texts.slice(at, i - at)), (whole, np.array([len(whole)]))):
+                    ids.append(x)
+                    size.append(n)
+                at = i + 1
+        x, n = self._by_words(texts.slice(at))
+        return np.concatenate([*ids, x]), np.concatenate([*size, n])
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, off = flat(texts)
+        # a word ends with the white space behind it, that of a text's last word being added
+        raw, off = np.insert(raw, off[1:], 0x20), off + np.arange(len(off))
+        raw[raw == 0x0A] = 0x20
+        cut = np.concatenate(([0], np.flatnonzero(raw == 0x20) + 1))
+        words, part = _strings(raw, cut), 2 * self.CACHE
+        ids, size = zip(*[self._encode(words.slice(i, part)) for i in range(0, max(1, len(words)), part)], strict=True)
+        stop = np.concatenate(([0], np.cumsum(np.concatenate(size))))[np.searchsorted(cut, off)]
+        return np.concatenate(ids), np.diff(stop)
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, no more than twice as many as are remembered, and how many each has."""
+        at = self.words.at(words)
+        new = words.filter(pa.array(at < 0)).dictionary_encode()
+        if len(self.words.keys) + len(new.dictionary) > self.CACHE:
+            self.words, new = Memory(), words.dictionary_encode()
+            at[:] = -1
+        if len(new):
+            at[at < 0] = self.add(new.dictionary)[new.indices.to_numpy()]
+        return self.words.take(at)
 
 
 @lru_cache(maxsize=1)
@@ -283,16 +364,17 @@ def _stage(path: str, root: str, id_col: str):
         from pyspark import TaskContext
 
         enc, part = encoder(path), TaskContext.get().partitionId()
-        ids, texts, counts, n, end = [], [], None, 0, struct.pack("<I", END_ID)
+        ids, texts, counts, n = [], [], None, 0
         wide = np.uint16 if len(enc.ends) <= 1 << 16 else np.uint32
-        for b in text_batches(it):
+        for b in text_batches(it, ENCODE_BYTES):
             ids += b.column(0).to_pylist()
-            own = [x + end for x in enc.encode(b.column(1).to_pylist())]
-            whole = np.frombuffer(b"".join(own), "<u4")  # counted at once: a count is as wide as the vocabulary
+            whole, size = enc.encode_column(b.column(1))
+            stop = np.cumsum(size)
+            whole = np.insert(whole, stop, END_ID)  # counted at once: a count is as wide as the vocabulary
             c = np.bincount(whole, minlength=len(enc.ends))
             counts = c if counts is None else counts + c
             n += len(whole)
-            texts += np.split(whole.astype(wide), np.cumsum([len(x) >> 2 for x in own])[:-1])
+            texts += np.split(whole.astype(wide), (stop + np.arange(1, len(stop) + 1))[:-1])
         if not ids:
             return
         name = f"{root}/tokens-{part:06d}-{uuid.uuid4().hex}.npz"

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -173,3 +174,20 @@ def test_runs_of_one_word_share_a_row():
     s = langid.Scorer(toy_model())
     s.predict(["Hund, (hund) hund."])
     assert s.at["hund,"] == s.at["(hund)"] == s.at["hund."] == s.at["hund"] and s.used == 2
+
+
+def test_a_column_of_words_needs_no_pattern(monkeypatch):
+    """Digits, signs and Latin-1 are split all at once; the ids of a slice of a column are the
+    library's, whatever is remembered."""
+    tok = Tokenizer.from_file(WORDS)
+    texts = [None, "", " ", "\n\n", "A1b22 (x), 3.5%! \u00c9T\u00c9\u00d72 \u00f7\u00ff\u00dfx --", "a <|endoftext|> b", "last", None, "last \u4e2d\u6587 J\u030c", *samples(7, "aB1.,(\u00c9\u00d7 \n")]
+    for cache in (rans.WordEncoder.CACHE, 5):
+        monkeypatch.setattr(rans.WordEncoder, "CACHE", cache)
+        e = rans.WordEncoder(WORDS)
+        e.find = None
+        for _ in range(2):
+            ids, size = e.encode_column(pa.array(["skipped", *texts]).slice(1))
+            own = [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+            assert own == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, size = e.encode_column(pa.array([], pa.string()))
+    assert not len(ids) and not len(size)
