@@ -154,18 +154,25 @@ def codec(path: str, pattern: str) -> TextCodec:
 
 
 def forget() -> None:
-    codec.cache_clear()
+    if codec.cache_info().currsize:
+        codec.cache_clear()
+        gc.enable()
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded binary) of every row: the operator's real output."""
+    """(id, ids array<int>, decoded binary) of every row: the operator's real output. A task
+    forgets its codec when it ends: Spark hands tasks to idle workers in turn, so that all the
+    workers of the stages before would come to hold one."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(it):
         c = codec(path, pattern)
-        for b in text_batches(it):
-            ids = [c.encode(t) if t else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.bpe.decode(x) for x in ids], pa.binary())], [id_col, "ids", "decoded"])
+        try:
+            for b in text_batches(it):
+                ids = [c.encode(t) if t else [] for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.bpe.decode(x) for x in ids], pa.binary())], [id_col, "ids", "decoded"])
+        finally:
+            forget()
 
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
 

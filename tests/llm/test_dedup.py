@@ -1,6 +1,7 @@
 """Near-duplicates and repeated strings against brute force."""
 
 import random
+import tracemalloc
 
 import brute
 import numpy as np
@@ -42,6 +43,19 @@ def test_repeated_strings_match_brute_force(spark, texts, monkeypatch):
     packed.unpersist()
 
 
+@pytest.mark.parametrize("n", [0, 1, 4095, 4096, suffixes.PART, suffixes.PART + 1, 20 * suffixes.PART + 7])
+def test_prefix_sums_hold_little_besides_themselves(n):
+    raw = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)
+    suffixes.Prefixes(raw)  # the tables of powers stay
+    tracemalloc.start()
+    sums = suffixes.Prefixes(raw).sums
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    power = np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, suffixes._BASE[0], np.uint64))))[:n]
+    assert (sums == np.concatenate(([np.uint64(0)], np.cumsum(suffixes._BYTES[0][raw] * power)))).all()
+    assert peak < 8 * n + 6 * 8 * suffixes.PART
+
+
 def test_repeats_of_an_empty_table(spark):
     out, _ = suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string"))
     assert out.count() == 0 and out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]

@@ -1,5 +1,6 @@
 """BPE, token files and language ID against the public libraries and plain versions."""
 
+import gc
 import hashlib
 import math
 import random
@@ -49,6 +50,20 @@ def test_bpe_rows(spark):
     assert bpe.encode_digests(df.limit(0), PATH, P.PATTERN).count() == 0
 
 
+def test_a_task_forgets_its_codec(spark, monkeypatch):
+    """Ended or given up, it leaves no caches in the worker and the cycle collector on."""
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    monkeypatch.setattr(bpe, "map_arrow", lambda df, run, schema: run)
+    run, batch = bpe.encode_texts(df, PATH, P.PATTERN), pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b"]})
+    assert [b.column(2).to_pylist() for b in run(iter([batch]))] == [[b"a b"]]
+    assert not bpe.codec.cache_info().currsize and gc.isenabled()
+    left = run(iter([batch, batch]))
+    next(left)
+    assert bpe.codec.cache_info().currsize and not gc.isenabled()
+    left.close()
+    assert not bpe.codec.cache_info().currsize and gc.isenabled()
+
+
 def test_bpe_digests_come_from_the_ids(spark):
     """The registered query on whole documents, against the library."""
     from stratum.llm import queries
