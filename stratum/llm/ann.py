@@ -1,8 +1,7 @@
 """Nearest neighbours by a block matrix join.
 
 Vectors are packed into blocks. Each block of queries meets each block of candidates in one
-tile: an equi-join on a lane number, to which candidates' blocks are dealt and queries' blocks
-are copied. In a tile the unit vectors are quantised to int8; the product of the int8
+tile of a grid: a merge join on a lane number, see ``common.tiles``. In a tile the unit vectors are quantised to int8; the product of the int8
 matrices gives every cosine within a bound that follows from the two rounding errors. Pairs
 whose upper bound reaches the k-th best lower bound so far are recomputed in double precision
 from the original vectors and merged into the query's k best; the lists of the tiles are merged
@@ -24,10 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, tiles
 
 QUERY_BLOCK, BLOCK = 512, 4096
 HELD = 1 << 19  # queries whose lists a task holds before it passes them on
+SHARE = 50  # candidates to a query that the grid of tiles is laid out for
 
 
 def _blocks(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
@@ -111,21 +111,19 @@ def _tile(a: _Side, b: _Side, best: dict, k: int) -> None:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): each query's ``k`` nearest by cosine, nearest first."""
-    spark = vectors.sparkSession
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cands = _blocks(vectors, id_col, vec_col, BLOCK).drop("tags").withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)))
+    cands = _blocks(vectors, id_col, vec_col, BLOCK).drop("tags")
     # copies of a query are searched for once
     asked = queries.groupBy(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec")).agg(F.count("*").alias("_copies")).withColumn("_key", F.xxhash64("_vec"))
-    own = _blocks(asked, "_id", "_vec", QUERY_BLOCK).select("dim", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), "tags")
-    own = own.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    pairs = cands.join(own, ["dim", "lane"]).select("dim", "n", "ids", "data", "qn", "qids", "qdata", "tags")
+    own = _blocks(asked, "_id", "_vec", QUERY_BLOCK).select(F.col("dim").alias("qdim"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), "tags")
+    pairs = tiles(cands, own, ["ids"], ["qids", "tags"], [F.col("dim") == F.col("qdim")], SHARE).drop("qdim")
 
     def run(it):
         best, last = {}, (None, None)
         for batch in it:
-            for dim, n, ids, data, qn, qids, qdata, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last[0] != (dim, ids):
-                    last = (dim, ids), _Side(dim, n, ids, data)
+            for i in range(batch.num_rows):  # row by row: each has two blocks
+                dim, n, ids, data, qn, qids, qdata, tags = (c[i].as_py() for c in batch.columns)
+                if last[0] != (ids, data):  # other vectors may have these ids
+                    last = (ids, data), _Side(dim, n, ids, data)
                 _tile(_Side(dim, qn, qids, qdata, tags), last[1], best, k)
                 if len(best) >= HELD:
                     yield _rows(best)

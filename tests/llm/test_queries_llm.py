@@ -131,6 +131,26 @@ def test_nearest_match_brute_force(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in ann.nearest(few, few.filter("vec_id = 0")).collect()] == [(1, 1, 0.0)]
 
 
+def test_nearest_in_a_grid_without_broadcast(spark, scratch, monkeypatch):
+    monkeypatch.setattr(ann, "SHARE", 2)  # 8 lanes: 2 columns of 4
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    m = np.random.default_rng(3).normal(size=(200, 8))
+    ids = np.arange(200) % 100  # the second block has the first one's ids and other vectors
+    spark.createDataFrame([(int(i), v) for i, v in zip(ids, m.tolist(), strict=True)], "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{scratch}/v")
+    df = spark.read.parquet(f"{scratch}/v")
+    found = ann.nearest(df, df.filter("vec_id % 10 = 0"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in found.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan  # copies of blocks never go to the driver
+    unit = m / np.sqrt((m * m).sum(axis=1))[:, None]
+    want = []
+    for q in np.flatnonzero(ids % 10 == 0):
+        s = np.where(ids == ids[q], -9, unit @ unit[q])
+        want += [(int(ids[q]), i, int(ids[j]), round(float(s[j]), 9)) for i, j in enumerate(np.lexsort((ids, -s))[:5], 1)]
+    assert got == sorted(want)
+
+
 def test_int8_bounds_hold():
     rng = np.random.default_rng(1)
     a, b = (ann._Side(24, 200, np.arange(200).tobytes(), rng.normal(size=(200, 24)).tobytes()) for _ in range(2))
