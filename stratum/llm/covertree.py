@@ -13,9 +13,9 @@ already, are skipped; leaves are verified by exact integer products. Positives a
 the anchor's own label, with one window that is open on both sides; their scores set the
 windows of the negatives, which all blocks of other labels are searched for.
 
-Blocks of candidates and of anchors meet in a grid of tiles, an equi-join on a lane: candidates
-are copied to ``across`` lanes, anchors to ``lanes / across`` lanes, so that what is copied
-grows with the square root of the tiles. Trees are made once and written. Each task merges its
+Blocks of candidates and of anchors meet in a grid of tiles, a merge join on a lane number, see
+``common.tiles``. Trees are made once and written. No table that grows with the anchors is
+broadcast: files of few distinct vectors are far smaller than their rows. Each task merges its
 lists by anchor, and ranks among tasks are a window over pre-limited groups. Exact.
 
 Defined cases: rows with a null id, label or vector, or with a null or non-finite component, or
@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scratch
+from .common import map_arrow, scratch, tiles
 
 BLOCK, ANCHORS, LEAF = 1024, 256, 24
 BASE = 1.3  # how covering radii shrink from level to level
@@ -246,11 +246,6 @@ def _anchors(rows: DataFrame) -> DataFrame:
 def _meet(anchors: DataFrame, trees: DataFrame, same: bool, k: int) -> DataFrame:
     """(id, alabel, key, w, other, score): each task's ``k`` best of every anchor and window;
     ``anchors`` are (id, label, dim, data, key, low, most), windows as arrays."""
-    spark = trees.sparkSession
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = max(1, math.isqrt(lanes // SHARE))
-    rows = -(-lanes // columns)
-
     def pack(it):
         held: dict = {}
 
@@ -269,19 +264,16 @@ def _meet(anchors: DataFrame, trees: DataFrame, same: bool, k: int) -> DataFrame
             yield block(key)
 
     blocks = map_arrow(anchors.select("id", "label", "dim", "data", "key", "low", "most"), pack, "alabel long, adim int, ids array<long>, keys array<long>, vecs array<binary>, low array<array<long>>, most array<array<long>>")
-    lane = lambda row, col: (row * columns + col).cast("long")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    own = blocks.withColumn("r", every(rows)).withColumn("lane", lane(F.col("r"), F.pmod(F.xxhash64("ids", "keys"), F.lit(columns)))).drop("r")
-    cands = trees.withColumn("c", every(columns)).withColumn("lane", lane(F.pmod(F.xxhash64("ids", "data"), F.lit(rows)), F.col("c"))).drop("c").withColumnRenamed("ids", "cids")
-    on = [F.col("lane") == F.col("alane"), F.col("dim") == F.col("adim"), (F.col("label") == F.col("alabel")) if same else (F.col("label") != F.col("alabel"))]
-    tiles = cands.join(own.withColumnRenamed("lane", "alane"), on).select("dim", "cids", "data", "node", "first", "last", "radius", "alabel", "ids", "keys", "vecs", "low", "most")
+    on = [F.col("dim") == F.col("adim"), (F.col("label") == F.col("alabel")) if same else (F.col("label") != F.col("alabel"))]
+    pairs = tiles(trees.withColumnRenamed("ids", "cids"), blocks, ["cids", "data"], ["ids", "keys"], on, SHARE).select("dim", "cids", "data", "node", "first", "last", "radius", "alabel", "ids", "keys", "vecs", "low", "most")
 
     def run(it):
         best: dict = {}
         entries = 0
         last = (None, None)
         for batch in it:
-            for dim, ids, data, node, first, end, radius, label, aids, keys, vecs, lows, mosts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):  # row by row: each has two blocks
+                dim, ids, data, node, first, end, radius, label, aids, keys, vecs, lows, mosts = (c[i].as_py() for c in batch.columns)
                 if last[0] != (ids, data):
                     last = (ids, data), _Tree(dim, ids, data, node, first, end, radius)
                 for a, key, vec, low, most in zip(aids, keys, vecs, lows, mosts, strict=True):
@@ -296,7 +288,7 @@ def _meet(anchors: DataFrame, trees: DataFrame, same: bool, k: int) -> DataFrame
         if best:
             yield _rows(best)
 
-    lists = map_arrow(tiles, run, "id long, label long, key long, w int, score long, other long")
+    lists = map_arrow(pairs, run, "id long, label long, key long, w int, score long, other long")
     rank = F.row_number().over(Window.partitionBy("id", "label", "key", "w").orderBy(F.desc("score"), "other"))
     return lists.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -326,10 +318,10 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = 5, n
     p = F.col("positive_score").cast("decimal(25,0)")
     low, high = F.ceil(p * least / 100).cast("long"), F.floor(p * most / 100).cast("long")
     wins = near.filter(low <= high).groupBy("id", "label", "key").agg(F.array_sort(F.collect_list(F.struct("rank", low.alias("low"), high.alias("most")))).alias("wins"))
-    asking = own.join(wins, ["id", "label", "key"]).withColumn("low", F.col("wins.low")).withColumn("most", F.col("wins.most"))
+    asking = own.join(wins.hint("merge"), ["id", "label", "key"]).withColumn("low", F.col("wins.low")).withColumn("most", F.col("wins.most"))
     asking.write.parquet(f"{base}/windows")
     asking = spark.read.parquet(f"{base}/windows")
     found = _meet(asking.select(*own.columns, "low", "most"), trees, False, negatives)
     shown = asking.select("id", "label", "key", F.posexplode("wins.rank").alias("w", "place")).withColumnRenamed("place", "prank")
-    pairs = near.withColumnRenamed("rank", "prank").join(shown, ["id", "label", "key", "prank"])
-    return found.join(pairs, ["id", "label", "key", "w"]).select(F.col("id").alias("anchor_id"), "positive_id", "rank", F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    pairs = near.withColumnRenamed("rank", "prank").join(shown.hint("merge"), ["id", "label", "key", "prank"])
+    return found.join(pairs.hint("merge"), ["id", "label", "key", "w"]).select(F.col("id").alias("anchor_id"), "positive_id", "rank", F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

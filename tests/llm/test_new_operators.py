@@ -137,6 +137,21 @@ def test_hard_negatives_match_brute_force(spark, monkeypatch):
     assert covertree.hard_negatives(df.limit(0), pick).count() == 0
 
 
+def test_hard_negatives_in_a_grid_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "SHARE", 2)  # 8 lanes: 2 columns of 4
+    monkeypatch.setattr(covertree, "BLOCK", 40)
+    monkeypatch.setattr(covertree, "ANCHORS", 3)
+    met, meet = [], covertree._meet
+    monkeypatch.setattr(covertree, "_meet", lambda *a: met.append(meet(*a)) or met[-1])
+    rows = _vectors()
+    df = spark.createDataFrame(rows, VEC)
+    got = covertree.hard_negatives(df, df.filter("vec_id % 10 = 0"))
+    assert sorted(map(tuple, got.collect())) == brute.hard_negatives(rows, [r for r in rows if r[0] is not None and r[0] % 10 == 0])
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in [*met, got]]
+    # the files are small, the copies of their blocks are not: none goes to the driver
+    assert len(plans) == 3 and all("Broadcast" not in p and "SortMergeJoin" in p for p in plans)
+
+
 def test_cover_tree_covers_and_separates():
     import numpy as np
 
